@@ -3,7 +3,7 @@
 A source's target is its weight's share of the words to take, stopped at a number of passes over the source, the excess
 going to the others by weight. A source is cut into blocks of documents by a hash of the id. Whole passes take every
 block; the rest of the target takes the first blocks of a seeded permutation, and of the block at the boundary the
-documents up to a cut. So each source has an exact quota of block draws. A binary tree over the output shards splits
+documents that fit what is left. So each source has an exact quota of block draws. A binary tree over the output shards splits
 those quotas: at each node the left half's draws by source follow the multivariate hypergeometric law, seeded by the
 node, so every shard has an exact count of blocks from each source. The shards then take disjoint consecutive runs of
 each source's permuted draws and are shuffled locally.
@@ -16,7 +16,8 @@ columns of the input that clash with an output column are replaced.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, without
@@ -67,10 +68,25 @@ def _join_small(df: DataFrame, small: DataFrame, n_rows: int, *on: str) -> DataF
     return df.join(F.broadcast(small) if n_rows <= BROADCAST_ROWS else small.hint("merge"), list(on), "left")
 
 
+def _fitting(docs: pd.DataFrame) -> pd.DataFrame:
+    """Of a boundary block the documents, in hash order, that still fit what is left of the target, and one more if it brings the sum nearer."""
+    docs, rest, fit, others = docs.sort_values("_h"), docs["_rest"].iloc[0], [], []
+    for h, n in zip(docs["_h"], docs["size"]):
+        if n <= rest:
+            fit.append(int(h))
+            rest -= n
+        else:
+            others.append((abs(n - rest), int(h)))
+    if others and min(others)[0] < rest:
+        fit.append(min(others)[1])
+    return pd.DataFrame({"_s": [docs["_s"].iloc[0]], "fit": [fit]})
+
+
 def plan(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2, seed: int = 9, docs_per_block: int = 64) -> DataFrame:
     """docs with size, source_size, target, copies (array of the shards that take the document, one entry a copy).
 
-    The driver sees one row for each source and one for each block (at most 65,536 a source), never documents.
+    The driver sees one row for each source and one for each block (at most 65,536 a source), and the ids' hashes of one
+    boundary block a source (docs_per_block on average), never a table of documents.
     """
     docs = without(docs, "size", "source_size", "target", "copies")
     spark = docs.sparkSession
@@ -119,20 +135,13 @@ def plan(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2,
         for b, s in zip(taken, np.repeat(np.arange(n_shards), quota[:, i]).tolist()):
             shards.setdefault((i, b), []).append(s)
     edge = spark.createDataFrame([(sources[i]["_s"], b, float(x)) for i, b, x in edges], "_s string, _block int, _rest double")
-    running = Window.partitionBy("_s").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = {
-        r["_s"]: r["cut"]
-        for r in with_block(narrow).join(F.broadcast(edge), ["_s", "_block"])
-        .withColumn("sum", F.sum("size").over(running))
-        .where(F.col("sum") - F.col("size") / 2 <= F.col("_rest"))
-        .groupBy("_s").agg(F.max("_h").alias("cut")).collect()
-    }
+    inside = with_block(narrow).join(F.broadcast(edge), ["_s", "_block"]).groupBy("_s", "_rest", "_h").agg(F.sum("size").alias("size"))
+    fits = {r["_s"]: r["fit"] for r in inside.groupBy("_s").applyInPandas(_fitting, "_s string, fit array<long>").collect()}
     at_edge = {(i, b) for i, b, _ in edges}
-    rows = [(sources[i]["_s"], b, s, (i, b) in at_edge, cuts.get(sources[i]["_s"])) for (i, b), s in sorted(shards.items())]
-    chosen = spark.createDataFrame(rows, "_s string, _block int, _shards array<int>, _edge boolean, _cut long")
+    rows = [(sources[i]["_s"], b, s, fits.get(sources[i]["_s"], []) if (i, b) in at_edge else None) for (i, b), s in sorted(shards.items())]
+    chosen = spark.createDataFrame(rows, "_s string, _block int, _shards array<int>, _fit array<long>")
     some = F.coalesce(F.col("_shards"), F.array().cast("array<int>"))
-    inside = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
-    copies = F.when(F.col("_edge") & ~inside, F.slice(some, F.lit(1), F.size(some) - 1)).otherwise(some)
+    copies = F.when(~F.array_contains("_fit", F.col("_h")), F.slice(some, F.lit(1), F.size(some) - 1)).otherwise(some)
     return _join_small(with_block(keyed), chosen, len(rows), "_s", "_block").withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies")
 
 

@@ -36,7 +36,7 @@ def test_whole_table(spark, small):
         size[r["source"]] += r["size"]
         target[r["source"]] = r["target"]
     for s in size:
-        assert abs(taken[s] - target[s]) <= max(0.06 * target[s], 60)
+        assert abs(taken[s] - target[s]) <= max(0.03 * target[s], size[s] / 10)
     names = sorted(size)
     expect = mixing.targets([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2)
     assert [target[s] for s in names] == expect
