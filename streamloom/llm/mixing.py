@@ -26,6 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 GRID = 1 << 16
 BROADCAST_ROWS = 200_000
+FINE = 64
 
 
 def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -68,17 +69,31 @@ def _join_small(df: DataFrame, small: DataFrame, n_rows: int, *on: str) -> DataF
     return df.join(F.broadcast(small) if n_rows <= BROADCAST_ROWS else small.hint("merge"), list(on), "left")
 
 
+def nearest_subset(sizes: list[int], goal: float) -> list[int]:
+    """Places of sizes whose sum is nearest to goal: the sums within reach as bits of a number, one number a prefix."""
+    reach = [1]
+    for n in sizes:
+        reach.append(reach[-1] | reach[-1] << n)
+    low = (reach[-1] & ((1 << int(goal) + 1) - 1)).bit_length() - 1
+    above = reach[-1] >> int(goal) + 1
+    high = int(goal) + (above & -above).bit_length() if above else None
+    at, out = low if high is None or goal - low <= high - goal else high, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> at & 1:
+            out.append(i)
+            at -= sizes[i]
+    return out[::-1]
+
+
 def _fitting(docs: pd.DataFrame) -> pd.DataFrame:
-    """Of a boundary block the documents, in hash order, that still fit what is left of the target, and one more if it brings the sum nearer."""
-    docs, rest, fit, others = docs.sort_values("_h"), docs["_rest"].iloc[0], [], []
-    for h, n in zip(docs["_h"], docs["size"]):
+    """The documents of a boundary block that bring its sum nearest to what is left of the target: in hash order while they fit, the last FINE by exact search."""
+    docs, rest = docs.sort_values("_h"), docs["_rest"].iloc[0]
+    ids, sizes, fit = docs["_h"].astype(int).tolist(), docs["size"].astype(int).tolist(), []
+    for h, n in zip(ids[:-FINE], sizes[:-FINE]):
         if n <= rest:
-            fit.append(int(h))
+            fit.append(h)
             rest -= n
-        else:
-            others.append((abs(n - rest), int(h)))
-    if others and min(others)[0] < rest:
-        fit.append(min(others)[1])
+    fit += [ids[-FINE:][i] for i in nearest_subset(sizes[-FINE:], rest)]
     return pd.DataFrame({"_s": [docs["_s"].iloc[0]], "fit": [fit]})
 
 
