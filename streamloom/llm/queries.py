@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, sharding, simhash, tokens
+from . import decontamination, language, mixing, neighbours, personal, sharding, simhash, tokens
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.self_search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.extract(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.plan(docs)
@@ -43,6 +51,8 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op7_neighbours": op7_neighbours,
+    "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
