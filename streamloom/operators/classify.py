@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamloom.functions.scalars import event_time
-from streamloom.sources.schemas import ENVELOPE, EVENT_ROW, PAYLOADS, struct
+from streamloom.sources.schemas import ENVELOPE, EVENT_ROW, PAYLOADS
 
 
 def payload_name() -> Column:
@@ -75,9 +75,9 @@ STRICT_PAYLOADS = ("purchase_complete", "add_to_cart", "product_view", "custom_e
 
 def document(device: tuple[str, ...] | None = None, payloads: tuple[str, ...] | None = None) -> Column:
     """The event as a JSON document: its own five fields, the device context and the set payload by its name."""
-    context = struct(",".join(f"{f.name} {f.dataType.simpleString()}" for f in ENVELOPE["device_context"].dataType.fields if device is None or f.name in device))
+    context = [f.name for f in ENVELOPE["device_context"].dataType.fields if device is None or f.name in device]
     parts = [F.col(c) for c in ("id", "app_id", "device_id", "timestamp_ms", "correlation_id")]
-    parts.append(F.when(F.col("device_context").isNotNull(), F.struct(*[F.col(f"device_context.{f.name}").alias(f.name) for f in context.fields])).alias("device_context"))
+    parts.append(F.when(F.col("device_context").isNotNull(), F.struct(*[F.col(f"device_context.{c}").alias(c) for c in context])).alias("device_context"))
     parts += [F.col(name) for name in PAYLOADS if payloads is None or name in payloads]
     return F.to_json(F.struct(*parts))
 

@@ -8,18 +8,22 @@ from pyspark.sql import types as T
 
 from streamloom.functions.scalars import millis_of, named, uuid7
 from streamloom.operators.classify import payload_name
-from streamloom.sources.schemas import CLIENT_TYPES, DEVICE_CONTEXT, ENVELOPE, NETWORKS, PAYLOADS, PLATFORMS, REQUIRED
+from streamloom.sources.schemas import CLIENT_TYPES, ENVELOPE, NETWORKS, PAYLOADS, PLATFORMS, REQUIRED
 
 CORRUPT = "_corrupt_record"
 MAX_BATCH = 1000
 NO_APP, NO_PAYLOAD, NO_TIME = "app_id is required", "event payload is required", "timestamp_ms is required"
 
 
-def decode(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(envelopes, poison) of a folder of JSON lines: what does not parse is kept apart with its text and never retried."""
+def decoded(lines: DataFrame) -> DataFrame:
+    """Text lines (value), read or streamed, as envelopes; what does not parse keeps its text in a column of its own."""
     schema = T.StructType([*ENVELOPE.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return split_poison(rows)
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("_e")).select("_e.*")
+
+
+def decode(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(envelopes, poison) of a folder of JSON lines: what does not parse is kept apart and never retried."""
+    return split_poison(decoded(spark.read.text(path)))
 
 
 def split_poison(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +89,7 @@ def depth(dlq: DataFrame, alert_at: int) -> DataFrame:
 def device_context(raw: Column) -> Column:
     """A client's device context (JSON fields as strings) with platform and network as enumeration names."""
     fields = []
-    for f in T.StructType.fromDDL(DEVICE_CONTEXT).fields:
+    for f in ENVELOPE["device_context"].dataType.fields:
         own = raw[f.name]
         if f.name == "platform":
             own = named(own, PLATFORMS, "PLATFORM_UNSPECIFIED")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # The event format. Payload name -> (category, event type, fields).
-_XY = "struct<x:float,y:float>"
 PAYLOADS: dict[str, tuple[str, str, str]] = {
     "user_login": ("user", "login", "user_id string, method string, is_new_user boolean"),
     "user_logout": ("user", "logout", "user_id string, reason string"),
@@ -13,12 +12,12 @@ PAYLOADS: dict[str, tuple[str, str, str]] = {
     "user_profile_update": ("user", "profile_update", "user_id string, fields_updated array<string>"),
     "screen_view": ("screen", "view", "screen_name string, screen_class string, previous_screen string, params map<string,string>"),
     "screen_exit": ("screen", "exit", "screen_name string, duration_ms bigint, next_screen string"),
-    "button_tap": ("interaction", "button_tap", f"button_id string, button_text string, screen_name string, coordinates {_XY}"),
-    "swipe_gesture": ("interaction", "swipe", f"direction int, screen_name string, start {_XY}, end {_XY}, duration_ms bigint"),
+    "button_tap": ("interaction", "button_tap", "button_id string, button_text string, screen_name string, coordinates coordinates"),
+    "swipe_gesture": ("interaction", "swipe", "direction int, screen_name string, start coordinates, end coordinates, duration_ms bigint"),
     "scroll_event": ("interaction", "scroll", "screen_name string, container_id string, scroll_depth_percent int, direction int"),
     "text_input": ("interaction", "text_input", "field_id string, field_type string, screen_name string, text_length int, input_duration_ms bigint"),
-    "long_press": ("interaction", "long_press", f"element_id string, screen_name string, coordinates {_XY}, duration_ms bigint"),
-    "double_tap": ("interaction", "double_tap", f"element_id string, screen_name string, coordinates {_XY}"),
+    "long_press": ("interaction", "long_press", "element_id string, screen_name string, coordinates coordinates, duration_ms bigint"),
+    "double_tap": ("interaction", "double_tap", "element_id string, screen_name string, coordinates coordinates"),
     "product_view": ("commerce", "product_view", "product_id string, product_name string, category string, price_cents bigint, currency string, source string"),
     "add_to_cart": ("commerce", "add_to_cart", "product_id string, product_name string, quantity int, price_cents bigint, currency string, cart_id string"),
     "remove_from_cart": ("commerce", "remove_from_cart", "product_id string, quantity int, cart_id string, reason string"),
@@ -28,7 +27,7 @@ PAYLOADS: dict[str, tuple[str, str, str]] = {
         "commerce",
         "purchase_complete",
         "order_id string, cart_id string, item_count int, total_cents bigint, currency string, payment_method string, "
-        "items array<struct<product_id:string,product_name:string,quantity:int,price_cents:bigint>>",
+        "items array<item>",
     ),
     "purchase_failed": ("commerce", "purchase_failed", "cart_id string, error_code string, error_message string, payment_method string, checkout_step int"),
     "app_start": ("system", "app_start", "is_cold_start boolean, launch_duration_ms bigint, launch_source string, deeplink_url string"),
@@ -82,8 +81,20 @@ CLIENT_TYPES = (
 # End of the fixed values.
 
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_COORDINATES = T.StructType([T.StructField("x", T.FloatType()), T.StructField("y", T.FloatType())])
+_ITEM = T.StructType([T.StructField("product_id", T.StringType()), T.StructField("product_name", T.StringType()), T.StructField("quantity", T.IntegerType()), T.StructField("price_cents", T.LongType())])
+_CONDITION = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "operator", "value")])
+_TYPES = {
+    "string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<item>": T.ArrayType(_ITEM), "array<condition>": T.ArrayType(_CONDITION), "coordinates": _COORDINATES,
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()), "map<string,bigint>": T.MapType(T.StringType(), T.LongType()),
+    "map<string,double>": T.MapType(T.StringType(), T.DoubleType()), "map<string,boolean>": T.MapType(T.StringType(), T.BooleanType()),
+}
+
+
+def struct(fields: str) -> T.StructType:
+    """'name type, name type' as a schema, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split(" ") for f in fields.split(", "))])
 
 
 ENVELOPE = T.StructType(
@@ -97,10 +108,9 @@ EVENT_ROW = struct(
     "id string, app_id string, device_id string, timestamp_ms bigint, correlation_id string, event_category string, event_type string, "
     f"{DEVICE_CONTEXT}, payload_json string, year int, month int, day int, hour int"
 )
-CONDITION = "struct<path:string,operator:string,value:string>"
 RULE = struct(
     "id string, name string, app_id string, event_category string, event_type string, "
-    f"conditions array<{CONDITION}>, webhooks array<string>, publish_subjects array<string>, priority int, enabled boolean"
+    "conditions array<condition>, webhooks array<string>, publish_subjects array<string>, priority int, enabled boolean"
 )
 ANOMALY_CONFIG = struct(
     "id string, name string, app_id string, event_category string, event_type string, detection_type string, path string, min double, max double, "

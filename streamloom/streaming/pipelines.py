@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from streamloom.functions.scalars import YEAR_ONE, event_time, matches_topic
 from streamloom.operators.classify import flatten
-from streamloom.operators.ingest import CORRUPT, split_poison, validate
+from streamloom.operators.ingest import decoded, split_poison, validate
 from streamloom.sources import warehouse
 from streamloom.sources.schemas import ENVELOPE
 
@@ -22,8 +22,7 @@ TTL_MS = 24 * 3600 * 1000
 
 def envelopes(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """JSON lines as a stream; a bounded number of files a batch is the back-pressure. Unparsed lines keep their text."""
-    schema = StructType([*ENVELOPE.fields]).add(CORRUPT, "string")
-    return spark.readStream.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return decoded(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
 
 
 def subscribed(stream: DataFrame, pattern: str, subject: str = "subject") -> DataFrame:
@@ -52,61 +51,59 @@ def sessions(events: DataFrame, gap: str = "30 seconds", late: str = "10 minutes
     return with_time(events, late).groupBy("device_id", F.session_window("ts", gap)).agg(F.count("*").alias("events")).select("device_id", F.col("session_window.start").alias("start"), "events")
 
 
-class Cooldown(StatefulProcessor):
-    """Keeps an alert if it lies cooldown milliseconds after the last kept one of its key; forgets a key after TTL_MS."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long", TTL_MS)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["timestamp_ms", "id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for at, gap in zip(batch["timestamp_ms"], batch["cooldown_ms"]):
-            keep.append(last is None or at - last >= gap)
-            if keep[-1]:
-                last = int(at)
-        if last is not None:
-            self.last.update((last,))
-        yield batch[keep]
-
-    def close(self) -> None:
-        pass
-
-
-class Rate(StatefulProcessor):
-    """Alerts on each event after the first most of its window; counts of a few recent windows are held."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "start long", "n long", TTL_MS)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["timestamp_ms", "id"])
-        running = []
-        for start, group in batch.groupby("window_start", sort=True):
-            before = self.counts.getValue((int(start),))[0] if self.counts.containsKey((int(start),)) else 0
-            self.counts.updateValue((int(start),), (before + len(group),))
-            running.append(group.assign(running=range(before + 1, before + len(group) + 1)))
-        out = pd.concat(running)
-        yield out[out["running"] > out["most"]]
-
-    def close(self) -> None:
-        pass
-
-
-def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str | StructType) -> DataFrame:
-    """Needs the RocksDB state store provider, as all of transformWithState does."""
-    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="ProcessingTime")
-
-
-def cooled(candidates: DataFrame) -> DataFrame:
+def _cooldown(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
+    """Keep an alert if it lies cooldown_ms after the last kept one of its key; forget a key after ttl_ms without any."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    batch = pd.concat(list(batches)).sort_values(["timestamp_ms", "id"])
+    last = state.get[0] if state.exists else None
+    keep = []
+    for at, gap in zip(batch["timestamp_ms"], batch["cooldown_ms"]):
+        keep.append(last is None or at - last >= gap)
+        if keep[-1]:
+            last = int(at)
+    state.update((last,))
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
+    yield batch[keep]
+
+
+#: Windows of a key that are still counted; older ones are late.
+WINDOWS = 16
+
+
+def _rate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
+    """Number the events of a window over all batches and alert on each after the first most of them."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    batch = pd.concat(list(batches)).sort_values(["timestamp_ms", "id"])
+    counts = dict(zip(*state.get)) if state.exists else {}
+    before = batch["window_start"].map(lambda s: counts.get(int(s), 0))
+    batch["running"] = before + batch.groupby("window_start").cumcount() + 1
+    counts |= {int(s): int(n) for s, n in batch.groupby("window_start")["running"].max().items()}
+    recent = sorted(counts)[-WINDOWS:]
+    state.update((recent, [counts[s] for s in recent]))
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
+    yield batch[batch["running"] > batch["most"]]
+
+
+def _stateful(rows: DataFrame, step, schema: StructType, state: str, ttl_ms: int | None) -> DataFrame:
+    """A time to live keeps a query running for its timers' sake; without one (None) a bounded run can end."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("config_id", "app_id").applyInPandasWithState(lambda key, batches, held: step(key, batches, held, ttl_ms), schema, state, "append", timeout)
+
+
+def cooled(candidates: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """Alert candidates (config_id, app_id, id, timestamp_ms, cooldown_ms, ...) that pass the cooldown."""
-    return _stateful(candidates, ["config_id", "app_id"], Cooldown(), candidates.schema)
+    return _stateful(candidates, _cooldown, candidates.schema, "last long", ttl_ms)
 
 
-def rate_alerts(events: DataFrame) -> DataFrame:
+def rate_alerts(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """Events (config_id, app_id, id, timestamp_ms, window_start, most, ...) over their window's limit, with running."""
-    return _stateful(events, ["config_id", "app_id"], Rate(), StructType([*events.schema.fields]).add("running", "long"))
+    return _stateful(events, _rate, StructType([*events.schema.fields]).add("running", "long"), "starts array<long>, counts array<long>", ttl_ms)
 
 
 def sink(stream: DataFrame, path: str, rejects: str, checkpoint: str, compression: str = "snappy") -> DataStreamWriter:
