@@ -80,10 +80,11 @@ class Sample:
         ends = self.high - 1 + LENGTH
         self.context = mixed((self.sums[ends] - self.sums[self.low]) * self.down[self.low] ^ (at - self.low).astype(np.uint64) * BASE)
 
-    def windows(self, k: int) -> np.ndarray:
-        """Names of the windows of the k-th sampled suffix."""
-        s = np.arange(self.low[k], self.high[k])
-        return mixed((self.sums[s + LENGTH] - self.sums[s]) * self.down[s])
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes and names of all windows of these sampled suffixes."""
+        n = self.high[which] - self.low[which]
+        s = np.repeat(self.low[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return s + self.offset, mixed((self.sums[s + LENGTH] - self.sums[s]) * self.down[s])
 
 
 def samples(text: bytes) -> Iterator[Sample]:
@@ -216,56 +217,59 @@ class Block:
     def text(self, k: int) -> bytes:
         return zstandard.decompress(self.blobs[k].as_py())
 
-    def marked(self, k: int) -> Iterator[tuple[int, int, int | None, np.ndarray | None]]:
-        """(first window, end, None, None) for whole repeats, and with position in document order and window names for open suffixes."""
+    def marked(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and end of the runs of windows that repeat whole; first bytes and names of the windows to look at."""
         at, what = self.what[self.order[k]]
         text = self.text(k)
         base = place_base(text)
+        low, high, starts, names = ([np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)])
+        # a suffix at the edge of two pieces is told of twice: it repeats whole only if both are
+        first, last = np.searchsorted(at, at), np.searchsorted(at, at, side="right")
+        seen = np.concatenate([[0], np.cumsum(what == OPEN)])
+        open_ = seen[last] > seen[first]
         for s in samples(text):
             own = (s.at + base).astype(np.uint64)
             where = np.minimum(np.searchsorted(at, own), len(at) - 1)
-            for j in np.flatnonzero(at[where] == own):
-                low, high = int(s.low[j]) + s.offset, int(s.high[j]) + s.offset
-                # a suffix at the edge of two pieces is told of twice
-                kinds = what[np.searchsorted(at, own[j]) : np.searchsorted(at, own[j], side="right")]
-                if (kinds == WHOLE).all():
-                    yield low, high, None, None
-                else:
-                    yield low, high, low + base, s.windows(j)
+            told = at[where] == own
+            whole = np.flatnonzero(told & ~open_[where])
+            low.append(s.low[whole] + s.offset)
+            high.append(s.high[whole] + s.offset)
+            at_first, name = s.windows(np.flatnonzero(told & open_[where]))
+            starts.append(at_first)
+            names.append(name)
+        return np.concatenate(low), np.concatenate(high), np.concatenate(starts), np.concatenate(names)
+
+    def look(self) -> tuple[dict[int, tuple], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What is marked in each document, and (name, document, place) of the first of each name among the block's windows to look at."""
+        marks = {k: self.marked(k) for k in range(len(self.order)) if self.order[k] in self.what}
+        if not marks:
+            return {}, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+        names = np.concatenate([m[3] for m in marks.values()])
+        docs = np.concatenate([np.full(len(m[3]), self.order[k]) for k, m in marks.items()])
+        places = np.concatenate([m[2].astype(np.uint64) + np.uint64(place_base(self.text(k))) for k, m in marks.items()])
+        order, first = _firsts(places, docs, names)
+        return marks, (names[order[first]], docs[order[first]], places[order[first]])
 
     def open_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(name, document, position) of the first of each name among the block's open windows."""
-        names, docs, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-        for k in range(len(self.order)):
-            if self.order[k] in self.what:
-                for _, _, place, own in self.marked(k):
-                    if own is not None:
-                        names.append(own)
-                        docs.append(np.full(len(own), self.order[k]))
-                        places.append(place + np.arange(len(own), dtype=np.uint64))
-        names, docs, places = map(np.concatenate, (names, docs, places))
-        order, first = _firsts(places, docs, names)
-        return names[order[first]], docs[order[first]], places[order[first]]
+        return self.look()[1]
 
-    def removed(self) -> Iterator[tuple[int, np.ndarray, bytes]]:
-        """For each document its covered bytes, and its text."""
-        names, docs, places = self.open_windows() if self.what else (None, None, None)
+    def removed(self) -> Iterator[tuple[int, np.ndarray | None, bytes]]:
+        """For each document its covered bytes, None for none, and its text."""
+        marks, (names, docs, places) = self.look()
         for k in range(len(self.order)):
             text = self.text(k)
-            edge = np.zeros(len(text) + 1, dtype=np.int32)
-            if self.order[k] in self.what:
-                for low, high, place, own in self.marked(k):
-                    if own is None:
-                        edge[low] += 1
-                        edge[high - 1 + LENGTH] -= 1
-                        continue
-                    i = np.searchsorted(names, own)
-                    first = (docs[i] == self.order[k]) & (places[i] == place + np.arange(len(own), dtype=np.uint64))
-                    if len(self.lost):
-                        first &= self.lost[np.minimum(np.searchsorted(self.lost, own), len(self.lost) - 1)] != own
-                    again = low + np.flatnonzero(~first)
-                    np.add.at(edge, again, 1)
-                    np.subtract.at(edge, again + LENGTH, 1)
+            if k not in marks:
+                yield k, None, text
+                continue
+            low, high, starts, own = marks[k]
+            edge = np.bincount(low, minlength=len(text) + 1) - np.bincount(high - 1 + LENGTH, minlength=len(text) + 1)
+            if len(own):
+                i = np.searchsorted(names, own)
+                first = (docs[i] == self.order[k]) & (places[i] == starts.astype(np.uint64) + np.uint64(place_base(text)))
+                if len(self.lost):
+                    first &= self.lost[np.minimum(np.searchsorted(self.lost, own), len(self.lost) - 1)] != own
+                again = starts[~first]
+                edge += np.bincount(again, minlength=len(text) + 1) - np.bincount(again + LENGTH, minlength=len(text) + 1)
             yield k, np.cumsum(edge[:-1]) > 0, text
 
 
@@ -349,9 +353,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int =
         ids, rows = docs.column("doc_id"), []
         if docs.num_rows:
             for k, gone, text in Block(docs, known).removed():
-                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if gone.any() else text
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].any())
-                rows.append((ids[k].as_py(), len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                kept, n, spans = text, 0, 0
+                if gone is not None and gone.any():
+                    kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+                    n, spans = int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
+                rows.append((ids[k].as_py(), len(text), n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         columns = list(zip(*rows)) or [[]] * 6
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]

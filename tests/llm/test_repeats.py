@@ -92,6 +92,7 @@ def test_planted_passages_hot_names_and_pieces(spark, seed, hot, piece, monkeypa
         lost = np.array([n for n in names if first[n][2] != b], dtype=np.uint64)
         table = repeats._as_table(known.get(b, []) + ([(b, repeats._LOST, repeats.pack(np.sort(lost)))] if len(lost) else []))
         for k, gone, text in repeats.Block(docs, table).removed():
+            gone = np.zeros(len(text), dtype=bool) if gone is None else gone
             kept = bytes(x for x, g in zip(text, gone) if not g)
             got[docs.column("doc_id")[k].as_py()] = (int(gone.sum()), hashlib.sha256(kept).hexdigest())
     repeats._powers.cache_clear()
@@ -104,7 +105,8 @@ def test_planted_passages_through_spark(spark):
 
 
 def test_odd_rows(spark):
-    long = "".join(random.Random(4).choice("abcdefgh ") for _ in range(400))
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(400))
     rows = [(1, None), (2, ""), (3, long), (3, long), (4, "z" + long + long[:150]), (None, long), (5, "q" * 1_200_000), (6, "é" * 60)]
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", blob int")
     got = rows_of(repeats.remove_repeats(df))
