@@ -16,7 +16,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,18 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+#: Exact containment of five-word shingles. The others' methods are beyond SQL (fitted models, seeded draws, hashes and
+#: encoders that DuckDB lacks); tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+n AS (SELECT DISTINCT least(5, len(t)) AS n FROM i WHERE len(t) > 0),
+ds AS (SELECT DISTINCT doc_id, n, array_to_string(t[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM d, n)),
+q AS (SELECT DISTINCT item_id, n, array_to_string(t[k:k + n - 1], ' ') AS s FROM (SELECT item_id, t, least(5, len(t)) AS n, unnest(range(1, len(t) - least(5, len(t)) + 2)) AS k FROM i WHERE len(t) > 0)),
+size AS (SELECT item_id, count(*) AS total FROM q GROUP BY 1),
+hit AS (SELECT doc_id, item_id, count(*) / total AS c FROM ds JOIN q USING (n, s) JOIN size USING (item_id) GROUP BY doc_id, item_id, total HAVING count(*) / total >= 0.8),
+per AS (SELECT doc_id, count(*) AS n_items, string_agg(cast(item_id AS varchar), ',' ORDER BY item_id) AS item_ids, max(c) AS max_containment FROM hit GROUP BY 1)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(max_containment, 0.0) AS max_containment
+FROM documents LEFT JOIN per USING (doc_id)""",
+}
