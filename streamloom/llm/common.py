@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +35,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns an operator is about to add, whatever their case: the operator's own win."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows, so that only a slice at a time becomes Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lighter_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows an Arrow batch than Spark's 10,000 while texts go to Python and back: whole texts make batches of tens of
+    megabytes, several of which are held at once on either side. A setting of the user's own stays."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lighter_batches
 from .textarrays import STEPS, batches, mixed, span_hash
 
 WORDS, SHARE = 5, 0.8
@@ -121,6 +122,7 @@ FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64(
 
 def find(docs: DataFrame, items: list[tuple[int, str | None]], share: float = SHARE) -> DataFrame:
     """docs (doc_id, text) -> a row for each document with the ids and containments of the items found in it."""
+    lighter_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(Matcher(items, share))
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """docs without the rows whose text contains a test item; rows are filtered where they are, texts are never shuffled."""
+    lighter_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for items in item_blocks(benchmark):
         known = docs.sparkSession.sparkContext.broadcast(Matcher(items, share))

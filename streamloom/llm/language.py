@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialise, without
+from .common import lighter_batches, materialise, small_batches, without
 from .textarrays import BASE, Chars, batches, mixed, span_hash
 
 FIT_ROWS = 20_000
@@ -121,9 +121,11 @@ def forward(weights: dict, length: int, n: int, langs: int) -> list[np.ndarray]:
     return alpha
 
 
-def by_length(lengths: np.ndarray, at_once: int = 20_000) -> Iterator[tuple[int, np.ndarray]]:
+def by_length(lengths: np.ndarray, spans_at_once: int = 300_000) -> Iterator[tuple[int, np.ndarray]]:
+    """Words of one length at a time, as many as have spans_at_once spans together."""
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
+        at_once = spans_at_once // (int(n) * min(int(n), MAX_PIECE)) + 1
         for k in range(0, len(at), at_once):
             yield int(n), at[k : k + at_once]
 
@@ -190,6 +192,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS, iterations: int = ITERATIONS) -> Model:
     """Fit on about fit_rows of the rows of docs that are labelled and not held out, drawn by a hash of doc_id."""
+    lighter_batches(docs.sparkSession)
     pieces_list = read_pieces(vocabulary or default_vocabulary())
     pieces = Pieces(pieces_list)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
@@ -256,12 +259,13 @@ def decide(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
+    lighter_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = without(docs, "lang_pred", "score")
     at = docs.columns.index("text")
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in got:
+        for b in small_batches(got):
             lang, score = decide(b.column(at).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
@@ -280,7 +284,7 @@ def drop_unknown(docs: DataFrame, least_score: float = 0.5, **options) -> DataFr
     at = docs.columns.index("text")
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in got:
+        for b in small_batches(got):
             lang, score = decide(b.column(at).to_pylist(), sent.value)
             yield b.filter(pa.array([x != UNKNOWN and p >= least_score for x, p in zip(lang, score)], pa.bool_()))
 
