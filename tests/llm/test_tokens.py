@@ -59,11 +59,26 @@ def test_blocks_decode(ids):
     assert (huffman.Decoder(lengths).decode(payload, checkpoints, len(ids)) == ids).all()
 
 
-def test_parts_give_the_tokenizers_ids(tokenizer):
+def ids_of(texts):
     own = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["I'll don't  go\n\n there \t x²½ 12 éèü ñ", "a\x1cb\x85c\xa0d", "日本語 text…", "it<|endoftext|>ends", " lead", "trail  ", "!!$$%% ___ __a_b", "\r\n\r\n", "ǅ ŉ ª º"]
-    for t in texts:
-        assert np.frombuffer(own.text(t), dtype="<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    return [np.frombuffer(x, dtype="<u2").tolist() for x in own.texts(texts)]
+
+
+def test_parts_give_the_tokenizers_ids(tokenizer):
+    texts = ["I'll don't  go\n\n there \t x²½ 12 éèü ñ", "a\x1cb\x85c\xa0d", "日本語 text…", "it<|endoftext|>ends", " lead", "trail  ", "!!$$%% ___ __a_b", "\r\n\r\n", "ǅ ŉ ª º", "", "'s 'S ''s x'", "'", "'llama we're", "a\0b"]
+    assert ids_of(texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "'", "s", "re", "ll", "v", "e", "é", "12", "²", "!", "-'", "word"]), max_size=12).map("".join), max_size=5))
+def test_any_plain_texts_give_the_tokenizers_ids(tokenizer, texts):
+    assert ids_of(texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_cut_where_parts_begin(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CHARS_AT_ONCE", 64)
+    texts = ["some  words\n and 'more' words " * 9, "x" * 200, "short one", "tail " * 20]
+    assert ids_of(texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_whole_table(spark, small, tokenizer):
