@@ -166,6 +166,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Batches of short rows put together again, so that vector operations have enough to work on."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 class Model:
     """Languages in order, pieces and their probabilities (pieces + 1, languages); the last row, of no piece, is zero."""
 
@@ -208,7 +221,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, fit_rows: int = FIT_ROWS
         def run(got: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             langs, pieces, prob = sent.value
             total = np.zeros((pieces.n, len(langs)))
-            for b in got:
+            for b in _gathered(got):
                 lang = np.array(b.column(0).to_pylist(), dtype=object)
                 words, n = b.column(1).to_pylist(), b.column(2).to_numpy()
                 for k in sorted(set(lang)):
