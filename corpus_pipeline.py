@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamloom.llm import decontamination, language, mixing, sharding, simhash
+from streamloom.llm import decontamination, language, mixing, neardup, sharding
 from streamloom.llm.common import shared_folder, table
 
 
@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of texts linked by 0.8 of their five-word shingles the document of the smallest id stays."""
+    return neardup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
