@@ -6,8 +6,8 @@ minima. A document that contains the share t of an item misses at most floor((1
 least one of the k minima: the search for sketch entries among a document's shingles finds every such pair, however long
 the document. Candidate pairs are verified by exact containment of the shingles themselves.
 
-Items are taken in blocks of a bounded size, so that what is broadcast stays bounded for any benchmark; each block is
-searched in all documents.
+Items are taken in blocks of a bounded size, so that each broadcast stays bounded for any benchmark; each block is
+searched in all documents, and a row carries what was found in it through the blocks.
 
 Defined cases: null and blank texts are not contaminated, null and blank items match nothing; an item under five words
 is one shingle of its words and must appear whole; repeated items count by their ids; empty tables give no matches;
@@ -118,19 +118,35 @@ class Matcher:
 
 
 FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
+FOUND_SQL = "array<struct<item_id long, containment double>>"
 
 
 def find(docs: DataFrame, items: list[tuple[int, str | None]], share: float = SHARE) -> DataFrame:
     """docs (doc_id, text) -> a row for each document with the ids and containments of the items found in it."""
+    return find_blocks(docs, iter([items]), share)
+
+
+def find_blocks(docs: DataFrame, blocks: Iterator[list[tuple[int, str | None]]], share: float = SHARE) -> DataFrame:
+    """find for items in blocks: each adds to the row's own list, so that no row is looked up by its doc_id."""
     lighter_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(Matcher(items, share))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items, first = next(blocks), True
+    while items is not None:
+        known, items = docs.sparkSession.sparkContext.broadcast(Matcher(items, share)), next(blocks, None)
+        names = ["doc_id", "found"] if items is None else ["doc_id", "found", "text"]
 
-    def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in got:
-            found = known.value.matches(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([found.get(i, []) for i in range(b.num_rows)], FOUND)], ["doc_id", "found"])
+        def run(got: Iterator[pa.RecordBatch], known=known, names=names, first=first) -> Iterator[pa.RecordBatch]:
+            for b in got:
+                found = known.value.matches(b.column("text").to_pylist())
+                every = [found.get(i, []) for i in range(b.num_rows)]
+                if not first:
+                    every = [old + new for old, new in zip(b.column("found").to_pylist(), every)]
+                of = {"doc_id": b.column("doc_id"), "found": pa.array(every, FOUND), "text": b.column("text")}
+                yield pa.RecordBatch.from_arrays([of[n] for n in names], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, found array<struct<item_id long, containment double>>")
+        types = {"doc_id": "long", "found": FOUND_SQL, "text": "string"}
+        rows, first = rows.mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names)), False
+    return rows
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
@@ -144,16 +160,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, max_containment), one row for each row of docs."""
-    found = [find(docs, items, share) for items in item_blocks(benchmark)]
-    if len(found) == 1:
-        out = found[0]
-    else:  # a document meets its matches of all blocks; of repeated ids one row stands for all
-        hits = [f.where(F.size("found") > 0) for f in found]
-        every = hits[0]
-        for f in hits[1:]:
-            every = every.unionByName(f)
-        every = every.select("doc_id", F.explode("found").alias("f")).groupBy("doc_id").agg(F.array_sort(F.collect_set("f")).alias("found"))
-        out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(every, "doc_id", "left").withColumn("found", F.coalesce("found", F.expr("array()")))
+    out = find_blocks(docs, item_blocks(benchmark), share)
     return out.select(
         "doc_id",
         (F.size("found") > 0).alias("contaminated"),

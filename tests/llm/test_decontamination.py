@@ -59,3 +59,15 @@ def test_short_items_long_texts_and_odd_rows(spark):
     empty = spark.createDataFrame([], ITEMS)
     assert d.contamination(df, empty).where("contaminated").count() == 0
     assert d.contamination(spark.createDataFrame([], DOCS), empty).count() == 0
+
+
+def test_one_or_many_blocks_judge_each_row_by_its_own_text(spark, monkeypatch):
+    leaks = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(20)]
+    docs = [(None, leaks[0]), (None, "clean words of a row without an id"), (7, leaks[1] + " and " + leaks[2]), (7, "clean words of the same id"), (8, leaks[3])]
+    items = [(i, t) for i, t in enumerate(leaks)] + [(3, leaks[3])]
+    df, benchmark = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    one = sorted(map(str, d.contamination(df, benchmark).collect()))
+    monkeypatch.setattr(d, "BLOCK_BYTES", 300)
+    got = d.contamination(df, benchmark).collect()
+    assert sorted(map(str, got)) == one
+    assert sorted((str(r["doc_id"]), r["item_ids"]) for r in got) == [("7", []), ("7", [1, 2]), ("8", [3, 3]), ("None", []), ("None", [0])]
