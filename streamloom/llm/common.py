@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only a session in one process may do without: it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -48,7 +50,8 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def lighter_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows an Arrow batch than Spark's 10,000 while texts go to Python and back: whole texts make batches of tens of
-    megabytes, several of which are held at once on either side. A setting of the user's own stays."""
-    if spark.conf.get(BATCH_ROWS) == "10000":
+    """Fewer rows an Arrow batch than Spark's 10,000 for this session's texts on their way to Python and back: whole texts make
+    batches of tens of megabytes, several of which are held at once on either side. A setting of the user's own, of any
+    number, stays. No operator's result depends on it."""
+    if BATCH_ROWS not in spark.conf.getAll:
         spark.conf.set(BATCH_ROWS, str(rows))
