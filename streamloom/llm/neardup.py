@@ -1,19 +1,23 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies by exact Jaccard similarity of five-word shingles, with SimHash fingerprints as the first search.
 
 Texts link where the sets of five-word shingles of their lower-cased words have a Jaccard similarity of 0.8 or more; a
-component is what is reachable over links. Fingerprints can't decide this: at a similarity of 0.8 they differ in about 10
-of 64 bits, with a wide spread, and pigeonhole blocks for that many bits agree in two or three bits only.
+component is what is reachable over links. Fingerprints alone can't decide this: at a similarity of 0.8 they differ in
+about 10 of 64 bits, with a wide spread, and pigeonhole blocks for that many bits agree in two or three bits only. So the
+Gray-order index of simhash gives the links of at most three bits, and a second search finds those that it cannot.
 
-Search: in one total order of all shingles, two sets of similarity 0.8 share one of their first n // 5 + 1 shingles, n
-being a set's size. The order puts shingles that are common in a sample last, the others by hash; any order finds every
-pair, this one keeps the lists of texts by shingle short. Every list first meets its least text; those pairs that
-share enough first shingles are verified and joined to components. What is left are pairs of different components that share a list: for each list the
-texts outside its largest component meet all others of it. So a large group of copies of one text is not compared
-pairwise, and no pair is left out. Pairs are verified by their texts only where their numbers of shingles and of shared
-first ones allow a similarity of 0.8 at all.
+Second search: in one total order of all shingles, two sets of similarity 0.8 share one of their first n // 5 + 1
+shingles, n being a set's size. The order puts shingles that are common in a sample last, the others by hash; any order
+finds every pair, this one keeps the lists of texts by shingle short. Every list first meets its least text; those pairs
+that share enough first shingles are verified, with the index's, and joined to components. What is left are pairs of
+different components that share a list: for each list the texts outside its largest component meet all others of it. So a
+large group of copies of one text is not compared pairwise, and no pair is left out.
+
+Pairs are verified by their texts only where their numbers of shingles, of shared first ones and of differing bits of
+their bitmaps (each set in SIGN_BITS bits) allow a similarity of 0.8 at all; none of these bounds rejects a true pair.
 
 Defined cases: texts of equal sets are one node, null and blank texts being of the empty set; a text under five words is
-one shingle of its words; of each component one row stays, that of the smallest doc_id, or any one where none has an id.
+one shingle of its words; of each component one row stays, that of the smallest doc_id, or any one where none has an id;
+an empty table stays empty; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +32,16 @@ from pyspark.sql import functions as F
 
 from .common import lighter_batches, materialise, small_batches
 from .components import components
-from .simhash import SEED, word_pieces
+from .simhash import SEED, TABLES, bit_counts, forest, word_pieces
 from .textarrays import STEPS, mixed
 
 WORDS = 5
 #: The least similarity, as a fraction.
 PART, WHOLE = 4, 5
 SAMPLE_DOCS, COMMON_FROM, MAX_COMMON = 10_000, 3, 1 << 18
+SIGN_BITS = 1024
+#: Rows of at most 24 bytes up to which a set of rows is broadcast (64 MB); a merge join beyond.
+BROADCAST_ROWS = 2_500_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -57,6 +64,18 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """A set's bits: each shingle sets one."""
+    bits = np.zeros(SIGN_BITS, dtype=bool)
+    bits[own & np.uint64(SIGN_BITS - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes as a signed number."""
+    return int(np.packbits(bit_counts(own) * 2 > len(own), bitorder="little").view(np.int64)[0])
+
+
 def prefix(own: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The first shingles of a set: n - ceil(0.8 n) + 1 of its n. common are sorted hashes, place their places in the order."""
     k = len(own) - -(-PART * len(own) // WHOLE) + 1 if len(own) else 0
@@ -90,32 +109,69 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col("text").isNull(), F.col("text"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written table as one side of a join: broadcast where its counted rows are few, else merged."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+NODES = "row long, doc_id long, node long, n long, fp long, sign binary, prefix array<long>"
+
+
 def nodes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, node, n, prefix) for every row of docs: the key of its set, the set's size and first shingles."""
+    """(row, doc_id, node, n, fp, sign, prefix) for every row of docs: the key of its set, the set's size, fingerprint, bits and first shingles."""
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            keys, sizes, first = [], [], []
+            keys, sizes, fps, signs, first = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 own = shingle_set(t)
                 keys.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
+                fps.append(fingerprint(own))
+                signs.append(bitmap(own))
                 first.append(prefix(own, *known.value).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *first])))
             keys = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys, pa.array(sizes, pa.int64()), lists], ["row", "doc_id", "node", "n", "prefix"])
+            columns = [b.column(0), b.column(1), keys, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(signs, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "n", "fp", "sign", "prefix"])
 
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, node long, n long, prefix array<long>")
+    return rows.mapInArrow(run, NODES)
+
+
+def near_bits(own: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints differ in three bits at most, enough to span what they link: the Gray-order index's."""
+    spark = own.sparkSession
+    least = materialise(own.groupBy("fp").agg(F.min("node").alias("id")), "neardup-fps")
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least.count() * len(TABLES) // 2_000_000)
+    equal = own.select("fp", F.col("node").alias("u")).join(least.hint("merge"), "fp").where("u <> id").select("u", F.col("id").alias("v"))
+    return forest(least, n_parts).unionByName(equal)
+
+
+def plausible(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose sizes and bits allow them to be alike: a differing bit is a shingle that one of them lacks."""
+
+    def end(c: str) -> DataFrame:
+        return own.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")).hint("merge")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = {c: np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for c in ("su", "sv")}
+            apart = np.bitwise_count(of["su"] ^ of["sv"]).sum(1, dtype=np.int64)
+            both = b.column("nu").to_numpy() + b.column("nv").to_numpy()
+            yield b.select(["u", "v"]).filter(pa.array((WHOLE + PART) * apart <= (WHOLE - PART) * both))
+
+    sized = pairs.join(end("u"), "u").join(end("v"), "v").where(f"{WHOLE} * least(nu, nv) >= {PART} * greatest(nu, nv)")
+    return sized.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose texts are alike."""
+    """Those of pairs (u, v), a written table, whose texts are alike. Only their own texts move."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rows = known.groupBy("node").agg(F.min("row").alias("row")).join(ends, "node", "left_semi")
-    texts = docs.select(row_key().alias("row"), "text").join(rows, "row").groupBy("node").agg(F.first("text").alias("text"))
+    rows = materialise(known.groupBy("node").agg(F.min("row").alias("row")).join(ends, "node", "left_semi"), "neardup-ends")
+    texts = docs.select(row_key().alias("row"), "text").join(_few(rows), "row").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts, "neardup-texts")
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
     both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
@@ -145,17 +201,21 @@ def may_be_alike() -> Column:
 
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes that are alike, enough of them to span every component."""
-    own = known.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    each = own.select("node", "n", F.explode("prefix").alias("h"))
-    lists = each.groupBy("h").agg(F.count("*").alias("texts"), F.min("node").alias("least")).where("texts > 1").select("h", "least")
-    lists = materialise(each.join(lists.hint("merge"), "h"), "neardup-lists")
-    near = lists.where("node <> least").groupBy(F.col("least").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("shared"), F.first("n").alias("nv"))
-    sizes = known.groupBy(F.col("node").alias("u")).agg(F.first("n").alias("nu"))
-    near = materialise(near.join(sizes.hint("merge"), "u").where(may_be_alike()).select("u", "v"), "neardup-pairs")
+    own = materialise(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "sign")]), "neardup-nodes")
+    # most first shingles are one text's only: counted by themselves, before their texts move
+    each = known.select("node", "n", F.explode("prefix").alias("h"))
+    often = each.groupBy("h").count().where("count > 1").select("h")
+    lists = materialise(each.join(often.hint("merge"), "h", "left_semi").distinct(), "neardup-lists")
+    least = lists.groupBy("h").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("least")).where("texts > 1")
+    least = least.select("h", F.col("least.node").alias("u"), F.col("least.n").alias("nu"))
+    near = lists.join(least.hint("merge"), "h").where("node <> u").groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("shared"), F.first("nu").alias("nu"), F.first("n").alias("nv"))
+    near = near.where(may_be_alike()).select("u", "v")
+    indexed = near_bits(own).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    near = materialise(plausible(near.unionByName(indexed).distinct(), own), "neardup-pairs")
     edges = verified(near, known, docs)
 
     groups = components(edges).withColumnRenamed("component", "c")
-    grouped = lists.select("h", "node", "n").join(groups.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    grouped = lists.join(groups.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     grouped = materialise(grouped, "neardup-grouped")
     largest = grouped.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", "k").alias("top"), F.count("*").alias("groups"))
     open_ = grouped.join(largest.where("groups > 1").select("h", "top").hint("merge"), "h")
@@ -167,13 +227,22 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     ends.append(F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
     apart = apart.select(*ends).groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
     apart = apart.where(may_be_alike()).select("u", "v").join(near.hint("merge"), ["u", "v"], "left_anti")
-    return edges.unionByName(verified(materialise(apart, "neardup-pairs"), known, docs))
+    return edges.unionByName(verified(materialise(plausible(apart, own), "neardup-pairs"), known, docs))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row left of each component: that of the smallest doc_id."""
+    """docs with one row left of each component: that of the smallest doc_id. The rows that go are few beside the table, so that texts stay where they are while the goers' keys can be broadcast."""
     lighter_batches(docs.sparkSession)
     known = materialise(nodes(docs), "neardup")
-    groups = known.join(components(links(docs, known)).hint("merge"), "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
-    stay = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
-    return docs.withColumn("_row", row_key()).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    groups = known.select("node", "doc_id", "row").join(components(links(docs, known)).hint("merge"), "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
+    groups = materialise(groups, "neardup-groups")
+    stay = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    gone = materialise(groups.join(stay.hint("merge"), "row", "left_anti").select("row").distinct(), "neardup-gone")
+    twice = materialise(groups.groupBy("row").count().where("count > 1").select("row").join(gone.hint("merge"), "row", "left_anti"), "neardup-twice")
+    carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), row_key().alias("row"))
+    kept = carried.join(_few(gone), "row", "left_anti")
+    if twice.isEmpty():
+        return kept.select("_doc.*")
+    # rows of one id and one text: one of them stays
+    once, more = kept.join(_few(twice), "row", "left_anti"), kept.join(_few(twice), "row", "left_semi")
+    return once.unionByName(more.groupBy("row").agg(F.first("_doc").alias("_doc")).select(*once.columns)).select("_doc.*")

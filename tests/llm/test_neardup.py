@@ -62,12 +62,26 @@ def test_copies_around_the_limit_and_a_common_line(spark, monkeypatch):
     expect = plain_kept(rows)
     assert 100 < len(expect) < len(rows) - 60
     assert sorted(r["doc_id"] for r in kept(spark, rows).collect()) == expect
-    monkeypatch.setattr(neardup, "SAMPLE_DOCS", 0)  # the order changes no result
+    monkeypatch.setattr(neardup, "SAMPLE_DOCS", 0)  # the order changes no result, nor does a merge instead of a broadcast
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
     assert sorted(r["doc_id"] for r in kept(spark, rows).collect()) == expect
 
 
+def test_bitmaps_reject_no_alike_pair():
+    draw = random.Random(3)
+    for n in (1, 4, 9, 90, 3000):
+        for _ in range(20):
+            base = [f"w{draw.randrange(9000)}" for _ in range(n + 4)]
+            other = [w if draw.random() > 0.02 else "x" for w in base]
+            a, b = (neardup.shingle_set(" ".join(t)) for t in (base, other))
+            apart = sum((x ^ y).bit_count() for x, y in zip(neardup.bitmap(a), neardup.bitmap(b)))
+            assert not neardup.alike(a, b) or 9 * apart <= len(a) + len(b)
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (4, ""), (3, " \n"), (None, "same words"), (9, "Same  words"), (8, "same words"), (8, "same words"), (8, "other words"), (None, "no id"), (None, "no id")]
     got = sorted(((r["doc_id"], r["text"]) for r in kept(spark, rows).collect()), key=str)
     assert got == sorted([(3, " \n"), (8, "same words"), (8, "other words"), (None, "no id")], key=str)
     assert kept(spark, []).count() == 0
+    clash = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8)], "doc_id long, text string, row int, _doc int")
+    assert [tuple(r) for r in neardup.keep_one(clash).collect()] == [(1, "a b c", 5, 6)]

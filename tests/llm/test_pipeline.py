@@ -6,7 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 from streamloom.llm import language, mixing, simhash
 from tests.llm.test_decontamination import brute
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_neardup import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,8 +42,7 @@ def test_language_stage_drops_what_has_no_letters_and_little_else(stages):
 
 def test_near_duplicate_stage_equals_brute_force(stages):
     before, after = map(rows, stages[1])
-    label = plain_components([i for i, _ in before], [plain_fingerprint(t) for _, t in before])
-    assert sorted(i for i, _ in after) == sorted(set(label.values()))
+    assert sorted(i for i, _ in after) == plain_kept(before)
 
 
 def test_decontamination_stage_equals_brute_force(spark, stages):
