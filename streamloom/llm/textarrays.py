@@ -12,9 +12,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CHARS_AT_ONCE = 1 << 20
+_LAST_GAP = regex.compile(r"(?r)[^\p{L}\p{M}\p{N}]")
 #: Coefficients of the words of a shingle.
 STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16)], dtype=np.uint64)
 
@@ -75,13 +77,17 @@ def span_hash(text: str) -> int:
 
 
 def pieces(text: str, size: int = CHARS_AT_ONCE) -> Iterator[str]:
-    """text in pieces of at most size characters, cut after white space where there is any."""
+    """text in pieces of at most size characters, cut where no word is: after any character that is neither letter, mark nor
+    number. Only a word longer than a piece is cut itself, after size characters."""
     at = 0
     while at < len(text):
         end = min(len(text), at + size)
         if end < len(text):
-            back = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = back + 1 if back >= at else end
+            for low in range(end, at, -4096):  # look back for the end of a word
+                m = _LAST_GAP.search(text, max(at, low - 4096), low)
+                if m:
+                    end = m.end()
+                    break
         yield text[at:end]
         at = end
 

@@ -1,3 +1,4 @@
+from streamloom.llm.decontamination import find
 from streamloom.llm import decontamination as d
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -71,3 +72,13 @@ def test_one_or_many_blocks_judge_each_row_by_its_own_text(spark, monkeypatch):
     got = d.contamination(df, benchmark).collect()
     assert sorted(map(str, got)) == one
     assert sorted((str(r["doc_id"]), r["item_ids"]) for r in got) == [("7", []), ("7", [1, 2]), ("8", [3, 3]), ("None", []), ("None", [0])]
+
+
+def test_an_item_anywhere_in_a_long_text_of_tabs(spark):
+    """Pieces of long texts are cut between words whatever stands between them."""
+    item = "a plain question about the long way home and back"
+    for gap in ("\t", "\u00a0", "/", "_"):
+        word = f"filler{gap}"
+        rows = [(k, word * (((1 << 20) - 40) // len(word)) + "x" * k + gap + item.replace(" ", gap) + gap + word * 9) for k in range(0, 45, 9)]
+        got = find(spark.createDataFrame(rows, "doc_id long, text string"), [(7, item)]).collect()
+        assert all([f["item_id"] for f in r["found"]] == [7] for r in got)
