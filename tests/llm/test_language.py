@@ -1,8 +1,10 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from streamloom.llm import language
@@ -16,30 +18,138 @@ def model(spark):
     return language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), fit_rows=300)
 
 
-def test_forward_sums_every_segmentation():
-    names = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
-    pieces = language.Pieces(names)
-    prob = np.vstack([np.random.default_rng(0).random((len(names), 2)), np.zeros((1, 2))])
-
-    def plain(word, k):
-        p = dict(zip(names, prob[:, k]))
-        total = 0.0
-        for cuts in itertools.product([0, 1], repeat=len(word) - 1):
-            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
-            w = 1.0
-            for i, j in zip(at, at[1:]):
-                s = word[i:j]
-                v = p.get(s, 0.0)
-                v = p.get("▁" + s, 0.0) + p["▁"] * v if i == 0 else v
-                w *= v + (language.FLOOR if j == i + 1 else 0.0)
-            total += w
-        return total
-
-    words = ["abba", "a", "bab", "ccab"]
-    text = "\n".join(words)
+NAMES = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "abbaabbaabbaabb"]
+
+
+def segmentations(word, p):
+    """Every way to cut a word, with its weight and the share of each piece in it."""
+    for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+        at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
+        ways = [(1.0, ())]
+        for i, j in zip(at, at[1:]):
+            s, own = word[i:j], []
+            if i == 0:
+                own += [(p.get("▁" + s, 0.0), ("▁" + s,)), (p["▁"] * p.get(s, 0.0), ("▁", s))]
+            else:
+                own.append((p.get(s, 0.0), (s,)))
+            if j == i + 1:
+                own.append((language.FLOOR, ()))
+            ways = [(w * v, used + more) for w, used in ways for v, more in own if v]
+        yield from ways
+
+
+def table(words):
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    got = language.word_likelihoods(Chars(text), ends - [len(w) for w in words], ends, pieces, prob)
-    assert np.allclose(got, [[np.log(plain(w, k)) for k in range(2)] for w in words])
+    return Chars("\n".join(words)), ends - [len(w) for w in words], ends
+
+
+@pytest.mark.parametrize("short", [32, 0])
+def test_sums_and_expectations_over_every_segmentation(monkeypatch, short):
+    """By length and one by one, against all cuts written out."""
+    monkeypatch.setattr(language, "SHORT", short)
+    monkeypatch.setattr(language, "STRETCH", 3)
+    pieces = language.Pieces(NAMES)
+    assert pieces.longest == 15
+    prob = np.vstack([np.random.default_rng(0).random((len(NAMES), 2)), np.zeros((1, 2))])
+    words, n = ["abba", "a", "bab", "ccab", "abbaabbaabbaabb"], np.array([3, 1, 2, 5, 1])
+    got = language.word_likelihoods(*table(words), pieces, prob)
+    for k in range(2):
+        p = dict(zip(NAMES, prob[:, k]))
+        ways = [list(segmentations(w, p)) for w in words]
+        totals = [sum(w for w, _ in own) for own in ways]
+        assert np.allclose(got[:, k], np.log(totals))
+        expect = dict.fromkeys(NAMES, 0.0)
+        for own, total, times in zip(ways, totals, n):
+            for w, used in own:
+                for s in used:
+                    expect[s] += times * w / total
+        counts = language.expected_counts(*table(words), n, pieces, prob[:, k : k + 1])
+        assert np.allclose(counts, [expect[s] for s in NAMES])
+
+
+def test_long_words_equal_the_sums_by_length(monkeypatch):
+    pieces = language.Pieces(language.read_pieces(language.default_vocabulary()))
+    prob = np.vstack([np.random.default_rng(1).dirichlet(np.ones(pieces.n), 3).T, np.zeros((1, 3))])
+    words = ["internationalisation", "donaudampfschifffahrtsgesellschaft", "a" * 31, "слово" * 6]
+    monkeypatch.setattr(language, "SHORT", 40)
+    one = language.word_likelihoods(*table(words), pieces, prob)
+    monkeypatch.setattr(language, "SHORT", 5)
+    assert np.allclose(language.word_likelihoods(*table(words), pieces, prob), one)
+    assert np.isfinite(language.word_likelihoods(*table(["ab" * 30_000]), pieces, prob)).all()
+
+
+def plain_fit(rows, names, longest, rounds):
+    """Piece probabilities by language from dictionaries: forward-backward a word."""
+    langs = sorted({lang for lang, _ in rows})
+    words = {lang: Counter() for lang in langs}
+    for lang, text in rows:
+        words[lang].update(regex.findall(r"[\p{L}\p{M}]+", text.lower()))
+    known, prob = set(names), {lang: dict.fromkeys(names, 1 / len(names)) for lang in langs}
+
+    def weight(p, w, i, j):
+        v = p.get(w[i:j], 0.0)
+        return (p.get("▁" + w[i:j], 0.0) + p["▁"] * v if i == 0 else v) + (language.FLOOR if j == i + 1 else 0.0)
+
+    def sums(p, w):
+        a, b = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+        for j in range(1, len(w) + 1):
+            a[j] = sum(a[i] * weight(p, w, i, j) for i in range(max(0, j - longest), j))
+        for i in range(len(w) - 1, -1, -1):
+            b[i] = sum(weight(p, w, i, j) * b[j] for j in range(i + 1, min(len(w), i + longest) + 1))
+        return a, b
+
+    for _ in range(rounds):
+        for lang in langs:
+            p, n = prob[lang], dict.fromkeys(names, language.SMOOTHING)
+            for w, times in words[lang].items():
+                a, b = sums(p, w)
+                for i in range(len(w)):
+                    for j in range(i + 1, min(len(w), i + longest) + 1):
+                        outer, s = times * a[i] * b[j] / a[-1], w[i:j]
+                        if i == 0 and "▁" + s in known:
+                            n["▁" + s] += outer * p["▁" + s]
+                        if s in known:
+                            n[s] += outer * p[s] * (p["▁"] if i == 0 else 1.0)
+                            n["▁"] += outer * p[s] * p["▁"] if i == 0 else 0.0
+            total = sum(n.values())
+            prob[lang] = {s: x / total for s, x in n.items()}
+    return langs, {lang: lambda w, p=prob[lang]: sums(p, w)[0][-1] for lang in langs}
+
+
+def test_the_query_equals_a_plain_version(spark):
+    """Learning, words, sums, decision and score of every row, all in dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 400).alias("text"), "lang").where("doc_id % 4 = 0")
+    rows = docs.collect()
+    names = language.read_pieces(language.default_vocabulary())
+    longest = max(len(s.removeprefix("▁")) for s in names)
+    aside = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    langs, likelihood = plain_fit([(r["lang"], r["text"]) for r in rows if not aside(r["doc_id"])], names, longest, 2)
+    got = {r["doc_id"]: r for r in language.identify(docs, iterations=2).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        words = regex.findall(r"[\p{L}\p{M}]+", r["text"].lower())
+        logs = [sum(np.log(likelihood[lang](w)) for w in words) for lang in langs]
+        g = got[r["doc_id"]]
+        assert g["held_out"] == aside(r["doc_id"])
+        assert g["lang_pred"] == (langs[int(np.argmax(logs))] if words else "und")
+        assert g["score"] == pytest.approx(1 / sum(np.exp(x - max(logs)) for x in logs) if words else 0.0, rel=1e-4, abs=1e-9)
+
+
+def test_a_rare_language_is_learned_beside_a_hot_one(spark):
+    rows = [(i, "the cat sat on the mat and then it ran", "en") for i in range(3000)] + [(5000 + i, "der hund und die katze sind nicht hier", "de") for i in range(8)]
+    model = language.fit(spark.createDataFrame(rows, SCHEMA), fit_rows=20, iterations=2)
+    assert model.langs == ["de", "en"]
+
+
+def test_words_kept_by_a_task_change_nothing():
+    pieces = language.Pieces(NAMES)
+    model = language.Model(["x", "y"], pieces, np.vstack([np.random.default_rng(0).random((len(NAMES), 2)), np.zeros((1, 2))]))
+    kept = language.Kept(2)
+    kept.bits = 2
+    kept.keys, kept.values, kept.full = kept.keys[:4], kept.values[:4], kept.full[:4]
+    texts = ["ab ba abb", "b ab a bb aab abab", "ab", None, "aa ab b"] * 3
+    for k in range(0, 15, 4):
+        assert np.allclose(language.score_texts(texts[k : k + 4], model, kept)[0], language.score_texts(texts[k : k + 4], model)[0])
 
 
 def test_held_out_accuracy(spark, model):
