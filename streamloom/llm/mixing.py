@@ -8,9 +8,11 @@ those quotas: at each node the left half's draws by source follow the multivaria
 node, so every shard has an exact count of blocks from each source. The shards then take disjoint consecutive runs of
 each source's permuted draws and are shuffled locally.
 
+A source's draws are made in a task of their own, from at most GRID blocks. The driver sees a row for each source.
+
 Defined cases: a null or blank text has size 0 and is taken as often as its block; a null source is a source of its own,
 the last in order; repeated rows are rows of their own with the same decision; an empty table gives an empty result;
-columns of the input that clash with an output column are replaced.
+plan() replaces columns that clash with its own, mix() only mix_shard; all others are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 GRID = 1 << 16
 BROADCAST_ROWS = 200_000
-FINE = 64
+#: Documents of a boundary block that are searched exactly, and the words that they may have together.
+FINE, FINE_WORDS = 64, 1 << 22
 
 
 def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -86,83 +89,89 @@ def nearest_subset(sizes: list[int], goal: float) -> list[int]:
 
 
 def _fitting(docs: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a boundary block that bring its sum nearest to what is left of the target: in hash order while they fit, the last FINE by exact search."""
-    docs, rest = docs.sort_values("_h"), docs["_rest"].iloc[0]
-    ids, sizes, fit = docs["_h"].astype(int).tolist(), docs["size"].astype(int).tolist(), []
-    for h, n in zip(ids[:-FINE], sizes[:-FINE]):
+    """The documents of a boundary block that bring its sum nearest to what is left of the target: the larger ones in hash order while they fit, up to FINE of the smallest by exact search."""
+    rest, own = docs["_rest"].iloc[0], sorted(zip(docs["size"].astype(int), docs["_h"].astype(int)))
+    small = 0
+    while small < min(FINE, len(own)) and sum(n for n, _ in own[: small + 1]) <= FINE_WORDS:
+        small += 1
+    fit = []
+    for h, n in sorted((h, n) for n, h in own[small:]):
         if n <= rest:
             fit.append(h)
             rest -= n
-    fit += [ids[-FINE:][i] for i in nearest_subset(sizes[-FINE:], rest)]
-    return pd.DataFrame({"_s": [docs["_s"].iloc[0]], "fit": [fit]})
-
+    fit += [own[i][1] for i in nearest_subset([n for n, _ in own[:small]], rest)]
+    return pd.DataFrame({"_s": [docs["_s"].iloc[0]], "_block": [docs["_block"].iloc[0]], "_fit": [fit]})
+
+
+def draws_of(blocks: dict[int, int], number: int, size: int, target: float, cap: int, seed: int) -> tuple[dict[int, list[int]], tuple[int, float] | None]:
+    """A source's draws: block -> its places in the order of draws; and the boundary block with what is left for it."""
+    own = sorted(blocks)
+    order = [own[j] for j in np.random.default_rng([seed, number]).permutation(len(own))]
+    whole = min(cap, int(target // size)) if size else 0
+    places: dict[int, list[int]] = {b: [p * len(order) + j for p in range(whole)] for j, b in enumerate(order)}
+    at, rest, edge = whole * len(order), target - whole * size, None
+    for b in order if size and whole < cap else []:
+        places[b].append(at)
+        at += 1
+        if blocks[b] > rest:
+            edge = (b, float(rest))
+            break
+        rest -= blocks[b]
+    return {b: p for b, p in places.items() if p}, edge
 
-def plan(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2, seed: int = 9, docs_per_block: int = 64) -> DataFrame:
-    """docs with size, source_size, target, copies (array of the shards that take the document, one entry a copy).
 
-    The driver sees one row for each source and one for each block (at most 65,536 a source), and the ids' hashes of one
-    boundary block a source (docs_per_block on average), never a table of documents.
-    """
-    docs = without(docs, "size", "source_size", "target", "copies")
+def _planned(docs: DataFrame, n_shards: int, share: float, cap: int, seed: int, docs_per_block: int) -> DataFrame:
+    """(_doc, _h, size, source_size, target, copies) of every row; _doc holds its columns."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({
-        "size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"),
-        "_h": F.xxhash64(F.col("doc_id"), F.lit(seed)),
-        "_s": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-    })
-    keyed = keyed.withColumn("_grid", F.pmod(F.col("_h"), F.lit(GRID)).cast("int"))
-    narrow = materialise(keyed.select("doc_id", "source", "size", "_h", "_s", "_grid"), "mix-sizes")
-    sources = narrow.groupBy("_s", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    keyed = docs.select(
+        F.struct("*").alias("_doc"),
+        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_s"),
+    ).withColumn("_grid", F.pmod(F.col("_h"), F.lit(GRID)).cast("int"))
+    narrow = materialise(keyed.select("size", "_h", "_s", "_grid"), "mix-sizes")
+    sources = narrow.groupBy("_s").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    sources.sort(key=lambda r: (r["_s"] == "n", r["_s"]))
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))]
     goal = targets([r["size"] for r in sources], weights, share, cap)
-    n_blocks = [int(min(GRID, max(1, -(-r["n"] // docs_per_block)))) for r in sources]
-    about = spark.createDataFrame(
-        [(r["_s"], r["size"], float(t), n) for r, t, n in zip(sources, goal, n_blocks)], "_s string, source_size long, target double, _n int"
-    )
-    with_block = lambda df: _join_small(df, about, len(sources), "_s").withColumn("_block", F.floor(F.col("_grid") * F.col("_n") / GRID).cast("int"))
-    sized = with_block(narrow).groupBy("_s", "_block").agg(F.sum("size").alias("size")).collect()
-    words: dict[str, dict[int, int]] = {}
-    for r in sized:
-        words.setdefault(r["_s"], {})[r["_block"]] = r["size"]
-
-    # each source's draws in order: whole passes, then the permuted blocks that fit, then the boundary block
-    draws, edges = [], []
-    for i, r in enumerate(sources):
-        own = words[r["_s"]]
-        order = [sorted(own)[j] for j in np.random.default_rng([seed, i]).permutation(len(own))]
-        whole, taken = (min(cap, int(goal[i] // r["size"])), []) if r["size"] else (0, [])
-        rest = goal[i] - whole * r["size"] if r["size"] else 0.0
-        for _ in range(whole):
-            taken += order
-        for b in order if whole < cap else []:
-            if own[b] <= rest:
-                taken.append(b)
-                rest -= own[b]
-            else:
-                edges.append((i, b, rest))
-                taken.append(b)
-                break
-        draws.append(taken)
-    quota = split_tree([len(d) for d in draws], n_shards, seed)
-    shards: dict[tuple[int, int], list[int]] = {}
-    for i, taken in enumerate(draws):
-        for b, s in zip(taken, np.repeat(np.arange(n_shards), quota[:, i]).tolist()):
-            shards.setdefault((i, b), []).append(s)
-    edge = spark.createDataFrame([(sources[i]["_s"], b, float(x)) for i, b, x in edges], "_s string, _block int, _rest double")
-    inside = with_block(narrow).join(F.broadcast(edge), ["_s", "_block"]).groupBy("_s", "_rest", "_h").agg(F.sum("size").alias("size"))
-    fits = {r["_s"]: r["fit"] for r in inside.groupBy("_s").applyInPandas(_fitting, "_s string, fit array<long>").collect()}
-    at_edge = {(i, b) for i, b, _ in edges}
-    rows = [(sources[i]["_s"], b, s, fits.get(sources[i]["_s"], []) if (i, b) in at_edge else None) for (i, b), s in sorted(shards.items())]
-    chosen = spark.createDataFrame(rows, "_s string, _block int, _shards array<int>, _fit array<long>")
+    rows = [(r["_s"], i, r["size"], float(t), int(min(GRID, max(1, -(-r["n"] // docs_per_block))))) for i, (r, t) in enumerate(zip(sources, goal))]
+    about = spark.createDataFrame(rows, "_s string, _number int, source_size long, target double, _n int")
+    block = F.floor(F.col("_grid") * F.col("_n") / GRID).cast("int")
+    with_block = lambda df: _join_small(df, about, len(rows), "_s").withColumn("_block", block)
+
+    def draw(of: pd.DataFrame) -> pd.DataFrame:
+        first = of.iloc[0]
+        places, edge = draws_of(dict(zip(of["_block"].tolist(), of["size"].tolist())), int(first["_number"]), int(first["source_size"]), float(first["target"]), cap, seed)
+        rest = [edge[1] if edge and edge[0] == b else None for b in places]
+        return pd.DataFrame({"_s": [first["_s"]] * len(places), "_block": list(places), "_places": list(places.values()), "_rest": pd.array(rest, dtype="Float64")})
+
+    sized = with_block(narrow).groupBy("_s", "_block", "_number", "source_size", "target").agg(F.sum("size").alias("size"))
+    drawn = materialise(sized.groupBy("_s").applyInPandas(draw, "_s string, _block int, _places array<long>, _rest double"), "mix-draws")
+    quota = {r["_s"]: r["n"] for r in drawn.groupBy("_s").agg(F.sum(F.size("_places")).alias("n")).collect()}
+    parts = split_tree([quota.get(r["_s"], 0) for r in sources], n_shards, seed).cumsum(0)
+    # a source's draws before the end of each shard
+    ends = spark.createDataFrame([(r["_s"], parts[:, i].tolist()) for i, r in enumerate(sources)], "_s string, _ends array<long>")
+    shards = F.transform("_places", lambda k: F.size(F.filter("_ends", lambda e: e <= k)))
+    edge = drawn.where("_rest is not null").select("_s", "_block", "_rest")
+    inside = _join_small(with_block(narrow), edge, len(rows), "_s", "_block").where("_rest is not null").groupBy("_s", "_block", "_rest", "_h").agg(F.sum("size").alias("size"))
+    fits = inside.groupBy("_s").applyInPandas(_fitting, "_s string, _block int, _fit array<long>")
+    chosen = _join_small(drawn, ends, len(rows), "_s").select("_s", "_block", shards.alias("_shards"), "_rest").join(fits, ["_s", "_block"], "left")
+    # a boundary block without documents that fit takes none of them
+    chosen = materialise(chosen.withColumn("_fit", F.when(F.col("_rest").isNotNull(), F.coalesce("_fit", F.array().cast("array<long>")))).drop("_rest"), "mix-chosen")
     some = F.coalesce(F.col("_shards"), F.array().cast("array<int>"))
     copies = F.when(~F.array_contains("_fit", F.col("_h")), F.slice(some, F.lit(1), F.size(some) - 1)).otherwise(some)
-    return _join_small(with_block(keyed), chosen, len(rows), "_s", "_block").withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies")
+    return _join_small(with_block(keyed), chosen, chosen.count(), "_s", "_block").select("_doc", "_h", "size", "source_size", "target", copies.alias("copies"))
+
+
+def plan(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2, seed: int = 9, docs_per_block: int = 64) -> DataFrame:
+    """docs with size, source_size, target, copies (array of the shards that take the document, one entry a copy)."""
+    kept = without(docs, "size", "source_size", "target", "copies")
+    return _planned(kept, n_shards, share, cap, seed, docs_per_block).select("_doc.*", "size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, n_shards: int = 16, **options) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2, seed: int = 9, docs_per_block: int = 64) -> DataFrame:
     """The mixed table: each document as often as its source's quota takes it, dealt by shard and shuffled inside it."""
-    keep = without(docs, "mix_shard").columns
-    dealt = plan(docs, n_shards, **options).select(*keep, F.posexplode("copies").alias("_copy", "mix_shard"))
-    spread = dealt.withColumn("_order", F.xxhash64("doc_id", "_copy", "mix_shard"))
-    return spread.repartition("mix_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("mix_shard", "_order").drop("_copy", "_order")
+    planned = _planned(without(docs, "mix_shard"), n_shards, share, cap, seed, docs_per_block)
+    dealt = planned.select("_doc", "_h", F.posexplode("copies").alias("_copy", "mix_shard"))
+    spread = dealt.withColumn("_order", F.xxhash64("_h", "_copy", "mix_shard"))
+    return spread.repartition("mix_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("mix_shard", "_order").select("_doc.*", "mix_shard")

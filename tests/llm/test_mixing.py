@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from streamloom.llm import mixing
 
@@ -53,6 +54,76 @@ def test_whole_table(spark, small):
     assert again == {r["doc_id"]: r["copies"] for r in rows}
 
 
+def plain_tree(quotas, low, high, seed):
+    """Draws by shard, from the node of shards low to high down."""
+    if high - low == 1:
+        return {low: list(quotas)}
+    mid, total = (low + high) // 2, int(sum(quotas))
+    left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(quotas, total * (mid - low) // (high - low), method="marginals") if total else quotas
+    return plain_tree(left, low, mid, seed) | plain_tree([a - b for a, b in zip(quotas, left)], mid, high, seed)
+
+
+def test_the_plan_equals_a_plain_version(spark, small):
+    """Copies and shards of every row: blocks, draws, boundary and tree in lists."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    per_block, seed, n_shards = 4, 9, 5
+    rows = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"], r["h"]) for r in docs.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).collect()]
+    names = sorted({s for _, _, s, _ in rows})
+    goal = mixing.targets([sum(n for _, n, s, _ in rows if s == name) for name in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2)
+    draws, short = [], set()
+    for i, name in enumerate(names):
+        own = [r for r in rows if r[2] == name]
+        n_blocks = max(1, -(-len(own) // per_block))
+        block = {r[0]: (r[3] % 65536) * n_blocks // 65536 for r in own}
+        used = sorted(set(block.values()))
+        order = [used[j] for j in np.random.default_rng([seed, i]).permutation(len(used))]
+        words = lambda b: sum(r[1] for r in own if block[r[0]] == b)
+        rest, taken = goal[i], []
+        for b in order + order:
+            taken.append([r[0] for r in own if block[r[0]] == b])
+            if words(b) > rest:
+                sums = {0: ()}  # every sum of the block's documents, the nearest to the rest wins
+                for n, h, d in sorted((r[1], r[3], r[0]) for r in own if block[r[0]] == b):
+                    for t in sorted(sums, reverse=True):
+                        sums.setdefault(t + n, (*sums[t], d))
+                assert len(taken[-1]) <= mixing.FINE
+                best = min(abs(t - rest) for t in sums)
+                short.add((name, len(taken) - 1, best))
+                break
+            rest -= words(b)
+        draws.append(taken)
+    tree = plain_tree([len(d) for d in draws], 0, n_shards, seed)
+    expect, edges = defaultdict(list), {}
+    for i, taken in enumerate(draws):
+        k = 0
+        for shard in range(n_shards):
+            for _ in range(int(tree[shard][i])):
+                edge = next((e for e in short if e[0] == names[i] and e[1] == k), None)
+                for d in taken[k]:
+                    if edge:
+                        edges[d] = shard
+                    else:
+                        expect[d].append(shard)
+                k += 1
+    taken_words = defaultdict(int)
+    for r in mixing.plan(docs, n_shards, docs_per_block=per_block).collect():
+        taken_words[r["source"]] += r["size"] * len(r["copies"])
+        assert r["copies"] in (expect[r["doc_id"]], expect[r["doc_id"]] + [edges.get(r["doc_id"])])
+    # what a boundary block adds comes as near to the rest as any choice of its documents
+    for i, name in enumerate(names):
+        best = next((e[2] for e in short if e[0] == name), 0)
+        assert abs(abs(taken_words[name] - goal[i]) - best) < 1e-6
+
+
+def test_clashing_names_and_very_long_documents(spark):
+    rows = [(i, "w " * (3 if i else 3_000_000), "a" if i % 2 else "b", 7, 8, 9, 10, 11, 12) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", size int, _h int, _block int, _n int, _copy int, _s int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_shard"]
+    assert {tuple(r)[3:9] for r in mixed.collect()} == {(7, 8, 9, 10, 11, 12)}
+    assert mixing.plan(docs).columns == ["doc_id", "text", "source", "_h", "_block", "_n", "_copy", "_s", "size", "source_size", "target", "copies"]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "a b c", None), (3, "", "x"), (None, "d e", "x"), (4, "f " * 5000, "y"), (4, "f " * 5000, "y")]
     out = mixing.plan(spark.createDataFrame([(*r, 5) for r in rows], SCHEMA + ", Target int")).collect()
