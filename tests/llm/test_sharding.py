@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from streamloom.llm import sharding
 
 SCHEMA = "doc_id long, text string"
@@ -44,9 +46,65 @@ def test_reruns_agree(spark, small):
     assert key(sharding.shard(docs, 5)) == key(sharding.shard(docs.repartition(3), 5))
 
 
+def test_the_result_equals_a_plain_version(spark, small):
+    """Splitters, subdivision, packing and slots of every row in lists, from the rows' keys and chances."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    copies = spark.createDataFrame([(10_000 + i, "one text many times " * 30) for i in range(150)] + [(20_000 + i, f"tiny {i % 7}") for i in range(100)], SCHEMA)
+    docs, n_shards, per_shard = docs.unionByName(copies), 6, 8
+    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", F.lit("piece")).alias("k"), sharding.size_of(F.col("text")).alias("b"))
+    rows = keys.withColumn("chance", sharding._chance(F.col("h"), F.col("k"))).collect()
+    total, n = sum(r["b"] for r in rows), n_shards * per_shard
+    ideal = total / n
+    groups = defaultdict(int)
+    for r in rows:
+        groups[r["h"]] += r["b"]
+    heavy = sorted(h for h, b in groups.items() if b > total / n_shards)
+    sample = sorted(r["h"] for r in rows if r["chance"] < r["b"] * 16 / ideal)
+    cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)})
+
+    def place(r):
+        if r["h"] in heavy:
+            return len(cuts) + 1 + heavy.index(r["h"]) * n + r["k"] % (1 << 64) % n
+        return sum(c <= r["h"] for c in cuts)
+
+    for again in range(1, 12):
+        held = defaultdict(list)
+        for r in rows:
+            held[place(r)].append(r)
+        over = {i for i, own in held.items() if sum(r["b"] for r in own) > 2 * ideal and len({r["h"] for r in own}) > 1}
+        if not over:
+            break
+        inside = [r for i in over for r in held[i]]
+        size = defaultdict(int)
+        for r in inside:
+            size[r["h"]] += r["b"]
+        large = {h for h, b in size.items() if b > ideal / 4}
+        more = sorted({r["h"] for r in inside if r["chance"] < r["b"] * 4 * again * 16 / ideal})[:: again * 16]
+        cuts = sorted({*cuts, *more, *large, *[h + 1 for h in large], *[max(r["h"] for r in held[i]) for i in over]})
+    load, shard_of = [0] * n_shards, {}
+    for i in sorted(held, key=lambda i: (-sum(r["b"] for r in held[i]), i)):
+        shard_of[i] = min(range(n_shards), key=lambda s: (load[s], s))
+        load[shard_of[i]] += sum(r["b"] for r in held[i])
+    got = {r["doc_id"]: r for r in sharding.shard(docs, n_shards, per_shard).collect()}
+    place_of = {r["doc_id"]: place(r) for r in rows}
+    assert all(g["shard"] == shard_of[place_of[i]] for i, g in got.items())
+    for s in range(n_shards):
+        order = sorted((r for r in rows if shard_of[place_of[r["doc_id"]]] == s), key=lambda r: (place_of[r["doc_id"]], r["h"], r["k"]))
+        assert [got[r["doc_id"]]["slot"] for r in order] == list(range(len(order)))
+
+
+def test_many_cells(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, "one text many times " * 30) for i in range(150)], SCHEMA))
+    rows = sharding.shard(docs, 6, 8, cell_bytes=2000).collect()
+    check_law(rows, 6)
+    one = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 6, 8).collect()}
+    assert one == {r["doc_id"]: r["shard"] for r in rows}
+
+
 def test_odd_rows(spark):
     rows = [(None, None), (1, None), (1, None), (2, ""), (3, "x" * 200_000), (3, "é")]
-    df = spark.createDataFrame([(*r, 7) for r in rows], SCHEMA + ", SHARD int")
+    df = spark.createDataFrame([(*r, 7, 1, 2, 3) for r in rows], SCHEMA + ", SHARD int, h int, start int, _doc int")
     out = sharding.shard(df, 3)
     assert [c.lower() for c in out.columns].count("shard") == 1
     check_law(out.collect(), 3)
