@@ -46,12 +46,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield b.slice(at, rows)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def lighter_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows an Arrow batch than Spark's 10,000 for this session's texts on their way to Python and back: whole texts make
-    batches of tens of megabytes, several of which are held at once on either side. A setting of the user's own, of any
-    number, stays. No operator's result depends on it."""
-    if BATCH_ROWS not in spark.conf.getAll:
-        spark.conf.set(BATCH_ROWS, str(rows))
+def lighter_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Smaller Arrow batches than Spark's 10,000 rows and 64 MB for this session's texts on their way to Python and back, as
+    several batches are held at once on either side. Settings of the user's own, of any value, stay. No operator's result
+    depends on them."""
+    own = spark.conf.getAll
+    for key, value in ((BATCH_ROWS, rows), (BATCH_BYTES, size)):
+        if key not in own:
+            spark.conf.set(key, str(value))

@@ -2,7 +2,7 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's likelihood is the sum over all its
 segmentations into pieces, by the forward algorithm; a text's is the product over its words. Words are lower-cased runs
-of letters and combining marks of any length (one of over a million letters is cut there); spans reach as far as the vocabulary's longest piece. The piece
+of letters and combining marks of any length (one of over 262,143 letters is cut there); spans reach as far as the vocabulary's longest piece. The piece
 probabilities are fitted by expectation maximisation: forward-backward gives each piece's expected count over the word
 counts of a bounded sample of labelled documents, so many a language (all rows of a rare one), languages x vocabulary
 numbers an iteration, whatever the size of the table.
@@ -35,7 +35,7 @@ SHORT = 32
 #: Letters of a long word whose spans are weighed at a time.
 STRETCH = 1 << 14
 #: Likelihoods that a task keeps, at most.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 16 << 20
 FLOOR = 1e-7
 SMOOTHING = 0.1
 UNKNOWN = "und"

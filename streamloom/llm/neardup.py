@@ -6,11 +6,12 @@ about 10 of 64 bits, with a wide spread, and pigeonhole blocks for that many bit
 Gray-order index of simhash gives the links of at most three bits, and a second search finds those that it cannot.
 
 Second search: in one total order of all shingles, two sets of similarity 0.8 share one of their first n // 5 + 1
-shingles, n being a set's size. The order puts shingles that are common in a sample last, the others by hash; any order
+shingles, n being a set's size. The order puts shingles that texts of one task share last, by their number, the others by hash; any order
 finds every pair, this one keeps the lists of texts by shingle short. Every list first meets its least text; those pairs
-that share enough first shingles are verified, with the index's, and joined to components. What is left are pairs of
-different components that share a list: for each list the texts outside its largest component meet all others of it. So a
-large group of copies of one text is not compared pairwise, and no pair is left out.
+that share enough first shingles are verified, with the index's, and joined to components; in lists of many components some
+more texts do the same. What is left are pairs of different components that share a list at places where the first shared
+shingle of an alike pair can stand. So a large group of copies of one text is not compared pairwise, and no pair is left
+out.
 
 Pairs are verified by their texts only where their numbers of shingles, of shared first ones and of differing bits of
 their bitmaps (each set in SIGN_BITS bits) allow a similarity of 0.8 at all; none of these bounds rejects a true pair.
@@ -38,8 +39,13 @@ from .textarrays import STEPS, mixed
 WORDS = 5
 #: The least similarity, as a fraction.
 PART, WHOLE = 4, 5
-SAMPLE_DOCS, COMMON_FROM, MAX_COMMON = 10_000, 3, 1 << 18
+#: Shingles counted at a time in a task, and the most of the common ones that the order knows.
+COUNTED, MAX_COMMON = 1 << 22, 1 << 19
 SIGN_BITS = 1024
+#: Texts of a list of more than CROWD components that meet all others of it, and how often before the rest is paired.
+CROWD, PIVOTS, PIVOT_ROUNDS = 4, 12, 2
+#: Shingles of verified texts that a task keeps for their next pairs.
+HELD_SHINGLES = 1 << 20
 #: Rows of at most 24 bytes up to which a set of rows is broadcast (64 MB); a merge join beyond.
 BROADCAST_ROWS = 2_500_000
 
@@ -88,17 +94,30 @@ def prefix(own: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several texts of a bounded sample, sorted, and the place of each by its number of texts."""
+    """The MAX_COMMON shingles at most that come most often among those that several texts of one task share, sorted, and the place of each by its number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 64):
-            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
-            hashes, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "n"])
+        held, keys, size = [], set(), 0
+
+        def repeated() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
-    rate = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    counted = docs.select("text").sample(rate, seed=SEED).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    got = counted.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()
+        for b in small_batches(batches):
+            for t in b.column(0).to_pylist():
+                own = shingle_set(t)
+                key = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+                if key not in keys:  # of equal texts one counts
+                    keys.add(key)
+                    held.append(own)
+                    size += len(own)
+                if size > COUNTED:
+                    yield repeated()
+                    held, keys, size = [], set(), 0
+        yield repeated()
+
+    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    got = counted.orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()
     hashes = got.column(0).to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], len(hashes) - order
@@ -178,14 +197,16 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for b in small_batches(batches):
+        size = 0
+        for b in small_batches(batches, 64):
             keep = []
             for u, v, *texts in zip(*[c.to_pylist() for c in b.columns]):
-                if len(held) > 1000:
-                    held.clear()
+                if size > HELD_SHINGLES:
+                    held, size = {}, 0
                 for node, text in zip((u, v), texts):
                     if node not in held:
                         held[node] = shingle_set(text)
+                        size += len(held[node])
                 keep.append(alike(held[u], held[v]))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
@@ -199,11 +220,22 @@ def may_be_alike() -> Column:
     return F.expr(f"{WHOLE + PART} * (shared + {rest}) >= {PART} * (nu + nv)")
 
 
+def _grouped(lists: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
+    """lists with each node's component so far."""
+    groups = components(edges).withColumnRenamed("component", "c")
+    return materialise(lists.join(groups.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node")), tag)
+
+
+def _open(grouped: DataFrame) -> DataFrame:
+    """(h, top, groups): each list's largest component and its number of them."""
+    return grouped.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", "k").alias("top"), F.count("*").alias("groups"))
+
+
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes that are alike, enough of them to span every component."""
     own = materialise(known.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "sign")]), "neardup-nodes")
     # most first shingles are one text's only: counted by themselves, before their texts move
-    each = known.select("node", "n", F.explode("prefix").alias("h"))
+    each = known.select("node", "n", F.posexplode("prefix").alias("at", "h"))
     often = each.groupBy("h").count().where("count > 1").select("h")
     lists = materialise(each.join(often.hint("merge"), "h", "left_semi").distinct(), "neardup-lists")
     least = lists.groupBy("h").agg(F.count("*").alias("texts"), F.min(F.struct("node", "n")).alias("least")).where("texts > 1")
@@ -214,19 +246,23 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     near = materialise(plausible(near.unionByName(indexed).distinct(), own), "neardup-pairs")
     edges = verified(near, known, docs)
 
-    groups = components(edges).withColumnRenamed("component", "c")
-    grouped = lists.join(groups.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    grouped = materialise(grouped, "neardup-grouped")
-    largest = grouped.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", "k").alias("top"), F.count("*").alias("groups"))
-    open_ = grouped.join(largest.where("groups > 1").select("h", "top").hint("merge"), "h")
-    x = open_.where("c <> top").select("h", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
-    y = open_.select("h", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), "top")
-    # a pair comes once a list: by the end outside the largest component, or by the lesser end where both are
-    apart = x.hint("merge").join(y, "h").where("cu <> cv and (cv = top or u < v)").where(f"{WHOLE} * least(nu, nv) >= {PART} * greatest(nu, nv)")
-    ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu")]
-    ends.append(F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
-    apart = apart.select(*ends).groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
-    apart = apart.where(may_be_alike()).select("u", "v").join(near.hint("merge"), ["u", "v"], "left_anti")
+    # many alike texts may not be alike to one least text: several of every crowded list meet all others of it
+    for again in range(PIVOT_ROUNDS):
+        grouped = _grouped(lists, edges, "neardup-grouped")
+        crowded = grouped.join(_open(grouped).where(f"groups > {CROWD}").select("h").hint("merge"), "h")
+        drawn = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(again * PIVOTS + k)).alias("draw"), F.col("node").alias("v"), F.col("c").alias("cv"))) for k in range(PIVOTS)])
+        pivots = crowded.groupBy("h").agg(drawn.alias("pivots")).select("h", F.explode(F.array_distinct("pivots")).alias("p")).select("h", "p.v", "p.cv")
+        met = crowded.select("h", "node", "c").hint("merge").join(pivots, "h").where("c <> cv").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+        edges = materialise(edges.unionByName(verified(materialise(plausible(met, own), "neardup-pairs"), known, docs)), "neardup-edges")
+    grouped = _grouped(lists, edges, "neardup-grouped")
+    open_ = grouped.join(_open(grouped).where("groups > 1").select("h", "top").hint("merge"), "h")
+    x = open_.select("h", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("c").alias("cu"), "top")
+    y = open_.select("h", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("c").alias("cv"))
+    # the smaller set comes first; two sets of similarity 0.8 share least = 4/9 of their sizes' sum, so before the first
+    # shingle that they share a set has its size less least others at most: a pair comes at such places of a list only
+    least = f"ceil({PART} * (nu + nv) / {PART + WHOLE}d)"
+    apart = x.hint("merge").join(y, "h").where("cu <> cv and (cu <> top or cv <> top) and (nu < nv or nu = nv and u < v)").where(f"iu + {least} <= nu and iv + {least} <= nv")
+    apart = apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(near.hint("merge"), ["u", "v"], "left_anti")
     return edges.unionByName(verified(materialise(plausible(apart, own), "neardup-pairs"), known, docs))
 
 

@@ -16,6 +16,8 @@ import regex
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CHARS_AT_ONCE = 1 << 20
+#: Characters of a batch, unless a caller wants other ones: smaller ones take less memory.
+BATCH_CHARS = 1 << 18
 _LAST_GAP = regex.compile(r"(?r)[^\p{L}\p{M}\p{N}]")
 #: Coefficients of the words of a shingle.
 STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16)], dtype=np.uint64)
@@ -92,7 +94,7 @@ def pieces(text: str, size: int = CHARS_AT_ONCE) -> Iterator[str]:
         at = end
 
 
-def batches(texts: list[str | None]) -> Iterator[tuple[Chars, list[int], np.ndarray]]:
+def batches(texts: list[str | None], size: int = BATCH_CHARS) -> Iterator[tuple[Chars, list[int], np.ndarray]]:
     """Lower-cased texts joined by line feeds into Chars, with each part's row and its start. A long text has several parts, all of one row."""
     rows: list[int] = []
     parts: list[str] = []
@@ -103,8 +105,8 @@ def batches(texts: list[str | None]) -> Iterator[tuple[Chars, list[int], np.ndar
         return Chars("\n".join(parts)), rows, starts
 
     for i, t in enumerate(texts):
-        for p in pieces((t or "").lower(), CHARS_AT_ONCE - 1):
-            if parts and n + len(p) + 1 > CHARS_AT_ONCE:
+        for p in pieces((t or "").lower(), size - 1):
+            if parts and n + len(p) + 1 > size:
                 yield full()
                 rows, parts, n = [], [], 0
             rows.append(i)

@@ -1,5 +1,6 @@
 from streamloom.llm.decontamination import find
 from streamloom.llm import decontamination as d
+from streamloom.llm import textarrays
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -79,6 +80,6 @@ def test_an_item_anywhere_in_a_long_text_of_tabs(spark):
     item = "a plain question about the long way home and back"
     for gap in ("\t", "\u00a0", "/", "_"):
         word = f"filler{gap}"
-        rows = [(k, word * (((1 << 20) - 40) // len(word)) + "x" * k + gap + item.replace(" ", gap) + gap + word * 9) for k in range(0, 45, 9)]
+        rows = [(k, word * ((textarrays.BATCH_CHARS - 40) // len(word)) + "x" * k + gap + item.replace(" ", gap) + gap + word * 9) for k in range(0, 45, 9)]
         got = find(spark.createDataFrame(rows, "doc_id long, text string"), [(7, item)]).collect()
         assert all([f["item_id"] for f in r["found"]] == [7] for r in got)

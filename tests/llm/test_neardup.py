@@ -62,7 +62,7 @@ def test_copies_around_the_limit_and_a_common_line(spark, monkeypatch):
     expect = plain_kept(rows)
     assert 100 < len(expect) < len(rows) - 60
     assert sorted(r["doc_id"] for r in kept(spark, rows).collect()) == expect
-    monkeypatch.setattr(neardup, "SAMPLE_DOCS", 0)  # the order changes no result, nor does a merge instead of a broadcast
+    monkeypatch.setattr(neardup, "MAX_COMMON", 0)  # the order changes no result, nor does a merge instead of a broadcast
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
     assert sorted(r["doc_id"] for r in kept(spark, rows).collect()) == expect
 
