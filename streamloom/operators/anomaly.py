@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions.scalars import anomaly_topic, event_time, minute_key, number, window_start
 from streamloom.operators.folds import keep_spaced
-from streamloom.operators.rules import json_path
+from streamloom.operators.rules import event_keys, filter_key, json_path
 
 CONFIG = ("config_id", "config_name", "detection_type", "path", "min", "max", "max_per_minute", "window_seconds", "max_count", "cooldown_seconds")
 
@@ -15,20 +15,12 @@ CONFIG = ("config_id", "config_name", "detection_type", "path", "min", "max", "m
 def with_configs(events: DataFrame, configs: DataFrame, detection: str) -> DataFrame:
     """Events with each enabled configuration of that detection whose filter (null: any) they pass.
 
-    Configurations are a small table; its rows are counted before they are broadcast.
+    Each event has eight keys, one for each choice of wildcards, so this is an equality join for any number of
+    configurations; Spark broadcasts their table while it is small.
     """
     own = configs.where(F.col("enabled") & (F.col("detection_type") == detection))
-    renamed = own.select(
-        F.col("id").alias("config_id"), F.col("name").alias("config_name"), *[F.col(c).alias(f"_{c}") for c in ("app_id", "event_category", "event_type")],
-        *[c for c in CONFIG if c not in ("config_id", "config_name")],
-    )
-    if renamed.count() > 10_000:
-        raise ValueError("too many configurations to broadcast: split them")
-    match = None
-    for c in ("app_id", "event_category", "event_type"):
-        one = F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c))
-        match = one if match is None else match & one
-    return events.join(F.broadcast(renamed), match).drop("_app_id", "_event_category", "_event_type")
+    renamed = own.select(filter_key(wildcards=True).alias("_key"), F.col("id").alias("config_id"), F.col("name").alias("config_name"), *[c for c in CONFIG if c not in ("config_id", "config_name")])
+    return events.withColumn("_key", F.explode(event_keys())).join(renamed, "_key").drop("_key")
 
 
 def threshold(events: DataFrame, configs: DataFrame, document: str = "payload_json") -> DataFrame:

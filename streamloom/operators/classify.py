@@ -82,5 +82,12 @@ def document(device: tuple[str, ...] | None = None, payloads: tuple[str, ...] |
     return F.to_json(F.struct(*parts))
 
 
+def with_document(envelopes: DataFrame, device: tuple[str, ...] | None = None, payloads: tuple[str, ...] | None = None) -> DataFrame:
+    """Each envelope's category and type with its whole JSON document, as rules and thresholds read it."""
+    category, kind = category_and_type()
+    own = ("id", "app_id", "device_id", "timestamp_ms", "correlation_id")
+    return envelopes.select(*own, category.alias("event_category"), kind.alias("event_type"), payload_json().alias("payload_json"), document(device, payloads).alias("document"))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -1,37 +1,45 @@
 """Keep-if-far-enough over sorted keys: what cooldowns and windowed deduplication have in common.
 
 An item is kept if it is the first of its key or lies at least a gap after the last kept one. That is recursive over the
-kept items, so no window function gives it. Items are folded a key at a time, but a key is first cut wherever two
-neighbours lie a gap apart: the later one is kept whatever came before, so the pieces are independent. A hot key becomes
-many short pieces over many tasks; only a run without any such gap is folded in one.
+kept items, so no window function gives it. Items pass through a task in order, which holds nothing of a key but the time
+kept last; a key is first cut wherever two neighbours lie a gap apart: the later one is kept whatever came before, so the
+pieces are independent and a hot key becomes many of them over many tasks. A run without any such gap is one stream
+through one task, sorted on disk where it must be, never gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def keep_spaced(items: DataFrame, keys: list[str], at: str, gap: Column, tie: str) -> DataFrame:
-    """items less those nearer than gap (in units of at) after the last kept item of their keys, in order of (at, tie)."""
+    """items less those nearer than gap (in units of at) after the last kept item of their keys, in order of (at, tie).
+
+    Repeated items are items of their own: with a gap over zero, one of them is kept. Nulls of tie come first; a null key
+    is a key.
+    """
     order = Window.partitionBy(*keys).orderBy(at, tie)
     far = F.coalesce(F.col(at) - F.lag(at).over(order) >= F.col("_gap"), F.lit(True))
     pieces = items.withColumn("_gap", gap).withColumn("_piece", F.sum(far.cast("long")).over(order))
-    others = [c for c in items.columns if c not in keys]
-    item = F.struct(F.col(at).alias("_at"), F.col(tie).alias("_tie"), *others)
-    sorted_ = F.array_sort(F.collect_list(item))
-    # the state is the last kept time and, to tell what was kept, the times kept so far
-    start = F.struct(F.lit(None).cast(items.schema[at].dataType).alias("last"), F.array().cast(f"array<{items.schema[tie].dataType.simpleString()}>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        ok = s["last"].isNull() | (x["_at"] - s["last"] >= F.col("_gap"))
-        return F.when(ok, F.struct(x["_at"].alias("last"), F.array_append(s["kept"], x["_tie"]).alias("kept"))).otherwise(s)
-
-    folded = pieces.groupBy(*keys, "_piece", "_gap").agg(sorted_.alias("_items"))
-    kept = folded.withColumn("_kept", F.aggregate("_items", start, step)["kept"])
-    return (
-        kept.select(*keys, "_kept", F.explode("_items").alias("_x"))
-        .where(F.array_contains(F.col("_kept"), F.col("_x._tie")))
-        .select(*keys, *[F.col(f"_x.{c}").alias(c) for c in others])
-        .select(*items.columns)
-    )
+    places = [pieces.columns.index(c) for c in (*keys, "_piece")]
+    at_place, gap_place = pieces.columns.index(at), pieces.columns.index("_gap")
+    names = items.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            keep = []
+            for key, t, least in zip(zip(*[b.column(p).to_pylist() for p in places]), b.column(at_place).to_pylist(), b.column(gap_place).to_pylist()):
+                ok = key != now or t - last >= least
+                if ok:
+                    now, last = key, t
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_())).select(names)
+
+    # the window's exchange by keys would put a key's pieces into one task
+    spread = pieces.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", at, tie)
+    return spread.mapInArrow(run, items.schema)

@@ -146,17 +146,28 @@ def hits(events: DataFrame, rules: DataFrame, document: str = "payload_json") ->
     return found.select(*events.columns, F.posexplode("_hits").alias("hit_order", "_hit")).select(*events.columns, "hit_order", "_hit.*")
 
 
+FILTERED = ("app_id", "event_category", "event_type")
+
+
+def filter_key(wildcards: bool = False, given: tuple[bool, ...] = (True, True, True)) -> Column:
+    """The three filtered columns as one key; those that are null (with wildcards) or not given are any."""
+    parts = [F.concat(F.lit("="), F.col(c)) if use else F.lit("*") for c, use in zip(FILTERED, given)]
+    return F.concat_ws("\u0001", *[F.coalesce(p, F.lit("*")) if wildcards else F.coalesce(p, F.lit("")) for p in parts])
+
+
+def event_keys() -> Column:
+    """The eight keys of an event that a filter may have."""
+    return F.array(*[filter_key(given=tuple(bool(bits >> k & 1) for k in range(3))) for bits in range(8)])
+
+
 def wildcard_join(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(event id, rule id) by the filters alone, for rules that are too many to compile.
 
     Each event has eight keys, one for each choice of wildcards, so this is an equality join that may shuffle, not a
     nested loop.
     """
-    names = ("app_id", "event_category", "event_type")
-    any_, is_ = F.lit("*"), lambda c: F.concat(F.lit("="), F.col(c))
-    keyed = rules.where("enabled").select(F.col("id").alias("rule_id"), F.concat_ws("\u0001", *[F.coalesce(is_(c), any_) for c in names]).alias("_key"))
-    keys = [F.concat_ws("\u0001", *[is_(c) if bits >> k & 1 else any_ for k, c in enumerate(names)]) for bits in range(8)]
-    return events.select("id", F.explode(F.array(*keys)).alias("_key")).join(keyed, "_key").select("id", "rule_id")
+    keyed = rules.where("enabled").select(F.col("id").alias("rule_id"), filter_key(wildcards=True).alias("_key"))
+    return events.select("id", F.explode(event_keys()).alias("_key")).join(keyed, "_key").select("id", "rule_id")
 
 
 def payload(found: DataFrame, triggered_at: Column) -> DataFrame:

@@ -198,7 +198,7 @@ def client_conversion(spark: SparkSession, d: str) -> DataFrame:
 #: One condition for each operator: (value, SQL over ev).
 CONDITIONS = {
     "exists": (None, "true"),
-    "not_exists": (None, "false"),
+    "not_exists": (None, "cast(id AS bigint) % 3 = 0"),
     "eq": ("7", "k = 7"),
     "ne": (7, "k <> 7"),
     "gt": (50, "k > 50"),
@@ -217,7 +217,10 @@ def _operator_query(operator: str) -> None:
     @query(f"SELECT id, 'r-{operator}' AS rule_id FROM ev WHERE app_id = 'app1' AND {sql}", name=f"rule_hits_{operator}")
     def hits(spark: SparkSession, d: str) -> DataFrame:
         table = adapter.rules(spark, {"id": f"r-{operator}", "app_id": "app1", "conditions": [("$.k", operator, json.dumps(value))]})
-        return rules.hits(events(spark, d), table).select("id", "rule_id")
+        rows = events(spark, d)
+        if operator == "not_exists":  # a third of the events lacks the path
+            rows = rows.withColumn("payload_json", F.when(F.col("id").cast("long") % 3 == 0, "{}").otherwise(F.col("payload_json")))
+        return rules.hits(rows, table).select("id", "rule_id")
 
 
 for _operator in CONDITIONS:
@@ -476,7 +479,11 @@ def small_file_packing(spark: SparkSession, d: str) -> DataFrame:
 
 def _folder(spark: SparkSession, tag: str) -> str:
     """A new folder where all executors can write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-events-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-events-')}"
     return f"{base}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -485,10 +492,10 @@ ROWS = ("id", "app_id", "device_id", "timestamp_ms", "event_category", "event_ty
 
 def _warehouse_rows(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    return e.select(*[F.col(f.name) if f.name in e.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_ROW.fields]).withColumns({c: F.lit(1).cast("int") for c in ("day", "hour")})
+    return e.select(*[F.col(f.name) if f.name in e.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_ROW.fields])
 
 
-SINK = "SELECT id, app_id, device_id, timestamp_ms, event_category, event_type, payload_json, year, month, 1 AS day, 1 AS hour FROM ev"
+SINK = "SELECT id, app_id, device_id, timestamp_ms, event_category, event_type, payload_json, year, month, day, hour FROM ev"
 
 
 @query(SINK)
@@ -512,25 +519,92 @@ def compaction_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
-    """Run a streaming query over the events as the files give them and return what it wrote."""
+    """Run a streaming query over the events as the files give them and return what it wrote; a complete query's last batch is all of it, windows that are still open included."""
     path = _folder(spark, "stream")
     # a file source wants folders or patterns
     raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
-    source = adapter.adapted(raw)
-    build(source).writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path, format="parquet").awaitTermination()
+    writer = build(adapter.adapted(raw)).writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if mode == "complete":
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    else:
+        writer.start(path, format="parquet").awaitTermination()
     return spark.read.parquet(path)
 
 
-@query()
+@query("SELECT DISTINCT idempotency_key FROM ev")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d, lambda e: pipelines.dedup(e, "60 days").select("id", "idempotency_key"))
+    return _stream(spark, d, lambda e: pipelines.dedup(e, "60 days").select("idempotency_key"))
 
 
-@query()
+@query(f"WITH {SESSIONS} SELECT device_id, start_ms, events FROM sums")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d, lambda e: pipelines.sessions(e, "3 hours", "1 minute"))
+    found = _stream(spark, d, lambda e: pipelines.sessions(e, "3 hours", "1 minute"), "complete")
+    return found.select("device_id", F.unix_millis("start").alias("start_ms"), "events")
 
 
-@query()
+@query("SELECT app_id, timestamp_ms // 3600000 * 3600000 AS start_ms, count(*) AS n FROM ev GROUP BY ALL")
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d, lambda e: pipelines.window_counts(e, 3600, "1 minute"))
+    found = _stream(spark, d, lambda e: pipelines.window_counts(e, 3600, "1 minute"), "complete")
+    return found.select("app_id", F.unix_millis("start").alias("start_ms"), "n")
+
+
+@query("SELECT id FROM ev QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY timestamp_ms, id) = 1")
+def dedup_redelivered(spark: SparkSession, d: str) -> DataFrame:
+    """Deduplication within a window longer than the table over events that each came twice."""
+    e = events(spark, d)
+    return dedup.first_within(e.unionByName(e), 60 * 24 * 3600 * 1000).select("id")
+
+
+@query(f"WITH {CANDIDATES}, {KEPT} SELECT c.id, c.app_id, c.timestamp_ms FROM kept JOIN cand c ON c.app_id = kept.app_id AND c.rn = kept.rn")
+def cooldown_redelivered(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    alerts = anomaly.threshold(e.unionByName(e), adapter.configs(spark, THRESHOLD | {"cooldown_seconds": 3600}))
+    return anomaly.cooled(alerts).select("id", "app_id", "timestamp_ms")
+
+
+# --- rules over the whole event document
+
+
+@query("""SELECT id, 'device' AS rule_id FROM ev WHERE cast(id AS bigint) % 5 <> 0 AND platform = 'PLATFORM_IOS'
+UNION ALL SELECT id, 'order' FROM ev WHERE cast(id AS bigint) % 11 <> 0 AND event_type = 'purchase_complete' AND cast(id AS bigint) % 3 >= 2
+UNION ALL SELECT id, 'no device' FROM ev WHERE cast(id AS bigint) % 5 = 0""")
+def rule_hits_document(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on a field of the device, on the payload by its name, and on a path that a part of the events lacks."""
+    table = adapter.rules(
+        spark,
+        {"id": "device", "conditions": [("device_context.platform", "eq", json.dumps("PLATFORM_IOS"))]},
+        {"id": "order", "conditions": [("purchase_complete.item_count", "gte", json.dumps(2))]},
+        {"id": "no device", "conditions": [("device_context.locale", "not_exists", json.dumps(None))]},
+    )
+    return rules.hits(classify.with_document(odd_envelopes(spark, d)), table, "document").select("id", "rule_id")
+
+
+@query("""SELECT id FROM ev WHERE cast(id AS bigint) % 11 <> 0 AND event_type = 'purchase_complete'""")
+def document_narrow(spark: SparkSession, d: str) -> DataFrame:
+    """The narrower document has the purchase but not the view."""
+    rows = classify.with_document(odd_envelopes(spark, d), classify.STRICT_DEVICE, classify.STRICT_PAYLOADS)
+    has = lambda name: F.get_json_object("document", f"$.{name}").isNotNull()
+    return rows.where(has("purchase_complete") | has("screen_view")).select("id")
+
+
+# --- ingest and scalars, one by one
+
+
+@query(f"SELECT id, {STATUS} IS NULL AS kept FROM ev")
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers stay where given and are filled where not; only accepted envelopes are."""
+    rows = ingest.validate(odd_envelopes(spark, d))
+    filled = ingest.enrich(rows.where("error is null").drop("error"))
+    return rows.select("id").join(filled.select("id", F.lit(True).alias("kept")), "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query("SELECT id, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H:%M') AS minute FROM ev")
+def minute_keys(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("id", scalars.minute_key(F.timestamp_millis("timestamp_ms")).alias("minute"))
+
+
+@query("SELECT concat('h', cast(o_custkey AS varchar)) AS key_hash, concat('app', o_custkey % 4) AS app_id, max(o_orderdate) AS created_at FROM orders WHERE o_custkey % 4 = 1 GROUP BY ALL")
+def keys_of_app(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    table = o.groupBy(F.concat(F.lit("h"), "o_custkey").alias("key_hash"), F.concat(F.lit("app"), F.col("o_custkey") % 4).alias("app_id")).agg(F.max("o_orderdate").alias("created_at"))
+    return deliveries.keys_of(table.withColumn("id", F.col("key_hash")), "app1").select("key_hash", "app_id", "created_at")

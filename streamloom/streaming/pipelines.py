@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,48 +70,43 @@ def _cooldown(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, tt
     yield batch[keep]
 
 
-#: Windows of a key that are still counted; older ones are late.
-WINDOWS = 16
-
-
 def _rate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Number the events of a window over all batches and alert on each after the first most of them."""
+    """Number the events of one window over all batches and alert on each after the first most of them."""
     if state.hasTimedOut:
         state.remove()
         return
     batch = pd.concat(list(batches)).sort_values(["timestamp_ms", "id"])
-    counts = dict(zip(*state.get)) if state.exists else {}
-    before = batch["window_start"].map(lambda s: counts.get(int(s), 0))
-    batch["running"] = before + batch.groupby("window_start").cumcount() + 1
-    counts |= {int(s): int(n) for s, n in batch.groupby("window_start")["running"].max().items()}
-    recent = sorted(counts)[-WINDOWS:]
-    state.update((recent, [counts[s] for s in recent]))
+    before = state.get[0] if state.exists else 0
+    batch["running"] = before + 1 + np.arange(len(batch))
+    state.update((before + len(batch),))
     if ttl_ms:
         state.setTimeoutDuration(ttl_ms)
     yield batch[batch["running"] > batch["most"]]
 
 
-def _stateful(rows: DataFrame, step, schema: StructType, state: str, ttl_ms: int | None) -> DataFrame:
+def _stateful(rows: DataFrame, step, keys: tuple[str, ...], schema: StructType, state: str, ttl_ms: int | None) -> DataFrame:
     """A time to live keeps a query running for its timers' sake; without one (None) a bounded run can end."""
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy("config_id", "app_id").applyInPandasWithState(lambda key, batches, held: step(key, batches, held, ttl_ms), schema, state, "append", timeout)
+    return rows.groupBy(*keys).applyInPandasWithState(lambda key, batches, held: step(key, batches, held, ttl_ms), schema, state, "append", timeout)
 
 
 def cooled(candidates: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """Alert candidates (config_id, app_id, id, timestamp_ms, cooldown_ms, ...) that pass the cooldown."""
-    return _stateful(candidates, _cooldown, candidates.schema, "last long", ttl_ms)
+    return _stateful(candidates, _cooldown, ("config_id", "app_id"), candidates.schema, "last long", ttl_ms)
 
 
 def rate_alerts(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
-    """Events (config_id, app_id, id, timestamp_ms, window_start, most, ...) over their window's limit, with running."""
-    return _stateful(events, _rate, StructType([*events.schema.fields]).add("running", "long"), "starts array<long>, counts array<long>", ttl_ms)
+    """Events (config_id, app_id, id, timestamp_ms, window_start, most, ...) over their window's limit, with running. A window is a key of its own, forgotten ttl_ms after its last event."""
+    schema = StructType([*events.schema.fields]).add("running", "long")
+    return _stateful(events, _rate, ("config_id", "app_id", "window_start"), schema, "n long", ttl_ms)
 
 
 def sink(stream: DataFrame, path: str, rejects: str, checkpoint: str, compression: str = "snappy") -> DataStreamWriter:
     """Valid envelopes into the warehouse, poison and invalid ones into a reject table.
 
-    A batch is written under its own number, so that a retried one replaces itself; late events land in the hour of
-    their time whenever they come. An empty batch writes nothing.
+    The table is the warehouse's own, for its reading, compaction and retention. A batch is appended once under its
+    number, so that a retry adds nothing; late events land in the hour of their time whenever they come. An empty batch
+    writes nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -120,10 +116,8 @@ def sink(stream: DataFrame, path: str, rejects: str, checkpoint: str, compressio
         good, poison = split_poison(batch)
         checked = validate(good)
         bad = poison.select("record", F.lit("unparsable").alias("error")).unionByName(checked.where("error is not null").select(F.to_json(F.struct(*ENVELOPE.names)).alias("record"), "error"))
-        rows = flatten(checked.where("error is null").drop("error"))
-        own = f"{path}/batch={number}"
-        warehouse.padded(rows).write.mode("overwrite").partitionBy(*warehouse.PARTITIONS).option("compression", warehouse.codec(compression)).parquet(own)
         bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        warehouse.append_batch(flatten(checked.where("error is null").drop("error")), path, number, compression)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

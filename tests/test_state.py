@@ -32,6 +32,15 @@ def test_rate_then_cooldown(spark):
     assert record["details"] == '{"rate":4,"max_per_minute":3,"window":"1970-01-01T00:01"}' and record["topic"] == "anomalies.a.r"
 
 
+def test_repeated_and_keyless_items(spark):
+    """A redelivered event is kept once, an id may be missing, and a long run without a gap passes in order."""
+    e = rows(spark, *[{"id": "x", "idempotency_key": "k", "timestamp_ms": 5}] * 3, {"id": None, "idempotency_key": "k", "timestamp_ms": 2000}, {"id": "y", "idempotency_key": "k", "timestamp_ms": 2000})
+    got = dedup.first_within(e, 600).collect()
+    assert [(r["id"], r["timestamp_ms"]) for r in sorted(got, key=lambda r: r["timestamp_ms"])] == [("x", 5), (None, 2000)]
+    run = spark.range(20_000).selectExpr("cast(id as string) id", "id * 10 timestamp_ms", "'a' app_id", "cast(null as string) config_id", "1 cooldown_seconds")
+    assert sorted(r["timestamp_ms"] for r in anomaly.cooled(run.unionByName(run)).collect()) == list(range(0, 200_000, 1000))
+
+
 def test_cooldown_boundaries(spark):
     at = [0, 100, 299, 300, 301, 599, 600, 900]
     e = rows(spark, *[{"timestamp_ms": s * 1000} for s in at]).withColumns({"config_id": F.lit("x"), "cooldown_seconds": F.lit(300)})

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from streamloom.operators import anomaly, dedup
-from streamloom.sources import adapter
+from streamloom.sources import adapter, warehouse
 from streamloom.streaming import pipelines
 
 
@@ -48,6 +48,15 @@ def test_cooldown_and_rate_equal_their_batch_twins(spark, tmp_path):
     assert sorted((r["id"], r["running"]) for r in over.collect()) == sorted((r["id"], r["n"]) for r in expect.collect())
 
 
+def test_many_windows_of_one_key(spark, tmp_path):
+    """Events of windows long past are still counted with them."""
+    schema = "id string, config_id string, app_id string, timestamp_ms long, window_start long, most int"
+    for k in range(2):
+        spark.createDataFrame([(f"{k}-{w}", "c", "a", w * 60_000 + k, w * 60, 1) for w in range(40)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/c")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/c")
+    assert [r["running"] for r in run(pipelines.rate_alerts(source, None), tmp_path).collect()] == [2] * 40
+
+
 def test_sessions_and_windows(spark, tmp_path):
     rows = [("d", "a", t * 1000) for t in (0, 10, 40, 71, 200, 9999)]
     spark.createDataFrame(rows, "device_id string, app_id string, timestamp_ms long").coalesce(1).write.parquet(f"file://{tmp_path}/s")
@@ -66,7 +75,7 @@ def test_sink_splits_and_replaces_retried_batches(spark, tmp_path):
     for _ in range(2):  # the second run stands for a restart with nothing new
         stream = pipelines.envelopes(spark, f"file://{tmp_path}/in")
         pipelines.sink(stream, f"file://{tmp_path}/w", f"file://{tmp_path}/r", f"file://{tmp_path}/k").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"file://{tmp_path}/w").collect()
+    rows = warehouse.read(spark, f"file://{tmp_path}/w").collect()
     assert [(r["id"], r["event_type"], r["hour"]) for r in rows] == [("1", "view", 14)]
     assert sorted(r["error"] for r in spark.read.parquet(f"file://{tmp_path}/r").collect()) == ["app_id is required", "unparsable"]
 

@@ -17,8 +17,8 @@ def event_rows(spark, *given):
     return spark.createDataFrame(out, EVENT_ROW)
 
 
-DAY = datetime(2026, 1, 15, 10, 30)
-FIVE = [("app-1", DAY), ("app-1", DAY), ("app-1", DAY.replace(hour=11)), ("app-2", DAY), ("app-1", DAY.replace(day=16))]
+DAY = datetime(2025, 11, 4, 17, 12)
+FIVE = [("app-1", DAY), ("app-1", DAY), ("app-1", DAY.replace(hour=18)), ("app-2", DAY), ("app-1", DAY.replace(day=5))]
 
 
 def files(path):
@@ -29,10 +29,10 @@ def test_partitions_pruning_and_table(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warehouse.append(event_rows(spark, *FIVE), path, "unheard-of")
     assert len({os.path.dirname(f) for f in files(tmp_path / "w")}) == 4
-    assert any("month=01/day=15/hour=10" in f and "snappy" in f for f in files(tmp_path / "w"))
+    assert any("month=11/day=04/hour=17" in f and "snappy" in f for f in files(tmp_path / "w"))
     back = warehouse.read(spark, path)
     assert sorted(r["id"] for r in back.collect()) == list("01234") and back.schema["month"].dataType.typeName() == "integer"
-    near = warehouse.time_range(back, datetime(2026, 1, 15, 10), datetime(2026, 1, 15, 11))
+    near = warehouse.time_range(back, datetime(2025, 11, 4, 17), datetime(2025, 11, 4, 18))
     assert near.count() == 3 and "year" in near._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
     assert len(near.inputFiles()) <= len(back.inputFiles())
     warehouse.create_table(spark, "events_test", path)
@@ -47,7 +47,7 @@ def test_codecs():
     assert [warehouse.codec(x) for x in ("GZIP", "zstd", "none", "lzo", None)] == ["gzip", "zstd", "none", "snappy", "snappy"]
 
 
-@pytest.mark.parametrize(("sizes", "packs"), [([20, 30, 25], 1), ([40] * 4, 2), ([10], 0), ([], 0), ([200, 300], 0)])
+@pytest.mark.parametrize(("sizes", "packs"), [([7, 41, 33], 1), ([48] * 6, 3), ([12], 0), ([], 0), ([150, 410], 0), ([99, 1, 60, 60], 1)])
 def test_packing(spark, sizes, packs):
     table = spark.createDataFrame([("p", f"f{i}.parquet", s) for i, s in enumerate(sizes)], "partition string, path string, size long")
     assert warehouse.pack_files(table, 100).count() == packs
@@ -61,18 +61,78 @@ def test_cold_paths():
 
 
 def test_compaction_keeps_rows_and_leaves_hot_and_broken_files(spark, tmp_path):
-    path, now = f"file://{tmp_path}/w", DAY.replace(hour=11, minute=40)
+    path, now = f"file://{tmp_path}/w", DAY.replace(hour=18, minute=40)
     for _ in range(3):
         warehouse.append(event_rows(spark, *FIVE[:4]), path)
-    broken = tmp_path / "w/app_id=app-2/year=2026/month=01/day=15/hour=10/part-broken.parquet"
+    broken = tmp_path / "w/app_id=app-2/year=2025/month=11/day=04/hour=17/part-broken.parquet"
     broken.write_bytes(b"PAR1 no")
     before = files(tmp_path / "w")
-    assert warehouse.compact(spark, path, now) == 1
+    assert warehouse.compact(spark, path, now) == 2
     after = files(tmp_path / "w")
     per = lambda names, x: sum(x in n for n in names)
-    assert (per(before, "app-1/year=2026/month=01/day=15/hour=10"), per(after, "app-1/year=2026/month=01/day=15/hour=10")) == (3, 1)
-    assert per(after, "hour=11") == 3 and broken.exists() and per(after, "app-2") == 4
+    assert (per(before, "app-1/year=2025/month=11/day=04/hour=17"), per(after, "app-1/year=2025/month=11/day=04/hour=17")) == (3, 1)
+    # the good files of the broken one's pack are rewritten without it
+    assert per(after, "hour=18") == 3 and broken.exists() and per(after, "app-2") == 2
     broken.unlink()
     assert warehouse.read(spark, path).count() == 12
-    assert warehouse.compact(spark, path, now) == 1 and warehouse.compact(spark, path, now) == 0
-    assert warehouse.drop_before(spark, path, now.replace(day=17), 24) and warehouse.read(spark, path).where(F.lit(True)).count() == 0
+    assert warehouse.compact(spark, path, now) == 0
+    assert warehouse.drop_before(spark, path, now.replace(day=6), 24) and warehouse.read(spark, path).where(F.lit(True)).count() == 0
+
+
+def test_a_swap_that_broke_off_is_read_once_and_ended(spark, tmp_path, monkeypatch):
+    path, now = f"file://{tmp_path}/w", DAY.replace(day=20)
+    for _ in range(2):
+        warehouse.append(event_rows(spark, *FIVE), path)
+
+    def stop(self, p):
+        raise OSError("lost")
+
+    real = warehouse.Files.delete
+    for broken in ("delete", "move"):
+        monkeypatch.setattr(warehouse.Files, broken, stop if broken == "delete" else lambda self, a, b: stop(self, a))
+        with pytest.raises(OSError):
+            warehouse.compact(spark, path, now)
+        monkeypatch.undo()
+        assert warehouse.read(spark, path).count() == 10
+        if broken == "delete":  # the new files are in: the next run removes the old ones
+            warehouse.recover(spark, path)
+            assert len(files(tmp_path / "w")) - sum("_compacted" in f for f in files(tmp_path / "w")) == 4
+            for _ in range(2):
+                warehouse.append(event_rows(spark, *FIVE), path)
+            assert warehouse.read(spark, path).count() == 20
+            warehouse.drop_before(spark, path, now, 24)
+            for _ in range(2):
+                warehouse.append(event_rows(spark, *FIVE), path)
+    assert warehouse.Files.delete is real
+    assert warehouse.compact(spark, path, now) == 4 and warehouse.read(spark, path).count() == 10
+
+
+def test_a_rename_that_fails_loses_nothing(spark, tmp_path):
+    files_ = warehouse.Files(spark, f"file://{tmp_path}")
+    with pytest.raises(Exception):
+        files_.move(f"file://{tmp_path}/none", f"file://{tmp_path}/x/y")
+
+
+def test_sink_table_compaction_and_retention_are_one_table(spark, tmp_path):
+    """Rows counted after each step: two batches, one retried, compacted beside a hot hour, retried again, read by SQL, dropped."""
+    path, now = f"file://{tmp_path}/w", DAY.replace(hour=18, minute=40)
+    old, hot = event_rows(spark, *FIVE[:2], FIVE[3]), event_rows(spark, *FIVE[:2], FIVE[2])
+    warehouse.append_batch(old, path, 0)
+    warehouse.append_batch(hot, path, 1)
+    warehouse.append_batch(hot, path, 1)
+    assert warehouse.read(spark, path).count() == 6
+    (tmp_path / "w/_batches/1").unlink()  # the mark was not written: the retry replaces the files
+    warehouse.append_batch(hot, path, 1)
+    assert warehouse.read(spark, path).count() == 6
+    assert warehouse.compact(spark, path, now) == 1
+    assert warehouse.read(spark, path).count() == 6
+    warehouse.append_batch(old, path, 0)
+    assert warehouse.read(spark, path).count() == 6
+    warehouse.create_table(spark, "sink_test", path)
+    try:
+        assert spark.table("sink_test").count() == 6 and spark.table("sink_test").where("app_id = 'app-2' and hour = 17").count() == 1
+    finally:
+        spark.sql("DROP TABLE sink_test")
+    gone = warehouse.drop_before(spark, path, DAY.replace(day=5, hour=17), 23)
+    assert gone and all("hour=17" in p for p in gone)
+    assert [(r["hour"]) for r in warehouse.read(spark, path).collect()] == [18]
