@@ -43,7 +43,7 @@ PART, WHOLE = 4, 5
 COUNTED, MAX_COMMON = 1 << 22, 1 << 19
 SIGN_BITS = 1024
 #: Texts of a list of more than CROWD components that meet all others of it, and how often before the rest is paired.
-CROWD, PIVOTS, PIVOT_ROUNDS = 4, 12, 2
+CROWD, PIVOTS, PIVOT_ROUNDS = 8, 12, 1
 #: Shingles of verified texts that a task keeps for their next pairs.
 HELD_SHINGLES = 1 << 20
 #: Rows of at most 24 bytes up to which a set of rows is broadcast (64 MB); a merge join beyond.
