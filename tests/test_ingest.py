@@ -12,19 +12,19 @@ def envelopes(spark, *rows):
 
 
 FULL = {
-    "id": "evt-123", "app_id": "testapp", "device_id": "dev-456", "correlation_id": "corr-789", "timestamp_ms": 1718461800000,
-    "device_context": {"platform": "PLATFORM_IOS", "os_version": "17.0", "app_version": "1.2.3", "device_model": "iPhone 15 Pro", "manufacturer": "Apple", "screen_width": 390, "screen_height": 844, "locale": "en_US", "timezone": "America/New_York", "network_type": "NETWORK_TYPE_WIFI"},
-    "screen_view": {"screen_name": "home", "previous_screen": "splash", "params": {}},
+    "id": "e-full", "app_id": "gardening", "device_id": "tablet-9", "correlation_id": "tour", "timestamp_ms": 1677622509250,
+    "device_context": {"platform": "PLATFORM_ANDROID", "os_version": "11", "app_version": "0.9", "device_model": "Tab S", "manufacturer": "Acme", "screen_width": 1600, "screen_height": 2560, "locale": "pt_BR", "timezone": "America/Recife", "network_type": "NETWORK_TYPE_5G"},
+    "screen_view": {"screen_name": "beds", "previous_screen": "seeds", "params": {}},
 }
 
 
 def test_flatten(spark):
-    rows = {r["id"]: r for r in classify.flatten(envelopes(spark, FULL, {"id": "evt-minimal", "app_id": "app", "device_id": "dev", "timestamp_ms": 1, "user_login": {"user_id": "", "is_new_user": False}}, {"id": "n", "timestamp_ms": 1, "device_context": {}})).collect()}
-    r = rows["evt-123"]
-    assert (r["event_category"], r["event_type"], r["platform"], r["network_type"], r["screen_width"]) == ("screen", "view", "PLATFORM_IOS", "NETWORK_TYPE_WIFI", 390)
-    assert (r["year"], r["month"], r["day"], r["hour"]) == (2024, 6, 15, 14)
-    assert json.loads(r["payload_json"]) == {"screen_name": "home", "previous_screen": "splash"}
-    assert (rows["evt-minimal"]["event_category"], rows["evt-minimal"]["platform"], rows["evt-minimal"]["payload_json"]) == ("user", "", "{}")
+    rows = {r["id"]: r for r in classify.flatten(envelopes(spark, FULL, {"id": "e-least", "app_id": "app", "device_id": "dev", "timestamp_ms": 1, "user_login": {"user_id": "", "is_new_user": False}}, {"id": "n", "timestamp_ms": 1, "device_context": {}})).collect()}
+    r = rows["e-full"]
+    assert (r["event_category"], r["event_type"], r["platform"], r["network_type"], r["screen_width"]) == ("screen", "view", "PLATFORM_ANDROID", "NETWORK_TYPE_5G", 1600)
+    assert (r["year"], r["month"], r["day"], r["hour"]) == (2023, 2, 28, 22)
+    assert json.loads(r["payload_json"]) == {"screen_name": "beds", "previous_screen": "seeds"}
+    assert (rows["e-least"]["event_category"], rows["e-least"]["platform"], rows["e-least"]["payload_json"]) == ("user", "", "{}")
     assert (rows["n"]["event_type"], rows["n"]["platform"], rows["n"]["payload_json"]) == ("unknown", "PLATFORM_UNSPECIFIED", "{}")
 
 
@@ -57,11 +57,11 @@ def test_batches_and_poison(spark, tmp_path):
     got = [(r["batch"], r["index"], r["event"], r["batch_error"] is None) for r in ingest.explode_batches(b, max_batch=3).collect()]
     assert sorted(got, key=str) == sorted([("b1", 0, "x", True), ("b1", 1, None, True), ("b2", None, None, False), ("b3", None, None, False), ("b4", None, None, False)], key=str)
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(json.dumps(FULL) + "\ninvalid proto data\n")
+    (tmp_path / "in/a.json").write_text(json.dumps(FULL) + "\nno event at all\n")
     good, poison = ingest.decode(spark, f"file://{tmp_path}/in")
-    assert [r["id"] for r in good.collect()] == ["evt-123"]
+    assert [r["id"] for r in good.collect()] == ["e-full"]
     letters = ingest.dead_letters(poison, "events.a.b.c", "events", "sink", 5)
-    assert [(r["subject"], r["record"]) for r in letters.collect()] == [("dlq.events.a.b.c", "invalid proto data")]
+    assert [(r["subject"], r["record"]) for r in letters.collect()] == [("dlq.events.a.b.c", "no event at all")]
     assert ingest.depth(letters, 1).first()["alert"] is True
 
 
