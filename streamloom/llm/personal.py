@@ -1,15 +1,16 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base expressions find seed entities of four kinds. One pass over the texts writes, for each row, its base spans and all
-other identifier-like tokens, each with the lexical patterns around it: the two words before it, and the word on either
-side. From there on Spark works on that table: a graph joins patterns and instances (the tokens' values), and scores
-travel over it for a few rounds. A pattern's score for a kind is the share of its occurrences whose instance is of that
+other identifier-like tokens, each with its lexical patterns: the two words before it, the word on either side, and its
+own shape. Base expressions are greedy and do not retry, so they miss a phone number followed by a card number or an
+address; runs of numbers that pass a kind's check are therefore tokens too. From there on Spark works on that table: a
+graph joins patterns and instances (the tokens' values), and scores travel over it for a few rounds. A pattern's score for a kind is the share of its occurrences whose instance is of that
 kind, weighed by the instances' scores and damped for rare patterns; an instance's score is one if it is a seed, else
 the noisy-or over its confident patterns. Occurrences in a pattern of high confidence whose value passes are added as
-spans of the pattern's kind. Base spans always stay.
+spans of the pattern's kind, of nested ones of a kind the outermost. Base spans always stay.
 
 Defined cases: a null text is the empty text and has no span; a text of any length is searched whole, every expression
-in linear time; rows of a repeated or null id are rows of their own; an empty table gives an empty result; only doc_id
+in linear time; words of the context have any length (those of more than 64 characters stand as their digest); rows of a repeated or null id are rows of their own; an empty table gives an empty result; only doc_id
 and text are read, so other columns cannot clash.
 """
 
@@ -17,10 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -41,6 +44,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "\"'()[]{}<>,.;:!?|*#$%&="
+_DIGIT, _LETTERS = re.compile("[0-9]"), re.compile(r"[^\W\d_]+")
+_FULL_WORD = re.compile(rf"(?<![^\x20\x09-\x0D])[{re.escape(_EDGE)}]*+[^\x20\x09-\x0D]++")
+_NUMBERS = re.compile(r"(?<![0-9A-Za-z+(])[+(]*+[0-9][0-9().+-]*+(?:\x20[+(]*+[0-9][0-9().+-]*+)++")
 
 
 def luhn(digits: str) -> bool:
@@ -80,25 +86,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _short(text: str) -> str:
+    return text if len(text) <= 64 else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _word(text: str) -> str:
-    return re.sub("[0-9]", "0", text.strip(_EDGE).lower())
-
-
-def _around(text: str, start: int, end: int) -> list[str]:
-    """The patterns of a span: two words before it; the words on either side of it."""
-    before = [_word(m.group()) for m in _TOKEN.finditer(text, max(0, start - 80), start)][-2:]
-    after = _TOKEN.search(text, end, end + 40)
-    after = _word(after.group()) if after else ""
-    out = []
-    if len(before) == 2:
-        out.append(f"< {before[0]} {before[1]}")
-    if before and after:
-        out.append(f"<> {before[-1]} _ {after}")
+    return _short(_DIGIT.sub("0", text.strip(_EDGE).lower()))
+
+
+def _shape(value: str) -> str:
+    """Digits as 0, runs of letters as a, and whether the digits are a card's."""
+    card = _CARD.fullmatch(value)
+    digits = re.sub("[ -]", "", value) if card else ""
+    shape = _LETTERS.sub("a", _DIGIT.sub("0", value))
+    return f"= {_short(shape)}{' luhn' if 14 <= len(digits) <= 19 and luhn(digits) else ''}"
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """The patterns of each span, given in order of their starts: the two words before it; the words on either side; its shape.
+
+    A word holds more than marks. What is glued to a span, up to its neighbours among the spans, counts as a word.
+    """
+    if not spans:
+        return []
+    starts, ends = array("q"), array("q")
+    for m in _FULL_WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    out, reach = [], 0
+    for k, (start, end) in enumerate(spans):
+        at = bisect_right(ends, start)  # words that end before the span
+        before = [_word(text[starts[i] : ends[i]]) for i in range(max(0, at - 2), at)]
+        if at < len(starts) and starts[at] < start and (glued := _word(text[max(starts[at], reach) : start])):
+            before = [*before[-1:], glued]
+        following = spans[k + 1][0] if k + 1 < len(spans) else len(text)
+        last = bisect_right(starts, end - 1) - 1  # the word that the span ends in
+        after = _word(text[end : min(ends[last], max(following, end))]) if last >= 0 and ends[last] > end else ""
+        nearest = bisect_left(starts, end)
+        if not after and nearest < len(starts):
+            after = _word(text[starts[nearest] : ends[nearest]])
+        patterns = [_shape(text[start:end])]
+        if len(before) == 2:
+            patterns.append(f"< {before[0]} {before[1]}")
+        if before and after:
+            patterns.append(f"<> {before[-1]} _ {after}")
+        out.append(patterns)
+        reach = max(reach, end)
     return out
 
 
+def numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of two or more blank-separated numbers within text[start:end] whose digits are those of a phone number or a card."""
+    for run in _NUMBERS.finditer(text, start, end):
+        words = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer("[^ ]+", run.group())]
+        digits = [sum(c in "0123456789" for c in text[s:e]) for s, e in words]
+        for i in range(len(words)):
+            n = digits[i]
+            for j in range(i + 1, len(words)):
+                n += digits[j]
+                if n > 19:  # more than any kind's
+                    break
+                value = text[words[i][0] : words[j][1]].rstrip("().+-")
+                if (10 <= n <= 15 and _PHONE.fullmatch(value)) or (n >= 14 and _CARD.fullmatch(value) and luhn(re.sub("[ -]", "", value))):
+                    yield words[i][0], words[i][0] + len(value)
+
+
 def others(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of identifier-like tokens outside the spans: white-space-free runs of four characters or more with a digit or @, less the marks at their edges."""
+    """(start, end, value) of identifier-like tokens outside the spans: white-space-free runs of four characters or more with a
+    digit or @, less the marks at their edges, and runs of numbers that pass a kind's check."""
     out, at, k = [], 0, 0
     covered = sorted((s, e) for s, _, e in spans)
     reach = 0
@@ -114,7 +169,11 @@ def others(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
             reach, k = max(reach, covered[k][1]), k + 1
         if len(value) >= 4 and reach <= start:
             out.append((start, start + len(value), value))
-    return out
+    free = 0
+    for s, e in [*covered, (len(text), len(text))] if len(out) > 1 or covered else []:
+        out += [(i, j, text[i:j]) for i, j in numbers(text, free, s)]
+        free = max(free, e)
+    return sorted(out)
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -140,8 +199,9 @@ def survey(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 digest.append(hashlib.sha256(joined(spans).encode()).hexdigest())
-                found = [(s, e, k, text[s:e]) for s, k, e in spans] + [(s, e, None, v) for s, e, v in others(text, spans)]
-                seen.append([{"start": s, "end": e, "kind": k, "value": v.lower(), "patterns": _around(text, s, e)} for s, e, k, v in found])
+                found = sorted([(s, e, k, text[s:e]) for s, k, e in spans] + [(s, e, None, v) for s, e, v in others(text, spans)], key=lambda x: x[:2])
+                around = contexts(text, [x[:2] for x in found])
+                seen.append([{"start": s, "end": e, "kind": k, "value": v.lower(), "patterns": p} for (s, e, k, v), p in zip(found, around)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(SPAN)), pa.array(digest), pa.array(seen, pa.list_(SEEN))], ["doc_id", "base", "base_sha256", "seen"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
@@ -160,7 +220,6 @@ def confident(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame,
         weighed = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("own"))
         patterns = weighed.join(totals, "pattern").withColumn("p", F.col("own") / (F.col("all") + DAMPING)).where(F.col("p") >= PATTERN_SCORE).select("pattern", "kind", "p")
         patterns = materialise(patterns, "personal-patterns")
-        # at least two confident patterns of one kind, or one that is all but certain
         new = edges.where("seed is null").join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("p"))))).alias("score"))
         new = new.where(F.col("score") >= INSTANCE_SCORE).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
         scores = materialise(seeds.unionByName(new), "personal-scores")
@@ -177,8 +236,10 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
         .join(patterns, "pattern")
         .join(scores.select("value", F.col("kind").alias("of")), "value")
-        .where("kind = of")
-        .groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
+        .where("kind = of").select("row", "start", "kind", "end").distinct()
+        .withColumn("reach", F.max("end").over(Window.partitionBy("row", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)))
+        .where("reach is null or end > reach")
+        .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     )
     none = F.lit(None).cast("array<struct<start:long,kind:int,end:long>>")
     out = rows.select("row", "doc_id", "base", "base_sha256").join(added, "row", "left")
@@ -187,8 +248,9 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and the joined form of all spans: what op8 returns."""
+    """Counts and the joined form of all spans, and how many of them the method added: what op8 returns."""
     names = F.array(*[F.lit(k) for k in KINDS])
     counts = [F.expr(f"size(filter(spans, s -> s.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *counts, "base_sha256", text.alias("spans"))
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, "base_sha256", text.alias("spans"), added)
