@@ -5,13 +5,18 @@ byte. Codebooks and codes minimise h_perp |r|^2 + (h_par - h_perp) (r.x)^2, whic
 vector more than across it, since only that part changes the scores that matter to maximum inner product. Codes are
 chosen by coordinate descent over the subspaces, centroids by the weighted least squares that the loss gives.
 
-A search scans the codes of every row with a query's tables of partial products, one table of 256 entries a byte, takes
-the best of each batch of rows, computes their exact cosine in double precision on the original vectors and keeps the
-nearest. Equal vectors of a batch are scanned once, so that copies neither crowd out others nor break ties.
+The index keeps two figures of each residual: its part along the vector, which corrects the rough score, and the length of
+the rest, which tells how far the score may be off: by that length times the query's part across the vector, and unless
+both directions agree, by SPREAD / sqrt(dimension - 1) of it. A search scans the codes of every row with a query's tables
+of partial products, one table of 256 entries a byte, and computes the exact cosine, in double precision on the original
+vectors, of every row whose corrected score plus that deviation reaches the worst of the nearest so far. There is no
+limit on their number: a large group of near copies is reranked as a whole, and batches do not matter. With a
+spread of sqrt(dimension - 1) the bound is certain and the result exact. Equal vectors of a batch are scanned once.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or hold a null or non-finite component take
-no part, and null ids neither; ties go to the smaller id; rows that share a query's id are its own; fewer candidates
-than asked give all of them; an empty table gives an empty result; only vec_id and embedding are read.
+no part, and null ids neither; components of any finite size count; ties go to the smaller id; rows that share a query's
+id are its own, an id that repeats with one score counts once, and asks with the
+least of its vectors; fewer candidates than asked give all of them; an empty table gives an empty result; only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from .common import materialise
 
 FIT_ROWS = 8192
 QUERY_BLOCK = 2048
-RERANK = 100
+#: Standard deviations of a random direction that a rough score may be off; and how many rows of a task's first batch are ranked before the bound applies.
+SPREAD, FIRST = 4.0, 100
 THRESHOLD = 0.2
 SUB, CODES = 2, 16
 
@@ -90,10 +96,14 @@ class Quantiser:
                 along = rest + dots[each, code[:, m]]
         return code
 
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        """Packed codes, two a byte: (n, m / 2)."""
-        code = self.assign(self.parts(x)).astype(np.uint8)
-        return code[:, ::2] << 4 | code[:, 1::2]
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Packed codes, two a byte: (n, m / 2); the residuals' parts along the vectors and the lengths of the rest."""
+        p = self.parts(x)
+        code = self.assign(p)
+        along = self._along(p, code)
+        squares = sum(((p[:, m] - self.books[m, code[:, m]]) ** 2).sum(1) for m in range(self.m))
+        code = code.astype(np.uint8)
+        return code[:, ::2] << 4 | code[:, 1::2], along, np.sqrt(np.maximum(squares - along * along, 0.0))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Partial products by byte value: (queries, m / 2, 256)."""
@@ -113,74 +123,117 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return whole.where(F.size("embedding") == dim), dim
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no digit of a cosine, so that squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dim)
+    return _scaled(column.flatten().to_numpy().reshape(-1, dim))
 
 
 def index(vectors: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, Quantiser]:
-    """(vec_id, embedding, code) of every usable row, written to the shared folder; the codebooks are fitted on about fit_rows rows drawn by a hash of the id."""
+    """(vec_id, embedding, code, along, across) of every usable row, written to the shared folder; the codebooks are fitted on about fit_rows rows drawn by a hash of the id."""
     rows, dim = usable(vectors)
     share = min(1.0, fit_rows / max(rows.count(), 1))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("vec_id").select("embedding").toPandas()["embedding"]
     quantiser = Quantiser(max(dim, 1))
     if len(drawn):
-        quantiser.fit(np.stack(drawn))
+        quantiser.fit(_scaled(np.stack(drawn)))
     sent = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in got:
-            code = sent.value.encode(_matrix(b.column(1), dim)) if b.num_rows else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "embedding", "code"])
+            if b.num_rows:
+                code, along, across = sent.value.encode(_matrix(b.column(1), dim))
+                columns = [*b.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(along), pa.array(across)]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "embedding", "code", "along", "across"])
+
+    return materialise(rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary, along double, across double"), "vector-codes"), quantiser
 
-    return materialise(rows.mapInArrow(run, "vec_id long, embedding array<double>, code binary"), "vector-codes"), quantiser
+
+_NONE = np.iinfo(np.int64).max
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row by score, then id; padding has score -inf."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    """The k best of each row by score, then id, equal pairs once; padding has score -inf and id _NONE."""
+    order = np.lexsort((ids, -scores), axis=1)
+    scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    again = np.zeros(ids.shape, dtype=bool)
+    again[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (scores[:, 1:] == scores[:, :-1])
+    order = np.argsort(again, axis=1, kind="stable")[:, :k]
+    again = np.take_along_axis(again, order, 1)
+    return np.where(again, -np.inf, np.take_along_axis(scores, order, 1)), np.where(again, _NONE, np.take_along_axis(ids, order, 1))
+
+
+class Batch:
+    """The distinct vectors of a batch of rows, each with its k + 1 smallest ids: one may be a query's own."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, along: np.ndarray, across: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], np.ascontiguousarray(x[order])
+        _, first, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([group, ids], 1), axis=0)
+        place = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
+        few = place <= k
+        self.members = np.full((len(first), k + 1), _NONE)
+        self.members[pairs[few, 0], place[few]] = pairs[few, 1]
+        self.x, self.norms = x[first], np.sqrt((x[first] ** 2).sum(1))
+        self.codes, self.along, self.across = codes[order][first], along[order][first], across[order][first]
+
+    def rough(self, tables: np.ndarray) -> np.ndarray:
+        """Scores from the codes: (queries, vectors)."""
+        out = np.zeros((len(tables), len(self.x)), dtype=np.float32)
+        for b in range(self.codes.shape[1]):
+            out += np.take(tables[:, b], self.codes[:, b], axis=1)
+        return out
+
+    def exact(self, row: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Cosines of vectors and queries in pairs, some thousands at a time."""
+        out = np.empty(len(row))
+        for at in range(0, len(row), 16384):
+            r = row[at : at + 16384]
+            v = q[at : at + 16384] if q.ndim == 2 else q
+            out[at : at + 16384] = (self.x[r] * v).sum(1) / (self.norms[r] * np.sqrt((v * v).sum(-1)))
+        return out
+
+    def nearest(self, row: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (score, id) among the given vectors' members other than the query's own id."""
+        first = np.where(self.members[row, 0] == own, self.members[row, 1], self.members[row, 0])
+        order = np.lexsort((first, np.where(first == _NONE, np.inf, -scores)))[:k]
+        ids = self.members[row[order]]
+        got = np.where((ids == own) | (ids == _NONE), -np.inf, scores[order][:, None])
+        return got.ravel(), np.where(np.isinf(got), _NONE, ids).ravel()
+
+
+def scan(batch: Batch, query_ids: np.ndarray, q: np.ndarray, tables: np.ndarray, scores: np.ndarray, ids: np.ndarray, spread: float) -> None:
+    """Take the vectors of a batch into the nearest so far of each query, scores and ids (queries, k), in place."""
+    k = scores.shape[1]
+    certain = np.maximum(1.0 - batch.along, 1e-9)
+    width = batch.across * min(1.0, spread / max(np.sqrt(q.shape[1] - 1), 1e-9))
+    for at in range(0, len(q), 256):
+        rough = batch.rough(tables[at : at + 256])
+        for j in range(len(rough)):
+            i = at + j
 
+            def take(row: np.ndarray, i: int = i) -> None:
+                s, who = batch.nearest(row, batch.exact(row, q[i]), query_ids[i], k)
+                s, who = best(np.concatenate([scores[i], s])[None], np.concatenate([ids[i], who])[None], k)
+                scores[i], ids[i] = s[0], who[0]
 
-_NONE = np.iinfo(np.int64).max
+            if np.isinf(scores[i, -1]):  # rank some, so that there is a worst of the nearest
+                n = min(FIRST, len(batch.x))
+                take(np.argpartition(-rough[j], n - 1)[:n] if n < len(batch.x) else np.arange(n))
+            worst = scores[i, -1]
+            # an exact score s obeys s (1 - along) = rough + the query times the rest of the residual
+            reach = (rough[j] + width * np.sqrt(max(0.0, 1.0 - max(worst, 0.0) ** 2))) / certain
+            row = np.flatnonzero((reach + 1e-4 >= worst) | (batch.along >= 1.0)) if not np.isinf(worst) else np.arange(len(batch.x))
+            if len(row):
+                take(row)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact scores and ids of the k nearest found among the rows of a batch for each query: (queries, k)."""
-    order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
-    _, first, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    # the k + 1 smallest ids of each distinct vector; one may be the query's own
-    by_group = np.argsort(group, kind="stable")
-    place = np.arange(len(group)) - np.repeat(np.searchsorted(group[by_group], np.arange(len(first))), np.bincount(group))
-    members = np.full((len(first), k + 1), _NONE)
-    few = place <= k
-    members[group[by_group][few], place[few]] = ids[by_group][few]
-    x, codes = x[first], codes[first]
-    norms, q_norms = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-    out_s, out_i = np.full((len(q), k), -np.inf), np.full((len(q), k), _NONE)
-    for at in range(0, len(q), 256):
-        part = slice(at, at + 256)
-        t = tables[part]
-        rough = np.zeros((len(t), len(x)), dtype=np.float32)
-        for b in range(codes.shape[1]):
-            rough += np.take(t[:, b], codes[:, b], axis=1)
-        n = min(max(rerank, k + 1), len(x))
-        near = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(x) else np.broadcast_to(np.arange(n), (len(t), n))
-        exact = np.stack([(x[r] * v).sum(1) for r, v in zip(near, q[part])]) / (norms[near] * q_norms[part, None])
-        tops, who = best(exact, members[near, 0], min(n, k + 2))
-        # back from a vector's smallest id to the vector
-        where = np.searchsorted(ids, who)
-        own = members[group[where]]
-        s = np.repeat(tops, k + 1, axis=1)
-        i = own.reshape(len(t), -1)
-        s = np.where((i == _NONE) | (i == query_ids[part, None]), -np.inf, s)
-        s, i = best(s, np.where(np.isinf(s), _NONE, i), k)
-        out_s[part, : s.shape[1]], out_i[part, : s.shape[1]] = s, i
-    return out_s, out_i
-
-
-def search(codes: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 5, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row of queries (vec_id, embedding) in an index.
+def search(codes: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 5, spread: float = SPREAD) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row of queries (vec_id, embedding) in an index. A larger spread finds more; sqrt(dimension - 1) is exact.
 
     Queries are scanned against all rows in blocks of about QUERY_BLOCK, so what is broadcast stays bounded; a task hands
     on k rows a query.
@@ -189,10 +242,10 @@ def search(codes: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int =
     n_blocks = queries.count() // QUERY_BLOCK + 1
     out = None
     for block in range(n_blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)) == block).dropDuplicates(["vec_id"]).orderBy("vec_id").select("vec_id", "embedding").toPandas()
+        own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)) == block).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").toPandas()
         if not len(own):
             continue
-        q = np.stack(own["embedding"])
+        q = _scaled(np.stack(own["embedding"]))
         sent = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), q, quantiser.tables(q)))
 
         def run(got: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -201,8 +254,8 @@ def search(codes: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int =
             for b in got:
                 if b.num_rows:
                     packed = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
-                    s, i = scan(b.column(0).to_numpy(), _matrix(b.column(1), dim), packed, query_ids, q, tables, k, rerank)
-                    scores, ids = best(np.concatenate([scores, s], 1), np.concatenate([ids, i], 1), k)
+                    batch = Batch(b.column(0).to_numpy(), _matrix(b.column(1), dim), packed, b.column(3).to_numpy(), b.column(4).to_numpy(), k)
+                    scan(batch, query_ids, q, tables, scores, ids, spread)
             row, col = np.nonzero(ids != _NONE)
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids[row, col]), pa.array(scores[row, col])], ["query_id", "vec_id", "score"])
 

@@ -25,10 +25,10 @@ def rows_of(df):
     return out
 
 
-@pytest.mark.parametrize("rerank", [nn.RERANK, 30])
-def test_recall_on_a_whole_table(spark, rerank):
+@pytest.mark.parametrize("spread", [nn.SPREAD, 2.0])
+def test_recall_on_a_whole_table(spark, spread):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = rows_of(nn.self_search(vectors, rerank=rerank))
+    got = rows_of(nn.self_search(vectors, spread=spread))
     table = vectors.orderBy("vec_id").toPandas()
     expect = brute(table["vec_id"].to_numpy(), np.stack(table["embedding"]))
     assert set(got) == set(expect)
@@ -54,10 +54,12 @@ def test_the_loss_weighs_the_parallel_residual():
 def test_packed_codes_give_the_decoded_products():
     x = np.random.default_rng(2).standard_normal((500, 7))
     z = nn.Quantiser(7).fit(x)
-    code, tables = z.encode(x), z.tables(x[:3])
+    (code, along, across), tables = z.encode(x), z.tables(x[:3])
     scores = sum(tables[:, b][:, code[:, b]] for b in range(code.shape[1]))
     decoded = np.concatenate([z.books[m, z.assign(z.parts(x))[:, m]] for m in range(z.m)], 1)
     assert np.allclose(scores, z.parts(x[:3]).reshape(3, -1) @ decoded.T, atol=1e-5)
+    rest = z.parts(x).reshape(500, -1) - decoded
+    assert np.allclose(along, (rest * z.parts(x).reshape(500, -1)).sum(1)) and np.allclose(along**2 + across**2, (rest**2).sum(1))
 
 
 def test_copies_ties_and_odd_rows(spark):
@@ -79,3 +81,33 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     one = rows_of(nn.self_search(vectors, every=7))
     monkeypatch.setattr(nn, "QUERY_BLOCK", 20)
     assert rows_of(nn.self_search(vectors, every=7)) == one
+
+
+def test_batches_do_not_matter_and_near_copies_are_all_ranked(spark):
+    """A third of the rows are near copies of one vector, with equal codes; batches of any size find the same, exactly with a certain spread."""
+    rng = np.random.default_rng(5)
+    near = rng.standard_normal(32)
+    x = np.concatenate([near + 1e-3 * rng.standard_normal((2000, 32)), rng.standard_normal((4000, 32))])[rng.permutation(6000)].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).coalesce(2)
+    expect = brute(np.arange(len(x)), x)
+    key, results = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    try:
+        for rows in ("10000", "1000", "200"):
+            spark.conf.set(key, rows)
+            results.append(rows_of(nn.self_search(df)))
+        exact = rows_of(nn.self_search(df, spread=31**0.5))
+    finally:
+        spark.conf.set(key, before)
+    assert results[0] == results[1] == results[2]
+    assert {q: [i for i, _ in r] for q, r in exact.items()} == {q: [i for i, _ in r] for q, r in expect.items()}
+    hits = sum(len({i for i, _ in results[0][q]} & {i for i, _ in expect[q]}) for q in expect)
+    assert hits >= 0.99 * 5 * len(expect)
+
+
+def test_components_of_any_size_and_repeated_ids(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [3.0, -1.0]), (50, [5e-324, 0.0]), (4, [-1.0, 0.5])] + [(3, [1.0, 1.0])] * 8 + [(0, [float(i), 1.0]) for i in range(1, 9)]
+    got = rows_of(nn.self_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    # id 0 asks with its least vector; its own other rows are none of its neighbours, id 3 is one neighbour
+    assert [(i, pytest.approx(s)) for i, s in got[0]] == [(1, 1.0), (3, 3 / 10**0.5), (50, 0.2**0.5), (2, 1 / 50**0.5), (4, 0.0)]
+    assert [(i, pytest.approx(s)) for i, s in got[50]] == [(0, i / (i * i + 1) ** 0.5) for i in range(8, 3, -1)]
