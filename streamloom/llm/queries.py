@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, neighbours, personal, quality, repeats, sharding, simhash, tokens
+from . import bytepair, decontamination, divergence, language, merkle, mixing, neighbours, personal, quality, repeats, sharding, simhash, tokens
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepair.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -67,8 +79,11 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_byte_pairs": op11_byte_pairs,
+    "op12_divergence": op12_divergence,
+    "op13_merkle": op13_merkle,
 }
-#: Exact containment of five-word shingles. The others' methods are beyond SQL (fitted models, seeded draws, hashes and
+#: Exact containment of five-word shingles, and exact divergences. The others' methods are beyond SQL (fitted models, seeded draws, hashes and
 #: encoders that DuckDB lacks); tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op2_decontamination": r"""
@@ -82,4 +97,21 @@ hit AS (SELECT doc_id, item_id, count(*) / total AS c FROM ds JOIN q USING (n, s
 per AS (SELECT doc_id, count(*) AS n_items, string_agg(cast(item_id AS varchar), ',' ORDER BY item_id) AS item_ids, max(c) AS max_containment FROM hit GROUP BY 1)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(max_containment, 0.0) AS max_containment
 FROM documents LEFT JOIN per USING (doc_id)""",
+    "op12_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS total FROM f GROUP BY ALL),
+p AS (SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000::hugeint * (f.n + 2)) // (s.total + 2 * v.v) AS p, 1 + (1000000000::hugeint * (k.n + 2)) // (v.total + 2 * v.v) AS q
+  FROM f JOIN s USING (lang, source) JOIN v USING (lang) JOIN kept k ON k.lang = f.lang AND k.term = f.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::bigint AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS integer) AS rank FROM every
+UNION ALL SELECT *, cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS integer) AS rank FROM terms QUALIFY rank <= 10""",
 }
