@@ -169,9 +169,10 @@ def plan(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2,
     return _planned(kept, n_shards, share, cap, seed, docs_per_block).select("_doc.*", "size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2, seed: int = 9, docs_per_block: int = 64) -> DataFrame:
-    """The mixed table: each document as often as its source's quota takes it, dealt by shard and shuffled inside it."""
-    planned = _planned(without(docs, "mix_shard"), n_shards, share, cap, seed, docs_per_block)
-    dealt = planned.select("_doc", "_h", F.posexplode("copies").alias("_copy", "mix_shard"))
-    spread = dealt.withColumn("_order", F.xxhash64("_h", "_copy", "mix_shard"))
-    return spread.repartition("mix_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("mix_shard", "_order").select("_doc.*", "mix_shard")
+def mix(docs: DataFrame, n_shards: int = 16, share: float = 1.5, cap: int = 2, seed: int = 9, docs_per_block: int = 64, shard_column: str | None = "mix_shard") -> DataFrame:
+    """The mixed table: each document as often as its source's quota takes it, dealt by shard and shuffled inside it. shard_column names the shard in the result; None leaves it out and the documents' own columns as they are."""
+    planned = _planned(without(docs, shard_column) if shard_column else docs, n_shards, share, cap, seed, docs_per_block)
+    dealt = planned.select("_doc", "_h", F.posexplode("copies").alias("_copy", "_shard"))
+    spread = dealt.withColumn("_order", F.xxhash64("_h", "_copy", "_shard"))
+    ordered = spread.repartition("_shard", F.pmod("_order", F.lit(8))).sortWithinPartitions("_shard", "_order")
+    return ordered.select("_doc.*", *([F.col("_shard").alias(shard_column)] if shard_column else []))

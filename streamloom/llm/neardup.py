@@ -133,7 +133,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
-NODES = "row long, doc_id long, node long, n long, fp long, sign binary, prefix array<long>"
+NODES = "row long, doc_id long, node long, n long, fp long, sign array<long>, prefix array<long>"
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -150,10 +150,12 @@ def nodes(docs: DataFrame) -> DataFrame:
                 fps.append(fingerprint(own))
                 signs.append(bitmap(own))
                 first.append(prefix(own, *known.value).view(np.int64))
+            each = SIGN_BITS // 64
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(signs) + 1) * each, pa.int32()), pa.array(np.frombuffer(b"".join(signs), dtype=np.int64)))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *first])))
             keys = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
-            columns = [b.column(0), b.column(1), keys, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(signs, pa.binary()), lists]
+            columns = [b.column(0), b.column(1), keys, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), bits, lists]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "n", "fp", "sign", "prefix"])
 
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -169,21 +171,20 @@ def near_bits(own: DataFrame) -> DataFrame:
     return forest(least, n_parts).unionByName(equal)
 
 
+def near_bitmaps() -> str:
+    """Whether sets of nu and nv shingles with the bits su and sv can be alike: a differing bit is a shingle that one of them lacks."""
+    apart = " + ".join(f"bit_count(su[{k}] ^ sv[{k}])" for k in range(SIGN_BITS // 64))
+    return f"{WHOLE + PART} * ({apart}) <= {WHOLE - PART} * (nu + nv)"
+
+
 def plausible(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose sizes and bits allow them to be alike: a differing bit is a shingle that one of them lacks."""
+    """Those of pairs (u, v) whose sizes and bits allow them to be alike."""
 
     def end(c: str) -> DataFrame:
         return own.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")).hint("merge")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = {c: np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for c in ("su", "sv")}
-            apart = np.bitwise_count(of["su"] ^ of["sv"]).sum(1, dtype=np.int64)
-            both = b.column("nu").to_numpy() + b.column("nv").to_numpy()
-            yield b.select(["u", "v"]).filter(pa.array((WHOLE + PART) * apart <= (WHOLE - PART) * both))
-
     sized = pairs.join(end("u"), "u").join(end("v"), "v").where(f"{WHOLE} * least(nu, nv) >= {PART} * greatest(nu, nv)")
-    return sized.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+    return sized.where(near_bitmaps()).select("u", "v")
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
@@ -256,14 +257,16 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
         edges = materialise(edges.unionByName(verified(materialise(plausible(met, own), "neardup-pairs"), known, docs)), "neardup-edges")
     grouped = _grouped(lists, edges, "neardup-grouped")
     open_ = grouped.join(_open(grouped).where("groups > 1").select("h", "top").hint("merge"), "h")
-    x = open_.select("h", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("c").alias("cu"), "top")
-    y = open_.select("h", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("c").alias("cv"))
+    # with the bits of each text, so that the join itself lets only plausible pairs out
+    open_ = materialise(open_.join(own.select("node", "sign").hint("merge"), "node"), "neardup-open")
+    x = open_.select("h", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("c").alias("cu"), "top", F.col("sign").alias("su"))
+    y = open_.select("h", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("c").alias("cv"), F.col("sign").alias("sv"))
     # the smaller set comes first; two sets of similarity 0.8 share least = 4/9 of their sizes' sum, so before the first
     # shingle that they share a set has its size less least others at most: a pair comes at such places of a list only
     least = f"ceil({PART} * (nu + nv) / {PART + WHOLE}d)"
-    apart = x.hint("merge").join(y, "h").where("cu <> cv and (cu <> top or cv <> top) and (nu < nv or nu = nv and u < v)").where(f"iu + {least} <= nu and iv + {least} <= nv")
+    apart = x.hint("merge").join(y, "h").where("cu <> cv and (cu <> top or cv <> top) and (nu < nv or nu = nv and u < v)").where(f"iu + {least} <= nu and iv + {least} <= nv").where(near_bitmaps())
     apart = apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(near.hint("merge"), ["u", "v"], "left_anti")
-    return edges.unionByName(verified(materialise(plausible(apart, own), "neardup-pairs"), known, docs))
+    return edges.unionByName(verified(materialise(apart, "neardup-pairs"), known, docs))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
