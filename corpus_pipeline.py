@@ -31,7 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by weight: a document stays as often as the mix takes it."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, shard_column=None)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
