@@ -15,7 +15,7 @@ from streamloom.operators import anomaly, classify, dedup, deliveries, ingest, r
 from streamloom.sources import adapter, warehouse
 from streamloom.sources.adapter import events
 from streamloom.sources.schemas import DELIVERY, ENVELOPE, EVENT_ROW
-from streamloom.streaming import pipelines
+from streamloom.streaming import pipelines, states
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -562,6 +562,90 @@ def cooldown_redelivered(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.cooled(alerts).select("id", "app_id", "timestamp_ms")
 
 
+# --- streams with state, over events that come in no order over several batches
+
+DAY_MS = 86_400_000
+#: Days of a file, and of the watermark's delay: a tenth of the events comes a file late.
+FILE_DAYS, LATE_DAYS = 6, 12
+
+
+def _late_stream(spark: SparkSession, d: str, build) -> DataFrame:
+    """Run a query in append mode over the events, a few days a file in no order, some of them a file late; return what it wrote."""
+    path = _folder(spark, "late-stream")
+    raw = spark.read.parquet(f"{d}/events.parquet")
+    day = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - 1_704_067_200_000) / DAY_MS)
+    dealt = raw.withColumn("_file", F.floor(day / FILE_DAYS) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).withColumn("_n", F.xxhash64("event_id"))
+    for k in range(30 // FILE_DAYS + 1):  # files are taken by age
+        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).sortWithinPartitions("_n").drop("_n").write.mode("append").parquet(f"{path}-in")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    writer = build(adapter.adapted(stream)).writeStream.outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    writer.start(path, format="parquet").awaitTermination()
+    return spark.read.parquet(path)
+
+
+def _until(rows: str) -> str:
+    """Where the watermark has come to in the end, over rows."""
+    return f"timestamp_ms <= (SELECT max(timestamp_ms) FROM {rows}) - {LATE_DAYS * DAY_MS}"
+
+
+LATE = f"{LATE_DAYS} days"
+
+
+@query(f"SELECT id, idempotency_key, timestamp_ms FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY timestamp_ms, id) = 1) WHERE {_until('ev')}")
+def stream_first_of_key(spark: SparkSession, d: str) -> DataFrame:
+    """The earliest event of each key, whichever came first."""
+    return _late_stream(spark, d, lambda e: states.first_within(e, 60 * DAY_MS, LATE).select("id", "idempotency_key", "timestamp_ms"))
+
+
+@query(f"WITH {CANDIDATES}, {KEPT} SELECT c.id, c.app_id, c.timestamp_ms FROM kept JOIN cand c ON c.app_id = kept.app_id AND c.rn = kept.rn WHERE c.{_until('cand')}")
+def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    """The batch row's alerts as far as the watermark comes; the time to live is no longer than the cooldown, so most keys expire on the way."""
+    config = adapter.configs(spark, THRESHOLD | {"cooldown_seconds": 3600})
+    candidates = lambda e: anomaly.threshold(e, config).select("config_id", "app_id", "id", "timestamp_ms", (F.col("cooldown_seconds").cast("long") * 1000).alias("cooldown_ms"))
+    return _late_stream(spark, d, lambda e: states.cooled(candidates(e), LATE, ttl_ms=3_600_000).select("id", "app_id", "timestamp_ms"))
+
+
+@query(f"SELECT * FROM (SELECT id, app_id, timestamp_ms, row_number() OVER (PARTITION BY app_id, timestamp_ms // 3600000 ORDER BY timestamp_ms, id) AS running FROM ev) WHERE running > 3 AND {_until('ev')}")
+def stream_rate_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Each event after the first three of its app and hour."""
+    columns = {"config_id": F.lit("r"), "window_seconds": F.lit(3600), "window_start": scalars.window_start(F.col("timestamp_ms"), 3600), "most": F.lit(3)}
+    return _late_stream(spark, d, lambda e: states.rate_alerts(e.select("id", "app_id", "timestamp_ms").withColumns(columns), LATE).select("id", "app_id", "timestamp_ms", "running"))
+
+
+#: Sign-ups stand for the app going to the background and crashes for its coming back.
+SWITCHED = "sw AS (SELECT id, device_id, timestamp_ms, CASE event_type WHEN 'signup' THEN 'app_background' WHEN 'app_crash' THEN 'app_foreground' ELSE event_type END AS event_type FROM ev)"
+BACKGROUND = f"""{SWITCHED},
+b AS (SELECT *, lag(timestamp_ms) OVER o AS before, last_value(CASE event_type WHEN 'app_background' THEN timestamp_ms WHEN 'app_foreground' THEN -1 END IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY timestamp_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS away
+  FROM sw WINDOW o AS (PARTITION BY device_id ORDER BY timestamp_ms, id)),
+bs AS (SELECT *, sum(CASE WHEN before IS NULL OR timestamp_ms - before > 10800000 OR (event_type = 'app_foreground' AND away >= 0 AND timestamp_ms - away > 10800000) THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY timestamp_ms, id) AS session_no FROM b),
+sums AS (SELECT device_id, cast(session_no AS bigint) AS session_no, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms, count(*) AS events, max(timestamp_ms) - min(timestamp_ms) AS duration_ms FROM bs GROUP BY 1, 2)"""
+
+
+def _switched(events_: DataFrame) -> DataFrame:
+    return events_.withColumn("event_type", F.when(F.col("event_type") == "signup", "app_background").when(F.col("event_type") == "app_crash", "app_foreground").otherwise(F.col("event_type")))
+
+
+@query(f"WITH {BACKGROUND} SELECT * FROM sums")
+def sessions_background(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that also end when the app comes back from a long time in the background."""
+    return sessions.summaries(sessions.sessionize(_switched(events(spark, d)), 3 * 3600 * 1000))
+
+
+@query(f"""WITH {BACKGROUND}, w AS (SELECT max(timestamp_ms) - {LATE_DAYS * DAY_MS} AS w FROM ev), n AS (SELECT *, lead(start_ms) OVER (PARTITION BY device_id ORDER BY session_no) AS next_ms FROM sums)
+SELECT device_id, session_no, 'session_start' AS event_type, start_ms AS timestamp_ms, NULL::bigint AS events, NULL::bigint AS duration_ms FROM n, w WHERE start_ms <= w
+UNION ALL SELECT device_id, session_no, 'session_end', end_ms, events, duration_ms FROM n, w WHERE end_ms + 10800000 <= w OR next_ms <= w""")
+def stream_session_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Starts and ends of sessions as the watermark comes to know them."""
+    return _late_stream(spark, d, lambda e: states.session_boundaries(_switched(e), 3 * 3600 * 1000, LATE))
+
+
+@query(f"SELECT * FROM (SELECT app_id, timestamp_ms // 3600000 * 3600000 AS start_ms, count(*) AS n FROM ev GROUP BY ALL) WHERE start_ms + 3600000 <= (SELECT max(timestamp_ms) FROM ev) - {LATE_DAYS * DAY_MS}")
+def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that the watermark has closed, each once."""
+    found = _late_stream(spark, d, lambda e: pipelines.window_counts(e, 3600, LATE))
+    return found.select("app_id", F.unix_millis("start").alias("start_ms"), "n")
+
+
 # --- rules over the whole event document
 
 

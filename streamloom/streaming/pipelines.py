@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from streamloom.functions.scalars import YEAR_ONE, event_time, matches_topic
 from streamloom.operators.classify import flatten
@@ -18,8 +14,6 @@ from streamloom.operators.ingest import decoded, split_poison, validate
 from streamloom.sources import warehouse
 from streamloom.sources.schemas import ENVELOPE
 
-TTL_MS = 24 * 3600 * 1000
-
 
 def envelopes(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """JSON lines as a stream; a bounded number of files a batch is the back-pressure. Unparsed lines keep their text."""
@@ -52,55 +46,6 @@ def sessions(events: DataFrame, gap: str = "30 seconds", late: str = "10 minutes
     return with_time(events, late).groupBy("device_id", F.session_window("ts", gap)).agg(F.count("*").alias("events")).select("device_id", F.col("session_window.start").alias("start"), "events")
 
 
-def _cooldown(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Keep an alert if it lies cooldown_ms after the last kept one of its key; forget a key after ttl_ms without any."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(list(batches)).sort_values(["timestamp_ms", "id"])
-    last = state.get[0] if state.exists else None
-    keep = []
-    for at, gap in zip(batch["timestamp_ms"], batch["cooldown_ms"]):
-        keep.append(last is None or at - last >= gap)
-        if keep[-1]:
-            last = int(at)
-    state.update((last,))
-    if ttl_ms:
-        state.setTimeoutDuration(ttl_ms)
-    yield batch[keep]
-
-
-def _rate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Number the events of one window over all batches and alert on each after the first most of them."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(list(batches)).sort_values(["timestamp_ms", "id"])
-    before = state.get[0] if state.exists else 0
-    batch["running"] = before + 1 + np.arange(len(batch))
-    state.update((before + len(batch),))
-    if ttl_ms:
-        state.setTimeoutDuration(ttl_ms)
-    yield batch[batch["running"] > batch["most"]]
-
-
-def _stateful(rows: DataFrame, step, keys: tuple[str, ...], schema: StructType, state: str, ttl_ms: int | None) -> DataFrame:
-    """A time to live keeps a query running for its timers' sake; without one (None) a bounded run can end."""
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*keys).applyInPandasWithState(lambda key, batches, held: step(key, batches, held, ttl_ms), schema, state, "append", timeout)
-
-
-def cooled(candidates: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
-    """Alert candidates (config_id, app_id, id, timestamp_ms, cooldown_ms, ...) that pass the cooldown."""
-    return _stateful(candidates, _cooldown, ("config_id", "app_id"), candidates.schema, "last long", ttl_ms)
-
-
-def rate_alerts(events: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
-    """Events (config_id, app_id, id, timestamp_ms, window_start, most, ...) over their window's limit, with running. A window is a key of its own, forgotten ttl_ms after its last event."""
-    schema = StructType([*events.schema.fields]).add("running", "long")
-    return _stateful(events, _rate, ("config_id", "app_id", "window_start"), schema, "n long", ttl_ms)
-
-
 def sink(stream: DataFrame, path: str, rejects: str, checkpoint: str, compression: str = "snappy") -> DataStreamWriter:
     """Valid envelopes into the warehouse, poison and invalid ones into a reject table.
 

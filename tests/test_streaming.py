@@ -1,10 +1,9 @@
 import json
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from streamloom.operators import anomaly, dedup
+from streamloom.operators import dedup
 from streamloom.sources import adapter, warehouse
 from streamloom.streaming import pipelines
 
@@ -29,34 +28,6 @@ def test_dedup_equals_its_batch_twin(spark, small, stream, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, dedup.first_of_key(adapter.events(spark, small)).select("idempotency_key").collect()))
 
 
-def test_cooldown_and_rate_equal_their_batch_twins(spark, tmp_path):
-    rows = [(f"{i:03}", "c", "a" if i % 2 else "b", i * 40_000) for i in range(60)]
-    schema = "id string, config_id string, app_id string, timestamp_ms long"
-    for k in range(3):
-        spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/c")
-    # files are taken by age, so batches come in order
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/c")
-    (tmp_path / "x").mkdir()
-    got = run(pipelines.cooled(source.withColumn("cooldown_ms", F.lit(300_000).cast("long")), None), tmp_path / "x")
-    batch = anomaly.cooled(spark.createDataFrame(rows, schema).withColumn("cooldown_seconds", F.lit(300)))
-    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in batch.collect())
-    (tmp_path / "y").mkdir()
-    windowed = source.withColumns({"window_start": F.floor(F.col("timestamp_ms") / 600_000) * 600, "most": F.lit(5)})
-    over = run(pipelines.rate_alerts(windowed, None), tmp_path / "y")
-    order = Window.partitionBy("app_id", F.floor(F.col("timestamp_ms") / 600_000)).orderBy("timestamp_ms")
-    expect = spark.createDataFrame(rows, schema).withColumn("n", F.row_number().over(order)).where("n > 5")
-    assert sorted((r["id"], r["running"]) for r in over.collect()) == sorted((r["id"], r["n"]) for r in expect.collect())
-
-
-def test_many_windows_of_one_key(spark, tmp_path):
-    """Events of windows long past are still counted with them."""
-    schema = "id string, config_id string, app_id string, timestamp_ms long, window_start long, most int"
-    for k in range(2):
-        spark.createDataFrame([(f"{k}-{w}", "c", "a", w * 60_000 + k, w * 60, 1) for w in range(40)], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/c")
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/c")
-    assert [r["running"] for r in run(pipelines.rate_alerts(source, None), tmp_path).collect()] == [2] * 40
-
-
 def test_sessions_and_windows(spark, tmp_path):
     rows = [("d", "a", t * 1000) for t in (0, 10, 40, 71, 200, 9999)]
     spark.createDataFrame(rows, "device_id string, app_id string, timestamp_ms long").coalesce(1).write.parquet(f"file://{tmp_path}/s")
