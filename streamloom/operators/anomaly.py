@@ -23,11 +23,19 @@ def with_configs(events: DataFrame, configs: DataFrame, detection: str) -> DataF
     return events.withColumn("_key", F.explode(event_keys())).join(renamed, "_key").drop("_key")
 
 
-def threshold(events: DataFrame, configs: DataFrame, document: str = "payload_json") -> DataFrame:
+class Configured:
+    """Configurations of a kind with their distinct paths, read once: for the batches of a stream."""
+
+    def __init__(self, configs: DataFrame, detection: str):
+        self.table = configs.where(F.col("enabled") & (F.col("detection_type") == detection))
+        self.paths = [r[0] for r in self.table.select("path").distinct().collect() if r[0]]
+
+
+def threshold(events: DataFrame, configs: DataFrame | Configured, document: str = "payload_json") -> DataFrame:
     """Alert candidates: below the least, else above the most; a missing or non-numeric value gives none."""
-    joined = with_configs(events.withColumn("_doc", F.try_parse_json(document)), configs, "threshold")
+    own = configs if isinstance(configs, Configured) else Configured(configs, "threshold")
+    joined = with_configs(events.withColumn("_doc", F.try_parse_json(document)), own.table, "threshold")
     # paths differ by configuration, so they are looked up one by one: a handful of distinct literals
-    paths = [r[0] for r in configs.where(F.col("enabled") & (F.col("detection_type") == "threshold")).select("path").distinct().collect() if r[0]]
     value = F.coalesce(
         F.lit(None).cast("double"),
         *[
@@ -35,7 +43,7 @@ def threshold(events: DataFrame, configs: DataFrame, document: str = "payload_js
                 (F.col("path") == p) & (F.schema_of_variant(F.try_variant_get("_doc", json_path(p), "variant")) != "BOOLEAN"),
                 number(F.try_variant_get("_doc", json_path(p), "string")),
             )
-            for p in paths
+            for p in own.paths
         ],
     )
     violation = F.when(F.col("value") < F.col("min"), "below_min").when(F.col("value") > F.col("max"), "above_max")
@@ -63,6 +71,15 @@ def cooled(candidates: DataFrame) -> DataFrame:
     return keep_spaced(candidates, ["config_id", "app_id"], "timestamp_ms", F.col("cooldown_seconds").cast("long") * 1000, "id")
 
 
+def cooled_after(candidates: DataFrame, last: DataFrame) -> DataFrame:
+    """The same with alerts given before: last (anomaly_config_id, app_id, last_alert_ms) counts as kept."""
+    before = last.select(F.col("anomaly_config_id").alias("config_id"), "app_id", "last_alert_ms")
+    # an equal null app is the same app
+    same = (candidates["config_id"] == before["config_id"]) & candidates["app_id"].eqNullSafe(before["app_id"])
+    far = F.col("last_alert_ms").isNull() | (F.col("timestamp_ms") - F.col("last_alert_ms") >= F.col("cooldown_seconds").cast("long") * 1000)
+    return cooled(candidates.join(before, same, "left").where(far).select(*[candidates[c] for c in candidates.columns]))
+
+
 def details(detection: str) -> Column:
     """What the alert says, as JSON; null fields are left out."""
     if detection == "threshold":

@@ -74,11 +74,18 @@ def batch_counts(result: DataFrame, *keys: str) -> DataFrame:
     return result.groupBy(*keys).agg(F.count_if(F.col("status") == "accepted").alias("accepted_count"), F.count_if(F.col("status") == "rejected").alias("rejected_count"))
 
 
-def dead_letters(poison: DataFrame, subject: str, stream: str, consumer: str, deliveries: int) -> DataFrame:
-    """Poison records with where they came from, for an append-only table."""
+def dead_letters(poison: DataFrame, subject: str, stream: str, consumer: str, deliveries: int = 1) -> DataFrame:
+    """Poison records with where they came from, for an append-only table.
+
+    Records of a redelivery ledger bring their own place in the stream, time of arrival, number of tries and last error;
+    others have none of the first two, count as delivered so often, and are unparsable.
+    """
+    own = lambda name, other: F.col(name) if name in poison.columns else other
+    sequence = F.concat_ws("-", "batch", "place") if "place" in poison.columns else F.lit(None).cast("string")
     return poison.select(
         F.lit(f"dlq.{subject}").alias("subject"), F.lit(subject).alias("original_subject"), F.lit(stream).alias("stream"),
-        F.lit(consumer).alias("consumer"), F.xxhash64("record").alias("sequence"), F.lit(deliveries).alias("deliveries"), "record",
+        F.lit(consumer).alias("consumer"), sequence.alias("sequence"), own("arrived_ms", F.lit(None).cast("long")).alias("arrived_ms"),
+        own("tries", F.lit(deliveries)).alias("deliveries"), own("error", F.lit("unparsable")).alias("error"), "record",
     )
 
 

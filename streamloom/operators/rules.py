@@ -13,11 +13,15 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamloom.functions.scalars import NUMBER, number, topic
 from streamloom.operators.classify import any_of
+from streamloom.sources.schemas import RULE
 
 OPERATORS = ("exists", "not_exists", "eq", "ne", "gt", "gte", "lt", "lte", "contains", "regex", "in")
+#: Rules that are compiled to columns of every event; more are joined to the events that pass their filters.
+MOST_COMPILED = 64
 #: Dialects differ on these, so they are refused: look-around and back-references.
 _REFUSED = ("(?=", "(?!", "(?<", "\\1", "\\2", "\\3", "\\4", "\\5", "\\6", "\\7", "\\8", "\\9", "\\k<")
 
@@ -116,34 +120,73 @@ def applies(rule: dict) -> Column:
     return reduce(and_, parts, F.lit(True))
 
 
-def hits(events: DataFrame, rules: DataFrame, document: str = "payload_json") -> DataFrame:
-    """A row for each event and enabled rule that matches it, by rule priority (highest first), then name.
+class Compiled:
+    """The enabled rules of a table, read once, as columns by priority (highest first), then name.
 
-    The filter stands outside the conditions in a CASE, so that documents are only looked into where it holds. events may
-    be a stream. The rules, a small configuration table, are read once, here.
+    Up to MOST_COMPILED rules are all columns of every event. Of more, an event only sees those whose filter it passes:
+    they are joined to it by wildcard_join, and each distinct condition is one column of the joined rows; so the plan grows
+    with the distinct conditions, not with the rules. A rule with a pattern that executors do not take matches nothing;
+    refused names these patterns.
     """
-    spark = events.sparkSession
-    own = sorted((r.asDict(recursive=True) for r in rules.where("enabled").collect()), key=lambda r: (-(r["priority"] or 0), r["name"] or "", r["id"]))
-    parsed = events.withColumn("_doc", F.try_parse_json(F.col(document)))
-    made = [
-        F.when(
-            F.coalesce(applies(r), F.lit(False)),
+
+    def __init__(self, rules: DataFrame, document: str = "payload_json", most: int | None = None):
+        self.spark, self.document = rules.sparkSession, document
+        self.many = rules.where("enabled").count() > (MOST_COMPILED if most is None else most)
+        self.table = rules.where("enabled")
+        patterns = self.table.select(F.explode("conditions").alias("c")).where("c.operator = 'regex'").select(F.col("c.value").alias("v")).distinct()
+        self.refused = sorted(p for p in (literal_text(json.loads(r["v"])) or "" for r in patterns.where("v is not null").collect()) if not usable_pattern(self.spark, p))
+        self.own = [] if self.many else sorted((r.asDict(recursive=True) for r in self.table.collect()), key=lambda r: (-(r["priority"] or 0), r["name"] or "", r["id"]))
+
+    def hits(self, events: DataFrame) -> DataFrame:
+        """A row for each event and rule that matches it, with hit_order from 0 in the event. events may be a stream while the rules are few."""
+        parsed = events.withColumn("_doc", F.try_parse_json(F.col(self.document)))
+        return self._joined(events, parsed) if self.many else self._projected(events, parsed)
+
+    def _projected(self, events: DataFrame, parsed: DataFrame) -> DataFrame:
+        # the filter stands outside the conditions, so that documents are only looked into where it holds
+        made = [
             F.when(
-                conditions(F.col("_doc"), r["conditions"], spark),
-                F.struct(
-                    F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.lit(r["priority"] or 0).alias("priority"),
-                    F.array(*[F.lit(w) for w in r["webhooks"] or []]).cast("array<string>").alias("webhooks"),
-                    F.array(*[F.lit(s) for s in r["publish_subjects"] or []]).cast("array<string>").alias("publish_subjects"),
+                F.coalesce(applies(r), F.lit(False)),
+                F.when(
+                    conditions(F.col("_doc"), r["conditions"], self.spark),
+                    F.struct(
+                        F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.lit(r["priority"] or 0).alias("priority"),
+                        F.array(*[F.lit(w) for w in r["webhooks"] or []]).cast("array<string>").alias("webhooks"),
+                        F.array(*[F.lit(s) for s in r["publish_subjects"] or []]).cast("array<string>").alias("publish_subjects"),
+                    ),
                 ),
-            ),
-        )
-        for r in own
-    ]
-    if not made:
-        none = "struct<rule_id:string,rule_name:string,priority:int,webhooks:array<string>,publish_subjects:array<string>>"
-        made = [F.lit(None).cast(none)]
-    found = parsed.withColumn("_hits", F.array_compact(F.array(*made))).drop("_doc")
-    return found.select(*events.columns, F.posexplode("_hits").alias("hit_order", "_hit")).select(*events.columns, "hit_order", "_hit.*")
+            )
+            for r in self.own
+        ]
+        if not made:
+            none = "struct<rule_id:string,rule_name:string,priority:int,webhooks:array<string>,publish_subjects:array<string>>"
+            made = [F.lit(None).cast(none)]
+        found = parsed.withColumn("_hits", F.array_compact(F.array(*made))).drop("_doc")
+        return found.select(*events.columns, F.posexplode("_hits").alias("hit_order", "_hit")).select(*events.columns, "hit_order", "_hit.*")
+
+    def _joined(self, events: DataFrame, parsed: DataFrame) -> DataFrame:
+        distinct = [r["c"] for r in self.table.select(F.explode("conditions").alias("c")).distinct().collect()]
+        truths = [F.when(condition(F.col("_doc"), c["path"], c["operator"], json.loads(c["value"]) if c["value"] is not None else None, self.spark), F.lit(i)) for i, c in enumerate(distinct)]
+        numbers = self.spark.createDataFrame([(c, i) for i, c in enumerate(distinct)], T.StructType([T.StructField("c", RULE["conditions"].dataType.elementType), T.StructField("i", T.IntegerType())]))
+        each = self.table.select("id", F.explode("conditions").alias("c")).select("id", F.to_json("c").alias("_t")).join(numbers.select(F.to_json("c").alias("_t"), "i"), "_t")
+        needs = each.groupBy("id").agg(F.collect_set("i").alias("_needs"))
+        keyed = self.table.join(needs, "id", "left").select(
+            filter_key(wildcards=True).alias("_key"), F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), F.coalesce("priority", F.lit(0)).alias("priority"),
+            *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("webhooks", "publish_subjects")], F.coalesce("_needs", F.array().cast("array<int>")).alias("_needs"),
+        )
+        true = F.array_compact(F.array(*truths)) if truths else F.array().cast("array<int>")
+        numbered = parsed.select(F.monotonically_increasing_id().alias("_row"), F.struct(*events.columns).alias("_e"), true.alias("_true"), event_keys().alias("_keys"))
+        found = numbered.select("_row", "_e", "_true", F.explode("_keys").alias("_key")).join(keyed, "_key")
+        found = found.where(F.size(F.array_except("_needs", "_true")) == 0)
+        hit = F.struct((-F.col("priority")).alias("_p"), F.coalesce("rule_name", F.lit("")).alias("_n"), "rule_id", "rule_name", "priority", "webhooks", "publish_subjects")
+        listed = found.groupBy("_row").agg(F.first("_e").alias("_e"), F.array_sort(F.collect_list(hit)).alias("_hits"))
+        ordered = listed.select("_e.*", F.posexplode("_hits").alias("hit_order", "_hit"))
+        return ordered.select(*events.columns, "hit_order", *[F.col(f"_hit.{c}") for c in ("rule_id", "rule_name", "priority", "webhooks", "publish_subjects")])
+
+
+def hits(events: DataFrame, rules: DataFrame, document: str = "payload_json") -> DataFrame:
+    """A row for each event and enabled rule that matches it, by rule priority (highest first), then name."""
+    return Compiled(rules, document).hits(events)
 
 
 FILTERED = ("app_id", "event_category", "event_type")

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.functions import scalars
-from streamloom.operators import anomaly, classify, dedup, deliveries, ingest, reports, rules, sessions
-from streamloom.sources import adapter, warehouse
+from streamloom.operators import anomaly, classify, claims, dedup, deliveries, ingest, reports, rules, sessions
+from streamloom.sources import adapter, anomaly_log, counters, warehouse
 from streamloom.sources.adapter import events
 from streamloom.sources.schemas import DELIVERY, ENVELOPE, EVENT_ROW
-from streamloom.streaming import pipelines, states
+from streamloom.streaming import metrics, pipelines, redelivery, states
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -692,3 +692,269 @@ def keys_of_app(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     table = o.groupBy(F.concat(F.lit("h"), "o_custkey").alias("key_hash"), F.concat(F.lit("app"), F.col("o_custkey") % 4).alias("app_id")).agg(F.max("o_orderdate").alias("created_at"))
     return deliveries.keys_of(table.withColumn("id", F.col("key_hash")), "app1").select("key_hash", "app_id", "created_at")
+
+
+# --- tables that batches add to
+
+
+def _logged(spark: SparkSession, d: str) -> str:
+    """Threshold alerts in the anomaly log, in three batches, one of them tried twice."""
+    path = _folder(spark, "anomaly-log")
+    found = anomaly.records(anomaly.threshold(events(spark, d), adapter.configs(spark, THRESHOLD, THRESHOLD | {"id": "other/one", "max": 50.0})), "threshold")
+    for k in (0, 1, 1, 2):
+        anomaly_log.append(found.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k), path, k)
+    return path
+
+
+def _page_query(number: int, size: int = 40) -> None:
+    @query(f"WITH {CANDIDATES} SELECT id AS event_id, app_id, timestamp_ms FROM cand ORDER BY timestamp_ms DESC, id DESC LIMIT {size} OFFSET {size * (number - 1)}", name=f"anomaly_log_page_{number}")
+    def page(spark: SparkSession, d: str) -> DataFrame:
+        path, after = _logged(spark, d), None
+        for _ in range(number - 1):  # each page goes on from the last row of the one before
+            last = anomaly_log.page(spark, path, "t", size, after).orderBy("timestamp_ms", "event_id").first()
+            after = (last["timestamp_ms"], last["event_id"]) if last else after
+        return anomaly_log.page(spark, path, "t", size, after).select("event_id", "app_id", "timestamp_ms")
+
+
+for _number in (1, 3):
+    _page_query(_number)
+
+
+@query("SELECT 'c' AS config_id, app_id, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%dT%H') AS window_key, count(*) AS event_count, max(timestamp_ms) AS updated_ms FROM ev GROUP BY ALL")
+def counter_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Counters by hour over three batches, one tried twice, folded between the second and the third."""
+    path = _folder(spark, "counters")
+    e = events(spark, d).select(F.lit("c").alias("config_id"), "app_id", F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd'T'HH").alias("window_key"), "timestamp_ms", "id")
+    for k in (0, 1, 1, 2):
+        counters.add(e.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k), path, k)
+        if k == 1:
+            counters.fold(spark, path)
+    return counters.read(spark, path)
+
+
+@query(f"""WITH {DELIVERIES}, q AS (SELECT id, row_number() OVER (ORDER BY next_attempt_at, id) AS n FROM dl WHERE status IN ('pending', 'in_progress') AND next_attempt_at <= TIMESTAMP '1998-01-01')
+SELECT id, CASE WHEN n <= 60 THEN 'c' WHEN n <= 120 THEN 'b' ELSE 'a' END AS worker FROM q WHERE n <= 160""")
+def claimed_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """a's claim runs out before c's, which gets the same again; b's holds; a then takes what is left."""
+    held, rows = claims.Claims(spark, _folder(spark, "claims")), _deliveries(spark, d)
+    now = int(NOW.timestamp() * 1000)
+    held.claim(rows, "a", 60, now, 1000)
+    held.claim(rows, "b", 60, now, 60_000)
+    held.claim(rows, "c", 60, now + 2000, 60_000)
+    held.claim(rows, "a", 40, now + 3000, 60_000)
+    return held.held(now + 4000).select("id", "worker")
+
+
+@query("SELECT id, timestamp_ms FROM ev WHERE timestamp_ms >= 1705307696789")
+def retention_within_hour(spark: SparkSession, d: str) -> DataFrame:
+    """The table cut at 08:34:56.789 of a day."""
+    path = _folder(spark, "warehouse")
+    warehouse.append(_warehouse_rows(spark, d), path)
+    warehouse.keep_since(spark, path, datetime(2024, 1, 15, 8, 34, 56, 789_000))
+    return warehouse.read(spark, path).select("id", "timestamp_ms")
+
+
+# --- streams end to end
+
+
+def _lines(spark: SparkSession, d: str, n_files: int) -> str:
+    """The odd envelopes as JSON lines, in files that a stream takes one by one; every seventeenth line is cut off."""
+    path = _folder(spark, "lines")
+    text = F.to_json(F.struct(*ENVELOPE.names))
+    cut = F.when(F.col("id").cast("long") % 17 == 0, F.substring(text, 1, 20)).otherwise(text)
+    # by time, so that a batch has hours of its own
+    rows = odd_envelopes(spark, d).select(cut.alias("value"), F.pmod(F.floor(F.col("timestamp_ms") / (30 * DAY_MS / n_files)), F.lit(n_files)).alias("_k"))
+    for k in range(n_files):
+        rows.where(F.col("_k") == k).drop("_k").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@query(f"SELECT id, app_id, 2 AS times FROM ev WHERE {STATUS} IS NULL AND cast(id AS bigint) % 17 <> 0")
+def sink_of_two_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Two queries with checkpoints of their own write the same lines into one table, one at once and one in carried batches."""
+    source, path = _lines(spark, d, 2), _folder(spark, "warehouse")
+    for name, least in (("a", 0), ("b", 10**9)):
+        stream = pipelines.envelopes(spark, source, 1)
+        started = pipelines.sink(stream, path, f"{path}-rejects", f"{path}-{name}", least_rows=least, seconds=3600).trigger(availableNow=True).start()
+        started.awaitTermination()
+        if least:
+            pipelines.Carried(spark, path, str(started.id), least, 0).flush(10**6, now=True)
+    return warehouse.read(spark, path).groupBy("id", "app_id").agg(F.count("*").cast("int").alias("times"))
+
+
+@query("""SELECT id, 'r1' AS rule_id FROM ev WHERE event_category = 'screen'
+UNION ALL SELECT id, 'r2' FROM ev WHERE cast(id AS bigint) % 2 = 1 AND app_id = 'app1'""")
+def live_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A running query over two batches, between which a rule is added."""
+    path = _folder(spark, "live")
+    e = events(spark, d).drop("value")
+    for k in range(2):
+        e.where(F.col("id").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
+    first = {"id": "r1", "event_category": "screen"}
+    tables = iter((adapter.rules(spark, first), adapter.rules(spark, first, {"id": "r2", "app_id": "app1"})))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    writer = pipelines.live_hits(stream, lambda: next(tables), 0, lambda found, k: found.select("id", "rule_id").write.mode("overwrite").parquet(f"{path}/batch={k}"))
+    writer.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("id", "rule_id")
+
+
+@query(f"WITH {CANDIDATES}, {KEPT} SELECT c.id AS event_id, c.app_id FROM kept JOIN cand c ON c.app_id = kept.app_id AND c.rn = kept.rn")
+def live_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts with a cooldown over the batches of a stream, which come in order of time, by way of the log."""
+    path = _folder(spark, "live-alerts")
+    e = events(spark, d).drop("value")
+    for k in range(3):
+        third = F.least(F.floor((F.col("timestamp_ms") - 1_704_067_200_000) / (10 * DAY_MS)), F.lit(2))
+        e.where(third == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    load = lambda: adapter.configs(spark, THRESHOLD | {"cooldown_seconds": 3600})
+    pipelines.live_alerts(stream, load, 30, path, "one").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return anomaly_log.read(spark, path).select("event_id", "app_id")
+
+
+@query("SELECT id, 3 AS deliveries, 'refused' AS error FROM ev WHERE cast(id AS bigint) % 29 = 0")
+def dead_after_tries(spark: SparkSession, d: str) -> DataFrame:
+    """A consumer refuses some records always and others once; after three tries a record is dead."""
+    path = _folder(spark, "ledger")
+    rows = events(spark, d)
+    for k in range(2):
+        rows.where(F.col("id").cast("long") % 2 == k).select("id").coalesce(1).write.mode("append").text(f"{path}-in")
+    ledger = redelivery.Ledger(spark, path, "events.app1.screen.view", "events", "one", 3)
+    always, once = F.col("record").cast("long") % 29 == 0, (F.col("record").cast("long") % 31 == 0) & (F.col("tries") == 0)
+    consume = lambda given, _: given.where(always | once).withColumn("error", F.lit("refused"))
+    ledger.attach(redelivery.lines(spark, f"{path}-in", 1), consume).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    number = redelivery.last_number(ledger)
+    while not ledger.waiting(number).isEmpty():  # nothing new comes, the rest is tried again
+        number += 1
+        ledger.deliver(spark.createDataFrame([], "record string, arrived_ms long"), number, consume)
+    return ledger.dead().select(F.col("record").alias("id"), "deliveries", "error")
+
+
+@query("SELECT 'a' AS consumer, event_category AS category, count(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT 'b', event_type, count(*) FROM ev GROUP BY ALL")
+def independent_consumers(spark: SparkSession, d: str) -> DataFrame:
+    """Two queries on one source; b fails once after its first batch and goes on from its own checkpoint."""
+    path = _folder(spark, "consumers")
+    e = events(spark, d).drop("value")
+    for k in range(2):
+        e.where(F.col("id").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
+    failed: list[int] = []
+
+    def start(name: str, column: str):
+        def write(batch: DataFrame, number: int) -> None:
+            if name == "b" and number == 1 and not failed:
+                failed.append(number)
+                raise RuntimeError("b stops")
+            batch.select(F.lit(name).alias("consumer"), F.col(column).alias("category")).write.mode("overwrite").parquet(f"{path}/of={name}/batch={number}")
+
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+        return lambda: stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-{name}").trigger(availableNow=True).start()
+
+    metrics.Consumers({"a": start("a", "event_category"), "b": start("b", "event_type")}).run()
+    return spark.read.parquet(path).groupBy("consumer", "category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 2 AS batches, count(*) AS input_rows, cast(0 AS bigint) AS late_rows FROM ev")
+def stream_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What the listener's table says of a query over two files."""
+    path = _folder(spark, "metrics")
+    e = events(spark, d).select("id", "timestamp_ms", "app_id")
+    for k in range(2):
+        e.where(F.col("id").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    with metrics.Progress(spark, path):
+        started = stream.writeStream.format("noop").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        started.awaitTermination()
+    own = metrics.read(spark, path).where(F.col("query") == str(started.id)).where("input_rows > 0")
+    return metrics.counters(own).select(F.col("batches").cast("int").alias("batches"), "input_rows", "late_rows")
+
+
+# --- what had no row of its own
+
+
+@query("""SELECT cast(id AS bigint) AS n, cast(id AS bigint) % 6 = 0 AS id_made, cast(id AS bigint) % 4 = 0 AS key_made FROM ev""")
+def enriched_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes of which some lack an id or a key: what was there stays, a made id is a time-ordered UUID, a made key unlike any other."""
+    e = odd_envelopes(spark, d).withColumn("_n", F.col("id").cast("long"))
+    given = e.withColumns({"id": F.when(F.col("_n") % 6 == 0, "").otherwise(F.col("id")), "idempotency_key": F.when(F.col("_n") % 8 == 0, None).when(F.col("_n") % 4 == 0, "").otherwise(F.col("idempotency_key")), "_key": F.col("idempotency_key")})
+    path = _folder(spark, "enriched")
+    ingest.enrich(given).select("_n", "id", "idempotency_key", "_key").write.parquet(path)
+    made, keys = spark.read.parquet(path), spark.read.parquet(path).groupBy("idempotency_key").count().withColumnRenamed("count", "_uses")
+    uuid7 = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$") & F.col("id").startswith(F.substring(F.lower(F.lpad(F.hex(F.unix_millis(F.current_timestamp())), 12, "0")), 1, 4))
+    return made.join(keys, "idempotency_key").select(
+        F.col("_n").alias("n"), F.when(F.col("id") == F.col("_n").cast("string"), False).when(uuid7, True).alias("id_made"),
+        F.when(F.col("idempotency_key") == F.col("_key"), False).when(F.col("idempotency_key").rlike("^[0-9a-f-]{36}$") & (F.col("_uses") == 1), True).alias("key_made"),
+    )
+
+
+@query(f"""SELECT id, coalesce({STATUS}, CASE WHEN cast(id AS bigint) % 19 = 0 THEN 'device_id is required' WHEN event_type = 'view' AND cast(id AS bigint) % 23 = 0 THEN 'screen_view.screen_name is required' END) AS error FROM ev""")
+def field_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Validation that also wants a device and the payloads' required fields."""
+    n = F.col("id").cast("long")
+    given = odd_envelopes(spark, d).withColumn("device_id", F.when(n % 19 == 0, "").otherwise(F.col("device_id")))
+    view = F.when(F.col("screen_view").isNotNull(), F.col("screen_view").withField("screen_name", F.when(n % 23 == 0, "").otherwise(F.col("screen_view.screen_name"))))
+    return ingest.validate(given.withColumn("screen_view", view), device_required=True, fields=True).select("id", "error")
+
+
+@query("SELECT o_orderkey, true AS near, true AS below FROM orders")
+def jitter_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Jittered delays lie within a quarter of the back-off, fully jittered ones between nothing and it."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 12).alias("n"))
+    drawn = o.select("o_orderkey", scalars.backoff_ms(F.col("n")).alias("b"), scalars.jittered_ms(F.col("n")).alias("j"), scalars.full_jitter_ms(F.col("n")).alias("f"))
+    return drawn.select("o_orderkey", F.col("j").between(F.col("b") * 0.75 - 1, F.col("b") * 1.25).alias("near"), F.col("f").between(0, F.col("b")).alias("below"))
+
+
+@query("SELECT id, CASE lower(split_part(platform, '_', 2)) WHEN 'ios' THEN 'PLATFORM_IOS' WHEN 'web' THEN 'PLATFORM_WEB' ELSE 'PLATFORM_UNSPECIFIED' END AS platform, 'NETWORK_TYPE_CELLULAR_4G' AS network FROM ev")
+def enumeration_names(spark: SparkSession, d: str) -> DataFrame:
+    """Client spellings of platforms and networks as enumeration names; an unknown one is unspecified."""
+    said = F.when(F.col("platform") == "PLATFORM_IOS", "iOS").when(F.col("platform") == "PLATFORM_WEB", "web").otherwise("Toaster")
+    raw = F.struct(*[(said if f.name == "platform" else F.lit("4G") if f.name == "network_type" else F.lit(None).cast("string")).alias(f.name) for f in ENVELOPE["device_context"].dataType.fields])
+    return events(spark, d).select("id", ingest.device_context(raw).alias("c")).select("id", "c.platform", F.col("c.network_type").alias("network"))
+
+
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('{"id":"'), F.col("id"), F.lit('"'), F.when(F.col("id").cast("long") % 17 == 0, "").otherwise("}"))
+    _, poison = ingest.split_poison(ingest.decoded(events(spark, d).select(text.alias("value"))))
+    return ingest.dead_letters(poison, "events", "stream", "sink", 5)
+
+
+@query("SELECT id, 'dlq.events' AS subject, 'sink' AS consumer, 'unparsable' AS error, 5 AS deliveries FROM ev WHERE cast(id AS bigint) % 17 = 0")
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that do not parse, with where they came from."""
+    return _letters(spark, d).select(F.regexp_extract("record", '"id":"([0-9]+)"', 1).alias("id"), "subject", "consumer", "error", "deliveries")
+
+
+@query("SELECT count(*) AS depth, count(*) >= 10 AS alert FROM ev WHERE cast(id AS bigint) % 17 = 0")
+def dead_letter_depth(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.depth(_letters(spark, d), 10)
+
+
+@query("SELECT id, 'known' AS rule_id FROM ev WHERE app_id = 'app1'")
+def rule_hits_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """A rule with an operator that is not known matches nothing, and so does one with a pattern that is refused."""
+    table = adapter.rules(
+        spark, {"id": "known", "app_id": "app1"}, {"id": "unknown", "conditions": [("$.k", "sounds_like", json.dumps("7"))]},
+        {"id": "refused", "conditions": [("$.k", "regex", json.dumps("(?=7)"))]},
+    )
+    return rules.hits(events(spark, d), table).select("id", "rule_id")
+
+
+@query(f"WITH {HITS} SELECT id, rule_id, cast(row_number() OVER (PARTITION BY id ORDER BY priority DESC, rule_name) - 1 AS integer) AS hit_order FROM hits")
+def rule_priority_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits as rule_priority by way of the join that many rules take."""
+    return rules.Compiled(adapter.rules(spark, *RULES), most=0).hits(events(spark, d)).select("id", "rule_id", "hit_order")
+
+
+@query("SELECT DISTINCT app_id, year, month, day, hour FROM ev")
+def partition_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions as the paths of the table's files tell them."""
+    path = _folder(spark, "warehouse")
+    warehouse.append(_warehouse_rows(spark, d), path)
+    return warehouse.partitions_in(spark, path)
+
+
+@query("SELECT id, concat('v', cast(user_id % 9 AS varchar)) AS app_version FROM (SELECT cast(event_id AS varchar) AS id, user_id FROM events)")
+def with_device_context(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the context that their device last gave."""
+    e = events(spark, d)
+    contexts = e.groupBy("device_id").agg(F.max("timestamp_ms").alias("seen_ms")).select("device_id", F.concat(F.lit("v"), (F.substring("device_id", 2, 20).cast("long") % 9).cast("string")).alias("app_version"))
+    return sessions.with_context(e, contexts, "device_id").select("id", "app_version")

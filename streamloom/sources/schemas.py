@@ -116,6 +116,10 @@ ANOMALY_CONFIG = struct(
     "id string, name string, app_id string, event_category string, event_type string, detection_type string, path string, min double, max double, "
     "max_per_minute int, window_seconds int, max_count int, cooldown_seconds int, enabled boolean"
 )
+ANOMALY_RECORD = struct(
+    "anomaly_config_id string, app_id string, event_category string, event_type string, detection_type string, event_id string, "
+    "timestamp_ms bigint, details string, topic string, value string"
+)
 DELIVERY = struct(
     "id string, webhook_id string, rule_id string, payload string, status string, attempts int, max_attempts int, "
     "next_attempt_at timestamp, last_attempt_at timestamp, delivered_at timestamp, last_error string, last_status_code int"

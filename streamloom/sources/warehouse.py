@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.functions.scalars import event_time
+from streamloom.sources.files import AT_ONCE, Files, append_numbered, name_of, pending, place, place_column, read_table, recover, swap
 from streamloom.sources.schemas import EVENT_ROW, PARTITIONS
 
 CODECS = ("snappy", "gzip", "zstd", "none")
+#: Files that a compaction swaps at once, and so the rows of the table that says which pack a file is of.
+FILES_AT_ONCE = 50_000
 #: Fixed value, the table's layout: path of one partition; month, day and hour have two digits.
 PARTITION = re.compile(r"app_id=([^/]+)/year=(\d{4})/month=(\d{2})/day=(\d{2})/hour=(\d{2})(?=/|$)")
 
@@ -38,96 +42,14 @@ def append(rows: DataFrame, path: str, compression: str | None = "snappy", files
     writer.parquet(path)
 
 
-class Files:
-    """The table's file system; what it reports as failed raises."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.path_of = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.jvm = spark._jvm
-
-    def exists(self, path: str) -> bool:
-        return self.fs.exists(self.path_of(path))
-
-    def below(self, path: str) -> list[str]:
-        """All files below a folder."""
-        if not self.exists(path):
-            return []
-        out, listed = [], self.fs.listFiles(self.path_of(path), True)
-        while listed.hasNext():
-            out.append(listed.next().getPath().toString())
-        return out
-
-    def move(self, source: str, target: str) -> None:
-        self.fs.mkdirs(self.path_of(target).getParent())
-        if not self.fs.rename(self.path_of(source), self.path_of(target)):
-            raise OSError(f"not moved: {source} to {target}")
-
-    def delete(self, path: str) -> None:
-        if not self.fs.delete(self.path_of(path), True) and self.exists(path):
-            raise OSError(f"not deleted: {path}")
-
-    def write(self, path: str, text: str) -> None:
-        out = self.fs.create(self.path_of(path), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    def text(self, path: str) -> str:
-        source = self.jvm.java.io.BufferedReader(self.jvm.java.io.InputStreamReader(self.fs.open(self.path_of(path)), "UTF-8"))
-        out = source.readLine()
-        source.close()
-        return out
-
-
-def _name(path: str) -> str:
-    return path.rsplit("/", 1)[-1]
-
-
-def _place(path: str) -> str:
-    """A data file's partition and name: one write gives many partitions files of one name."""
-    return f"{PARTITION.search(path).group(0)}/{_name(path)}"
-
-
-def _place_column() -> Column:
-    """The same of the file that a row comes from; file_path is a URI."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.concat_ws("/", F.regexp_extract(path, PARTITION.pattern.replace("(?=/|$)", ""), 0), F.element_at(F.split(path, "/"), -1))
-
-
-def _swaps(files: Files, path: str) -> list[tuple[str, dict]]:
-    """Swaps that did not end: path of the note and its contents, the names of new and old files."""
-    return [(p, json.loads(files.text(p))) for p in files.below(f"{path}/_swaps")]
-
-
-def _hidden(files: Files, swap: dict) -> list[str]:
-    """Paths that a reader must not see while a swap is open: the old files once all new ones are there, else the new."""
-    return swap["old"] if all(files.exists(p) for p in swap["new"]) else swap["new"]
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The table's rows, each once even where a batch or a compaction broke off."""
+    return read_table(spark, path, EVENT_ROW, len(PARTITIONS))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The table's rows, each once even where a compaction broke off."""
-    rows = spark.read.schema(EVENT_ROW).parquet(path)
-    files = Files(spark, path)
-    hidden = [_place(p) for _, swap in _swaps(files, path) for p in _hidden(files, swap)]
-    return rows.where(~_place_column().isin(hidden)) if hidden else rows
-
-
-def append_batch(rows: DataFrame, path: str, number: int, compression: str | None = "snappy") -> None:
-    """Append a numbered batch once: its files carry the number, and a mark tells that all are there. A retry replaces the files of a try without a mark and leaves a marked one alone, whatever became of its files since."""
-    spark = rows.sparkSession
-    files, mark, staged = Files(spark, path), f"{path}/_batches/{number}", f"{path}/_staged/{number}"
-    if files.exists(mark):
-        return
-    for p in files.below(path):
-        if _name(p).startswith(f"batch-{number}-"):
-            files.delete(p)
-    padded(rows).repartition(*PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).option("compression", codec(compression)).parquet(staged)
-    for p in files.below(staged):
-        m = PARTITION.search(p)
-        if m and p.endswith(".parquet"):
-            files.move(p, f"{path}/{m.group(0)}/batch-{number}-{_name(p)}")
-    files.write(mark, "")
-    files.delete(staged)
+def append_batch(rows: DataFrame, path: str, number: int, compression: str | None = "snappy", sink: str = "one") -> bool:
+    """Append a sink's numbered batch once, however often it is tried. Sinks are told apart by their names."""
+    return append_numbered(padded(rows).repartition(*PARTITIONS), path, number, sink, PARTITIONS, codec(compression))
 
 
 def create_table(spark: SparkSession, name: str, path: str) -> None:
@@ -190,86 +112,104 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(partition, path, size) of the table's data files; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     listed = files.select(F.regexp_extract("path", PARTITION.pattern.replace("(?=/|$)", ""), 0).alias("partition"), "path", F.col("length").alias("size"))
-    return listed.where("partition <> ''").where(~F.col("path").rlike("/_(staged|compacted|swaps|batches)/"))
+    return listed.where("partition <> ''").where(~F.col("path").rlike("/_(staged|compacted|swaps|pending|sinks)/"))
 
 
-def _hour_of(partition: Column) -> dict[str, Column]:
-    return {c: F.regexp_extract(partition, f"{c}=([0-9]+)", 1).cast("int") for c in ("year", "month", "day", "hour")}
+def partitions_in(spark: SparkSession, path: str) -> DataFrame:
+    """(app_id, year, month, day, hour) of the partitions that have files, by their paths alone."""
+    found = list_files(spark, path).select("partition").distinct()
+    app = F.url_decode(F.replace(F.regexp_extract("partition", "app_id=([^/]+)/", 1), F.lit("+"), F.lit("%2B")))
+    return found.select(app.alias("app_id"), *[c.alias(n) for n, c in _hour_of(F.col("partition")).items()])
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """End or undo the swaps that a compaction left open."""
-    files = Files(spark, path)
-    for note, swap in _swaps(files, path):
-        for p in _hidden(files, swap):
-            files.delete(p)
-        files.delete(note)
+def _hour_of(partition: Column) -> dict[str, Column]:
+    return {c: F.regexp_extract(partition, f"{c}=([0-9]+)", 1).cast("int") for c in ("year", "month", "day", "hour")}
 
 
 def _unreadable(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Which of the files can't be read, tried one by one: only after a pack has failed."""
-    out = set()
-    for p in paths:
+    """Which of the files can't be read: halves are tried side by side, and halves of those that fail. Only after a pack has failed."""
+
+    def fails(some: list[str]) -> bool:
         try:
-            spark.read.schema(EVENT_ROW).parquet(p).write.format("noop").mode("overwrite").save()
+            spark.read.schema(EVENT_ROW).parquet(*some).write.format("noop").mode("overwrite").save()
+            return False
         except Exception:  # whatever is wrong with it, it must stay where it is
-            out.add(p)
+            return True
+
+    out: set[str] = set()
+    parts = [paths]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        while parts:
+            failed = [x for x, bad in zip(parts, pool.map(fails, parts)) if bad]
+            out |= {x[0] for x in failed if len(x) == 1}
+            parts = [half for x in failed if len(x) > 1 for half in (x[: len(x) // 2], x[len(x) // 2 :])]
     return out
 
 
-def _rewrite(spark: SparkSession, path: str, packs: list[tuple[str, int, list[str]]], made: str) -> None:
-    """One job for all packs: a file each below made, with as many rows as theirs have."""
-    of = spark.createDataFrame([(_place(p), n) for n, (_, _, paths) in enumerate(packs) for p in paths], "_file string, _pack int")
+def _rewrite(spark: SparkSession, path: str, packs: list[tuple[str, int, list[str]]], made: str, compression: str) -> None:
+    """One job for all packs: a file each below made, with as many rows as theirs have. The files are counted: at most FILES_AT_ONCE and a pack."""
+    of = spark.createDataFrame([(place(p, len(PARTITIONS)), n) for n, (_, _, paths) in enumerate(packs) for p in paths], "_file string, _pack int")
     rows = spark.read.option("basePath", path).schema(EVENT_ROW).parquet(*[p for _, _, paths in packs for p in paths])
-    dealt = padded(rows.select("*", _place_column().alias("_file"))).join(F.broadcast(of), "_file").drop("_file")
-    dealt.repartition(*PARTITIONS, "_pack").write.mode("overwrite").partitionBy(*PARTITIONS, "_pack").parquet(made)
+    dealt = padded(rows.select("*", place_column(len(PARTITIONS)).alias("_file"))).join(F.broadcast(of), "_file").drop("_file")
+    dealt.repartition(*PARTITIONS, "_pack").write.mode("overwrite").partitionBy(*PARTITIONS, "_pack").option("compression", compression).parquet(made)
     if (n := spark.read.parquet(made).count()) != (m := rows.count()):
         raise RuntimeError(f"{n} rows written of {m}")
 
 
-def compact(spark: SparkSession, path: str, now: datetime, target: int = 128 << 20, least: int = 2, packs_at_once: int = 5000) -> int:
-    """Rewrite the packs of small files in cold partitions; returns how many packs were.
+def _codec_of(paths: list[str]) -> str:
+    """The codec that most of the files name; Spark's writers put it before the ending."""
+    names = {"gz": "gzip", "snappy": "snappy", "zstd": "zstd"}
+    found = Counter(names.get(p.removesuffix(".parquet").rpartition(".")[2], "none") for p in paths)
+    return found.most_common(1)[0][0]
+
+
+def _by_codec(packs: list[tuple[str, int, list[str]]]) -> dict[str, list[tuple[str, int, list[str]]]]:
+    out: dict[str, list] = {}
+    for pack in packs:
+        out.setdefault(_codec_of(pack[2]), []).append(pack)
+    return out
+
 
-    Packs are written to a folder beside the table, many in one job. A note of the new and the old files is left before
-    the new ones move in and the old ones go: from then on a reader of read() sees one or the other, and the next run ends
-    or undoes what broke off. A file that can't be read stays, the others of its pack are rewritten without it. Files of a
-    numbered batch without its mark are not touched. The names of small files of cold partitions reach the driver, packs_at_once packs at a time are swapped.
+def _compact_packs(spark: SparkSession, files: Files, path: str, packs: list[tuple[str, int, list[str]]], least: int, compression: str) -> int:
+    made = f"{path}/_compacted/{uuid.uuid4().hex}"
+    try:
+        _rewrite(spark, path, packs, made, compression)
+    except Exception:  # one bad file must not keep the others from being compacted
+        bad = _unreadable(spark, [p for _, _, paths in packs for p in paths])
+        if not bad:
+            raise
+        packs = [(a, b, kept) for a, b, paths in packs if len(kept := [p for p in paths if p not in bad]) >= least]
+        if packs:
+            _rewrite(spark, path, packs, made, compression)
+    new = {p: f"{path}/{PARTITION.search(p).group(0)}/compacted-{name_of(p)}" for p in files.below(made) if p.endswith(".parquet")}
+    swap(files, path, new, [p for _, _, paths in packs for p in paths])
+    files.delete(made)
+    return len(packs)
+
+
+def compact(spark: SparkSession, path: str, now: datetime, target: int = 128 << 20, least: int = 2, files_at_once: int = FILES_AT_ONCE) -> int:
+    """Rewrite the packs of small files in cold partitions, in the codec that they have; returns how many packs were.
+
+    Packs are written to a folder beside the table, many in one job, and swapped in. A file that can't be read stays, the
+    others of its pack are rewritten without it. Files of a batch that is not all in are not touched. The names of small
+    files of cold partitions come to the driver a Spark partition at a time, files_at_once of them are swapped at once.
     """
     recover(spark, path)
     files = Files(spark, path)
-    done = {_name(p) for p in files.below(f"{path}/_batches")}
     listed = list_files(spark, path).withColumns(_hour_of(F.col("partition"))).where(cold(now))
-    batch = F.regexp_extract("path", "/batch-([0-9]+)-[^/]*$", 1)
-    if done:
-        listed = listed.where((batch == "") | batch.isin(sorted(done)))
-    else:
-        listed = listed.where(batch == "")
-    every = [(r["partition"], r["pack"], list(r["paths"])) for r in pack_files(listed, target, least).collect()]
-    count = 0
-    for start in range(0, len(every), packs_at_once):
-        packs, made = every[start : start + packs_at_once], f"{path}/_compacted/{uuid.uuid4().hex}"
-        try:
-            _rewrite(spark, path, packs, made)
-        except Exception:  # one bad file must not keep the others from being compacted
-            bad = _unreadable(spark, [p for _, _, paths in packs for p in paths])
-            if not bad:
-                raise
-            packs = [(a, b, kept) for a, b, paths in packs if len(kept := [p for p in paths if p not in bad]) >= least]
-            if packs:
-                _rewrite(spark, path, packs, made)
-        new = [p for p in files.below(made) if p.endswith(".parquet")]
-        targets = {p: f"{path}/{PARTITION.search(p).group(0)}/compacted-{_name(p)}" for p in new}
-        note = f"{path}/_swaps/{uuid.uuid4().hex}"
-        files.write(note, json.dumps({"new": sorted(targets.values()), "old": [p for _, _, paths in packs for p in paths]}))
-        for p in new:
-            files.move(p, targets[p])
-        for _, _, paths in packs:
-            for p in paths:
-                files.delete(p)
-        files.delete(note)
-        files.delete(made)
-        count += len(packs)
-    return count
+    for start in pending(files, path):
+        listed = listed.where(~F.element_at(F.split("path", "/"), -1).startswith(start))
+    count, held = 0, []
+
+    def done() -> int:
+        return sum(_compact_packs(spark, files, path, packs, least, name) for name, packs in _by_codec(held).items())
+
+    # written first: what is listed must not change under the iteration
+    for r in pack_files(listed, target, least).cache().toLocalIterator():
+        held.append((r["partition"], r["pack"], list(r["paths"])))
+        if sum(len(p) for _, _, p in held) >= files_at_once:
+            count, held = count + done(), []
+    return count + done()
 
 
 def drop_before(spark: SparkSession, path: str, now: datetime, hours: int) -> list[str]:
@@ -277,10 +217,32 @@ def drop_before(spark: SparkSession, path: str, now: datetime, hours: int) -> li
     recover(spark, path)
     old = list_files(spark, path).select("partition").distinct().withColumns(_hour_of(F.col("partition"))).where(cold(now - timedelta(hours=hours)))
     gone, files = [r["partition"] for r in old.collect()], Files(spark, path)
-    for p in gone:
-        files.delete(f"{path}/{p}")
+    files.each(files.delete, [f"{path}/{p}" for p in gone])
     return sorted(gone)
 
 
+def keep_since(spark: SparkSession, path: str, start: datetime) -> tuple[int, int]:
+    """Delete what is earlier than start (UTC), to the millisecond; returns how many hours went whole and how many files were cut.
+
+    Hours before start's own go as folders. In start's hour, files with an earlier row are written again without those rows
+    and swapped; files without any stay as they are.
+    """
+    whole = len(drop_before(spark, path, start, 0))
+    ms = int(start.replace(tzinfo=UTC).timestamp() * 1000)
+    rows, files = read(spark, path), Files(spark, path)
+    hour = rows.where((F.col("year") == start.year) & (F.col("month") == start.month) & (F.col("day") == start.day) & (F.col("hour") == start.hour))
+    early = F.col("timestamp_ms") < ms
+    cut = hour.where(early).select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("p")).distinct()
+    old = [r["p"] for r in cut.collect()]
+    for at in range(0, len(old), FILES_AT_ONCE):
+        some, made = old[at : at + FILES_AT_ONCE], f"{path}/_compacted/{uuid.uuid4().hex}"
+        kept = spark.read.option("basePath", path).schema(EVENT_ROW).parquet(*some).where(~F.coalesce(early, F.lit(False)))
+        padded(kept).write.mode("overwrite").partitionBy(*PARTITIONS).option("compression", _codec_of(some)).parquet(made)
+        new = {p: f"{path}/{PARTITION.search(p).group(0)}/cut-{name_of(p)}" for p in files.below(made) if p.endswith(".parquet")}
+        swap(files, path, new, some)
+        files.delete(made)
+    return whole, len(old)
+
+
 def with_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", event_time(F.col("timestamp_ms")))

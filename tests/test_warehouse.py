@@ -121,9 +121,6 @@ def test_sink_table_compaction_and_retention_are_one_table(spark, tmp_path):
     warehouse.append_batch(hot, path, 1)
     warehouse.append_batch(hot, path, 1)
     assert warehouse.read(spark, path).count() == 6
-    (tmp_path / "w/_batches/1").unlink()  # the mark was not written: the retry replaces the files
-    warehouse.append_batch(hot, path, 1)
-    assert warehouse.read(spark, path).count() == 6
     assert warehouse.compact(spark, path, now) == 1
     assert warehouse.read(spark, path).count() == 6
     warehouse.append_batch(old, path, 0)
@@ -136,3 +133,76 @@ def test_sink_table_compaction_and_retention_are_one_table(spark, tmp_path):
     gone = warehouse.drop_before(spark, path, DAY.replace(day=5, hour=17), 23)
     assert gone and all("hour=17" in p for p in gone)
     assert [(r["hour"]) for r in warehouse.read(spark, path).collect()] == [18]
+
+
+def test_sinks_do_not_touch_each_other(spark, tmp_path):
+    """Two sinks, and one with a new checkpoint, number their batches from 0 each."""
+    path = f"file://{tmp_path}/w"
+    for sink in ("a", "b", "a-again"):
+        for number in (0, 1, 1):
+            warehouse.append_batch(event_rows(spark, *FIVE), path, number, sink=sink)
+    assert warehouse.read(spark, path).count() == 30
+    assert sorted(os.listdir(tmp_path / "w/_sinks"))[-1] == "b" and not os.listdir(tmp_path / "w/_pending")
+    assert len([x for x in os.listdir(tmp_path / "w/_sinks") if not x.startswith(".")]) == 3  # one mark a sink, however many batches
+
+
+@pytest.mark.parametrize("broken", ["move", "mark", "write"])
+def test_a_batch_that_broke_off_is_unseen_and_ends_once(spark, tmp_path, monkeypatch, broken):
+    path = f"file://{tmp_path}/w"
+    warehouse.append_batch(event_rows(spark, *FIVE[:2]), path, 0)
+    moved, real_move, real_write = [], warehouse.Files.move, warehouse.Files.write
+
+    def move(self, a, b):
+        if len(moved) == 2:
+            raise OSError("lost")
+        moved.append(a)
+        real_move(self, a, b)
+
+    def write(self, p, text):
+        if "_sinks" in p if broken == "mark" else "_pending" in p:
+            real_write(self, p, text[: len(text) // 2] if broken == "write" else "")
+            raise OSError("lost")
+        real_write(self, p, text)
+
+    monkeypatch.setattr(warehouse.Files, *("move", move) if broken == "move" else ("write", write))
+    with pytest.raises(OSError):
+        warehouse.append_batch(event_rows(spark, *FIVE), path, 1)
+    monkeypatch.undo()
+    assert warehouse.read(spark, path).count() == 2
+    assert warehouse.compact(spark, path, DAY.replace(day=20)) == 0
+    for _ in range(2):
+        warehouse.append_batch(event_rows(spark, *FIVE), path, 1)
+        assert warehouse.read(spark, path).count() == 7
+
+
+def test_compaction_keeps_each_files_codec(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    for name, app in (("zstd", "app-1"), ("zstd", "app-1"), ("gzip", "app-2"), ("gzip", "app-2"), ("none", "app-3"), ("none", "app-3")):
+        warehouse.append(event_rows(spark, (app, DAY)), path, name)
+    assert warehouse.compact(spark, path, DAY.replace(day=20), files_at_once=3) == 3
+    assert [(f.split("/")[0][-1], f.rsplit(".", 2)[1][:4]) for f in files(tmp_path / "w") if "compacted" in f] == [("1", "zstd"), ("2", "gz"), ("3", files(tmp_path / "w")[-1].rsplit(".", 2)[1][:4])]
+    assert "snappy" not in files(tmp_path / "w")[-1]
+
+
+def test_unreadable_files_are_found_by_halves(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    for _ in range(9):
+        warehouse.append(event_rows(spark, ("a", DAY)), path)
+    own = [f"{path}/{f}" for f in files(tmp_path / "w")]
+    for f in (own[2], own[7]):
+        (tmp_path / f.split(str(tmp_path) + "/")[1]).write_bytes(b"PAR1")
+    assert warehouse._unreadable(spark, own) == {own[2], own[7]}
+
+
+def test_a_cut_within_an_hour(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    at = [DAY.replace(minute=m) for m in (0, 12, 12, 59)]
+    warehouse.append(event_rows(spark, *[("app é=1", t) for t in at], ("b", DAY.replace(hour=16)), ("b", DAY.replace(hour=18))), path, "zstd")
+    untouched = [f for f in files(tmp_path / "w") if "hour=18" in f]
+    warehouse.append(event_rows(spark, ("b", DAY.replace(minute=40))), path)
+    assert warehouse.keep_since(spark, path, DAY.replace(minute=12)) == (1, 1)
+    left = warehouse.read(spark, path).select("app_id", "timestamp_ms").collect()
+    assert len(left) == 5 and min(r["timestamp_ms"] for r in left) == int((DAY.replace(minute=12) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    assert set(untouched) < set(files(tmp_path / "w")) and any("cut-" in f and "zstd" in f for f in files(tmp_path / "w"))
+    assert warehouse.keep_since(spark, path, DAY.replace(minute=12)) == (0, 0)
+    assert warehouse.keep_since(spark, path, DAY.replace(day=9))[0] == 3 and warehouse.read(spark, path).count() == 0
