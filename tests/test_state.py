@@ -1,9 +1,11 @@
+import random
 from datetime import UTC, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.operators import anomaly, dedup, deliveries, sessions
+from streamloom.operators import anomaly, dedup, deliveries, folds, sessions
 from streamloom.sources import adapter
 from streamloom.sources.schemas import DELIVERY
 
@@ -97,3 +99,54 @@ def test_delivery_attempts(spark):
     assert got["untried"]["attempts"] == 2 and got["untried"]["last_attempt_at"] is None
     again = {r["id"]: r for r in deliveries.retry_dead(spark.createDataFrame(list(got.values()), DELIVERY), ["4"], now).collect()}
     assert (again["4"]["status"], again["4"]["attempts"]) == ("pending", 0)
+
+
+def plain_spaced(rows, gap):
+    """Row by row: (key, at, id) kept."""
+    out, last = [], {}
+    for key, at, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if key not in last or at - last[key] >= gap:
+            last[key] = at
+            out.append((key, at, i))
+    return out
+
+
+@pytest.mark.parametrize("gap", [0, 1, 7, 60, 5000])
+def test_spaced_items_over_many_stretches(spark, gap):
+    """A hot key, periodic and random arrivals, single items, negative times."""
+    draw = random.Random(gap)
+    rows = [("hot", draw.randrange(-4000, 4000), i) for i in range(4000)] + [("even", 3 * i, i) for i in range(900)] + [(None, draw.randrange(300), i) for i in range(100)]
+    rows += [(f"k{i}", draw.randrange(1000), i) for i in range(200)] + [(f"k{i % 50}", draw.randrange(1000), i) for i in range(200, 400)]
+    table = spark.createDataFrame(rows, "key string, at long, id int").repartition(6)
+    with_gap = folds.keep_spaced(table, ["key"], "at", F.lit(gap), "id")
+    assert sorted(map(str, map(tuple, with_gap.collect()))) == sorted(map(str, plain_spaced(rows, gap)))
+
+
+def test_a_batch_is_not_the_end_of_a_stretch(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_spaced_items_over_many_stretches(spark, 60)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_hot_key_is_sorted_in_many_tasks_and_thinned(spark):
+    """One key holds nine tenths of the rows: no task of the first pass sorts twice its share, few rows reach the second."""
+    n, parts = 40_000, 16
+    rows = spark.range(n).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), (F.xxhash64("id") % 1_000_000).alias("at"), "id")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = rows.withColumn("_s", F.floor(F.col("at") / (500 * folds.STRETCH))).repartition("key", "_s")
+        sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 2 * n / parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    hot = np.sort(np.array([r["at"] for r in rows.where("key = 'hot'").collect()]))
+    left = 0
+    for s in np.unique(hot // (500 * folds.STRETCH)):
+        own = hot[hot // (500 * folds.STRETCH) == s]
+        left += int(folds.Chains(int(own[0]), 500).take(own).sum())
+    assert left < len(hot) / 3
