@@ -205,7 +205,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, unit: i
     groups = materialise(groups.join(sums, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")), "divergence-groups")
     # a row for each language: its number of kept terms, then its groups' sums
     own = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("_g"))
-    langs = own.join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang")
+    # written, so that its size is known: Spark sends it to the terms while it is small, and splits languages beyond
+    langs = materialise(own.join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang"), "divergence-langs")
     n_blocks = F.ceil(F.col("v") / BLOCK_TERMS).cast("int")
     heads = langs.select(
         "lang", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.lit(True).alias("head"), F.lit("").alias("term"),
