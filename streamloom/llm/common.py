@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_within(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """rows, written, with _nth: their number from 0 among those of equal keys (not null), in no order of theirs.
+
+    Each task numbers its own, from where those of the tasks before it end, so that no group of rows meets in one task.
+    """
+    part = F.shiftright("_at", 33).alias("_part")
+    written = materialise(rows.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), tag)
+    counts = written.groupBy(*keys, part).agg(F.count("*").alias("_k"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialise(counts.select(*keys, "_part", "_first", before.alias("_before")), f"{tag}-starts")
+    joined = written.withColumn("_part", F.shiftright("_at", 33)).join(starts, [*keys, "_part"])
+    return joined.withColumn("_nth", F.col("_before") + F.col("_at") - F.col("_first")).select(*rows.columns, "_nth")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns an operator is about to add, whatever their case: the operator's own win."""
     taken = {n.lower() for n in names}

@@ -11,7 +11,8 @@ each source's permuted draws and are shuffled locally.
 A source's draws are made in a task of their own, from at most GRID blocks. The driver sees a row for each source.
 
 Defined cases: a null or blank text has size 0 and is taken as often as its block; a null source is a source of its own,
-the last in order; repeated rows are rows of their own with the same decision; an empty table gives an empty result;
+the last in order; rows of a repeated or null id are drawn together, but where they are more than one in SHARE of their
+source's words, each by itself; an empty table gives an empty result;
 plan() replaces columns that clash with its own, mix() only mix_shard; all others are carried along, whatever their names.
 """
 
@@ -22,12 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import materialise, number_within, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 GRID = 1 << 16
 BROADCAST_ROWS = 200_000
+SHARE = 256
 #: Documents of a boundary block that are searched exactly, and the words that they may have together.
 FINE, FINE_WORDS = 64, 1 << 22
 
@@ -120,6 +122,23 @@ def draws_of(blocks: dict[int, int], number: int, size: int, target: float, cap:
     return {b: p for b, p in places.items() if p}, edge
 
 
+def _told_apart(keyed: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with an _h of its own for each row of a source's repeated (or null) ids, where these are more than one in SHARE of its words: by the text, and equal rows by their number, as they can stand for each other."""
+    total = narrow.groupBy("_s").agg(F.sum("size").alias("_all"))
+    repeated = narrow.groupBy("_s", "_h").agg(F.count("*").alias("_rows"), F.sum("size").alias("_words")).where("_rows > 1")
+    crowds = materialise(repeated.join(total, "_s").where(F.col("_words") > F.col("_all") / SHARE).select("_s", "_h", F.lit(True).alias("_crowd")), "mix-crowds")
+    n = crowds.count()  # fewer than SHARE a source
+    if not n:
+        return keyed, narrow
+    columns = ["_doc", "size", "_h", "_s"]
+    own = _join_small(keyed, crowds, n, "_s", "_h").where("_crowd").select("_doc", "size", F.xxhash64("_h", "_doc.text").alias("_h"), "_s")
+    own = number_within(own, ["_s", "_h"], "mix-repeated").withColumn("_h", F.xxhash64("_h", "_nth")).select(*columns)
+    grid = F.pmod(F.col("_h"), F.lit(GRID)).cast("int")
+    rest = lambda df: _join_small(df, crowds, n, "_s", "_h").where("_crowd is null").select(*df.columns)
+    own = own.withColumn("_grid", grid)
+    return rest(keyed).select(*columns, "_grid").unionByName(own), rest(narrow).unionByName(own.select("size", "_h", "_s", "_grid"))
+
+
 def _planned(docs: DataFrame, n_shards: int, share: float, cap: int, seed: int, docs_per_block: int) -> DataFrame:
     """(_doc, _h, size, source_size, target, copies) of every row; _doc holds its columns."""
     spark = docs.sparkSession
@@ -130,6 +149,7 @@ def _planned(docs: DataFrame, n_shards: int, share: float, cap: int, seed: int,
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_s"),
     ).withColumn("_grid", F.pmod(F.col("_h"), F.lit(GRID)).cast("int"))
     narrow = materialise(keyed.select("size", "_h", "_s", "_grid"), "mix-sizes")
+    keyed, narrow = _told_apart(keyed, narrow)
     sources = narrow.groupBy("_s").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r["_s"] == "n", r["_s"]))
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))]

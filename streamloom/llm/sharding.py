@@ -3,7 +3,8 @@
 Records are ordered by (hash of text, hash of id). A size-weighted sample of those keys gives quantile boundaries, the
 records are range-partitioned by them, ranges that turn out overfull are sampled again and subdivided until none is,
 and whole ranges are packed into shards so that the shards' bytes are near equal. Equal texts have equal keys and so share
-a range and a shard, unless one group of copies alone outweighs a shard: only then it is split by its ids.
+a range and a shard, unless one group of copies alone outweighs a shard: only then it is split by its ids, and rows of one
+id, or none, by their number.
 
 The number of ranges is fixed, so the driver sees the same few thousand sample keys and ranges at any size of the table.
 Slots are counted in cells of about CELL_BYTES, pieces of a range by the leading bits of the key (and by ids, where one
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import materialise, number_within, without
 
 OUTPUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 RECORD_BYTES = 8
@@ -98,6 +99,17 @@ def splitters(narrow: DataFrame, total: int, heavy: np.ndarray, n_ranges: int, s
     raise RuntimeError("ranges stay overfull")
 
 
+def _told_apart(carried: DataFrame, narrow: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """Both with a k of its own for each row of one text and one (or no) id that are together more than limit bytes: they can stand for each other, so their number tells them apart."""
+    crowds = narrow.groupBy("h", "k").agg(F.count("*").alias("_rows"), F.sum("b").alias("_bytes")).where((F.col("_rows") > 1) & (F.col("_bytes") > limit))
+    crowds = materialise(crowds.select("h", "k"), "shard-repeated")
+    if crowds.isEmpty():
+        return carried, narrow
+    own = number_within(_join_small(carried, crowds, "h", "k"), ["h", "k"], "shard-told-apart").withColumn("k", F.xxhash64("k", "_nth")).drop("_nth")
+    rest = lambda df: _join_small(df, crowds, "h", "k", how="left_anti")
+    return rest(carried).unionByName(own), rest(narrow).unionByName(own.select("h", "k", F.col("size").alias("b")))
+
+
 def shard(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int = 32, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """docs with size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in a shard) and grown_shard (null)."""
     docs = without(docs, *OUTPUT)
@@ -106,6 +118,8 @@ def shard(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int = 32, cell_
     keys = (F.xxhash64(text).alias("h"), F.xxhash64(F.col("doc_id"), F.lit("piece")).alias("k"))
     narrow = materialise(docs.select(*keys, size_of(F.col("text")).alias("b")), "shard-keys")
     total = narrow.agg(F.sum("b")).first()[0] or 0
+    carried = docs.select(F.struct("*").alias("_doc"), *keys, size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    carried, narrow = _told_apart(carried, narrow, min(cell_bytes, total / n_shards / 16))
     n_ranges = n_shards * ranges_per_shard
     # groups of copies heavier than a shard: fewer than n_shards of them
     heavy = np.array(sorted(r["h"] for r in narrow.groupBy("h").agg(F.sum("b").alias("b")).where(F.col("b") > total / n_shards).collect()), dtype=np.int64)
@@ -131,7 +145,6 @@ def shard(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int = 32, cell_
     before = Window.partitionBy("shard").orderBy("r", "sub", "piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialise(cells.select("r", "sub", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "shard-cells")
     in_cell = Window.partitionBy("r", "sub", "piece").orderBy("h", "k")
-    carried = docs.select(F.struct("*").alias("_doc"), *keys, size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = _join_small(in_cells(carried), starts, "r", "sub", "piece").withColumn("row", F.row_number().over(in_cell) - 1)
     slot, grown = (F.col("start") + F.col("row")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     return rows.select("_doc.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot, grown)

@@ -130,3 +130,18 @@ def test_odd_rows(spark):
     assert len(out) == len(rows)
     assert {r["source"]: r["source_size"] for r in out} == {None: 3, "x": 2, "y": 10000}
     assert mixing.plan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sources_of_repeated_or_missing_ids_come_near_their_targets(spark):
+    rows = [(5, "one two three four five six", "one id") for _ in range(400)] + [(None, f"w{i} x y z", "none") for i in range(400)] + [(i, "a b c " * (1 + i % 3), "many") for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    out = mixing.plan(docs, share=1.2).collect()
+    assert len(out) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in out:
+        taken[r["source"]] += r["size"] * len(r["copies"])
+        target[r["source"]] = r["target"]
+        assert len(r["copies"]) <= 2
+    assert all(abs(taken[s] - target[s]) <= 6 for s in target)
+    again = mixing.plan(docs.repartition(7), share=1.2).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))

@@ -110,3 +110,17 @@ def test_odd_rows(spark):
     check_law(out.collect(), 3)
     assert out.count() == len(rows)
     assert sharding.shard(spark.createDataFrame([], SCHEMA), 3).collect() == []
+
+
+def test_copies_without_ids_or_of_one_id_are_split_too(spark):
+    """3,000 copies of one text, most without an id or of one id, are most of the table: bytes stay near equal."""
+    rows = [(None if i % 3 else 7, "the same text of some length " * 4, i) for i in range(3000)] + [(i, f"text {i} " * 12, i) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(5)
+    out = sharding.shard(docs).collect()
+    assert sorted(r["extra"] for r in out) == sorted(r[2] for r in rows)
+    load, slots = {}, {}
+    for r in out:
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(load) == 24 and max(load.values()) < 1.2 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
