@@ -34,6 +34,8 @@ ITERATIONS = 3
 SHORT = 32
 #: Letters of a long word whose spans are weighed at a time.
 STRETCH = 1 << 14
+#: Weights of a stretch: of many languages a stretch is shorter.
+STRETCH_WEIGHTS = 1 << 21
 #: Likelihoods that a task keeps, at most.
 KEPT_BYTES = 16 << 20
 FLOOR = 1e-7
@@ -140,6 +142,7 @@ class LongWord:
 
     def __init__(self, chars: Chars, start: int, end: int, pieces: Pieces, prob: np.ndarray):
         self.chars, self.start, self.n, self.pieces, self.prob = chars, start, end - start, pieces, prob
+        self.stretch = max(1, min(STRETCH, STRETCH_WEIGHTS // (pieces.longest * prob.shape[1])))
 
     def spans(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """Piece of each span by its end, low < end <= high, and its length less one; of those from the word's start also the piece with the mark."""
@@ -168,8 +171,8 @@ class LongWord:
         """For each letter the log of how the sum over segmentations up to it compares with that up to the letter before."""
         last = np.zeros((self.pieces.longest, self.prob.shape[1]))
         last[0] = 1.0  # sums of the prefixes before, nearest first, all divided by the nearest
-        for low in range(0, self.n, STRETCH):
-            for w in self.weights(low, min(self.n, low + STRETCH)):
+        for low in range(0, self.n, self.stretch):
+            for w in self.weights(low, min(self.n, low + self.stretch)):
                 step = (last * w).sum(0)
                 last[1:] = last[:-1] / step
                 last[0] = 1.0
@@ -180,8 +183,8 @@ class LongWord:
         longest = self.pieces.longest
         out = np.full(self.n + 1, -np.inf)
         out[self.n] = 0.0
-        for high in range(self.n, 0, -STRETCH):
-            low = max(0, high - STRETCH)
+        for high in range(self.n, 0, -self.stretch):
+            low = max(0, high - self.stretch)
             # spans from low on may end beyond high
             w = self.weights(low, min(self.n, high + longest))[:, :, 0]
             for i in range(high - 1, low - 1, -1):
@@ -194,8 +197,8 @@ class LongWord:
         """Add the expected uses of each piece to out, one language."""
         before = np.concatenate([[0.0], np.cumsum([x[0] for x in self.forward()])])
         after, prob, mark = self.backward(), self.prob[:, 0], self.pieces.mark
-        for low in range(0, self.n, STRETCH):
-            high = min(self.n, low + STRETCH)
+        for low in range(0, self.n, self.stretch):
+            high = min(self.n, low + self.stretch)
             ids, marked = self.spans(low, high)
             ends = np.arange(low + 1, high + 1)[:, None]
             begin = ends - np.arange(1, self.pieces.longest + 1)[None]

@@ -18,7 +18,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 CHARS_AT_ONCE = 1 << 20
 #: Characters of a batch, unless a caller wants other ones: smaller ones take less memory.
 BATCH_CHARS = 1 << 18
-_LAST_GAP = regex.compile(r"(?r)[^\p{L}\p{M}\p{N}]")
+_LAST_GAP, _NEXT_GAP = regex.compile(r"(?r)[^\p{L}\p{M}\p{N}]"), regex.compile(r"[^\p{L}\p{M}\p{N}]")
 #: Coefficients of the words of a shingle.
 STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16)], dtype=np.uint64)
 
@@ -30,10 +30,16 @@ def char_class(kinds: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i up to CHARS_AT_ONCE + 1."""
-    n = CHARS_AT_ONCE + 2
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(CHARS_AT_ONCE + 2)
 
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i modulo 2^64 for i below n at least; those of a longer string are not kept."""
+    return _powers() if n <= CHARS_AT_ONCE + 2 else _powers_of(n)
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     def up(x: int) -> np.ndarray:
         out = np.ones(n, dtype=np.uint64)
         out[1:] = np.uint64(x)
@@ -49,11 +55,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Chars:
-    """Code points of a string of at most CHARS_AT_ONCE characters and the hashes of its spans."""
+    """Code points of a string and the hashes of its spans; some 50 bytes a character."""
 
     def __init__(self, text: str):
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        up, self.down = powers()
+        up, self.down = powers(len(self.codes) + 2)
         self.sums = np.zeros(len(self.codes) + 1, dtype=np.uint64)
         np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[: len(self.codes)], out=self.sums[1:])
 
@@ -70,17 +76,20 @@ class Chars:
 
 
 def span_hash(text: str) -> int:
-    """The hash that Chars gives a span, of one short string."""
+    """The hash that Chars gives a span, of one string."""
+    if len(text) > 64:
+        chars = Chars(text)
+        return int(chars.hashes(np.array([0]), np.array([len(chars.codes)]))[0])
     out, p = 0, 1
     for c in text:
         out += (ord(c) + 1) * p
-        p *= int(BASE)
+        p = p * int(BASE) & 0xFFFFFFFFFFFFFFFF
     return out & 0xFFFFFFFFFFFFFFFF
 
 
 def pieces(text: str, size: int = CHARS_AT_ONCE) -> Iterator[str]:
-    """text in pieces of at most size characters, cut where no word is: after any character that is neither letter, mark nor
-    number. Only a word longer than a piece is cut itself, after size characters."""
+    """text in pieces of about size characters, cut where no word is: after any character that is neither letter, mark nor
+    number. Only a word longer than that makes a longer piece, which ends with it."""
     at = 0
     while at < len(text):
         end = min(len(text), at + size)
@@ -90,6 +99,9 @@ def pieces(text: str, size: int = CHARS_AT_ONCE) -> Iterator[str]:
                 if m:
                     end = m.end()
                     break
+            else:
+                m = _NEXT_GAP.search(text, end)
+                end = m.end() if m else len(text)
         yield text[at:end]
         at = end
 

@@ -1,3 +1,5 @@
+import time
+
 from streamloom.llm.decontamination import find
 from streamloom.llm import decontamination as d
 from streamloom.llm import textarrays
@@ -83,3 +85,23 @@ def test_an_item_anywhere_in_a_long_text_of_tabs(spark):
         rows = [(k, word * ((textarrays.BATCH_CHARS - 40) // len(word)) + "x" * k + gap + item.replace(" ", gap) + gap + word * 9) for k in range(0, 45, 9)]
         got = find(spark.createDataFrame(rows, "doc_id long, text string"), [(7, item)]).collect()
         assert all([f["item_id"] for f in r["found"]] == [7] for r in got)
+
+
+def test_words_of_any_length(spark):
+    """A word longer than a batch is one word, in items and in documents; hashing it takes linear time."""
+    word = "".join(chr(97 + (i * i) % 26) for i in range(300_000))
+    assert len(word) > textarrays.BATCH_CHARS
+    items = [(1, f"one two {word} three four"), (2, word), (3, word[:-1] + "!")]
+    docs = spark.createDataFrame(
+        [(1, f"said one two {word} three four and more"), (2, f"x{word}"), (3, f"a {word.upper()}, b"), (4, word[:200_000]), (5, "q " * 200_000 + word + " z"), (6, f"{word[:150_000]} {word[150_000:]}")],
+        "doc_id long, text string",
+    )
+    found = {r["doc_id"]: sorted(x["item_id"] for x in r["found"]) for r in find(docs, items).collect()}
+    assert found == {1: [1, 2], 2: [], 3: [2], 4: [], 5: [2], 6: []}
+    assert [len(p) for p in textarrays.pieces("ab " * 10 + "x" * 50 + " cd", 8)][-2:] == [51, 2]
+    began = time.time()
+    for n in (50_000, 400_000):
+        assert textarrays.span_hash(word[:1] * n) == textarrays.span_hash(word[:1] * n)
+    assert time.time() - began < 5
+    short = "some letters"
+    assert textarrays.span_hash(short * 9) == sum((ord(c) + 1) * pow(int(textarrays.BASE), i, 1 << 64) for i, c in enumerate(short * 9)) % (1 << 64)

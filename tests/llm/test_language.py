@@ -179,3 +179,16 @@ def test_a_fit_does_not_depend_on_the_order_of_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a, b = language.fit(docs, iterations=2), language.fit(docs.orderBy("text"), iterations=2)
     assert a.langs == b.langs and np.allclose(a.prob, b.prob, rtol=1e-6)
+
+
+def test_a_word_of_any_length_is_one_word():
+    """A word longer than a batch counts as a whole, as its likelihood by itself does, and memory of a stretch is bounded by the languages too."""
+    pieces = language.Pieces(language.read_pieces(language.default_vocabulary()))
+    prob = np.vstack([np.random.default_rng(2).dirichlet(np.ones(pieces.n), 2).T, np.zeros((1, 2))])
+    model = language.Model(["a", "b"], pieces, prob)
+    word = "internationalisation" * 15_000
+    own = language.word_likelihoods(*table([word]), pieces, prob)[0]
+    total, n = language.score_texts([f"{word} 12", None, "a"], model)
+    assert n.tolist() == [1, 0, 1] and np.allclose(total[0], own)
+    many = language.LongWord(Chars(word), 0, len(word), pieces, np.zeros((pieces.n + 1, 500)))
+    assert many.stretch * pieces.longest * 500 <= language.STRETCH_WEIGHTS
