@@ -758,23 +758,23 @@ def retention_within_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str, n_files: int) -> str:
-    """The odd envelopes as JSON lines, in files that a stream takes one by one; every seventeenth line is cut off."""
+    """The odd envelopes as JSON lines, a folder for each part of the time; every seventeenth line is cut off."""
     path = _folder(spark, "lines")
     text = F.to_json(F.struct(*ENVELOPE.names))
     cut = F.when(F.col("id").cast("long") % 17 == 0, F.substring(text, 1, 20)).otherwise(text)
     # by time, so that a batch has hours of its own
     rows = odd_envelopes(spark, d).select(cut.alias("value"), F.pmod(F.floor(F.col("timestamp_ms") / (30 * DAY_MS / n_files)), F.lit(n_files)).alias("_k"))
     for k in range(n_files):
-        rows.where(F.col("_k") == k).drop("_k").coalesce(1).write.mode("append").text(path)
+        rows.where(F.col("_k") == k).drop("_k").coalesce(1).write.text(f"{path}/{k}")
     return path
 
 
-@query(f"SELECT id, app_id, 2 AS times FROM ev WHERE {STATUS} IS NULL AND cast(id AS bigint) % 17 <> 0")
+@query(f"SELECT id, app_id, 1 AS times FROM ev WHERE {STATUS} IS NULL AND cast(id AS bigint) % 17 <> 0")
 def sink_of_two_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Two queries with checkpoints of their own write the same lines into one table, one at once and one in carried batches."""
+    """Two queries with checkpoints of their own, so with the same batch numbers, write into one table, one at once and one in a carried batch."""
     source, path = _lines(spark, d, 2), _folder(spark, "warehouse")
-    for name, least in (("a", 0), ("b", 10**9)):
-        stream = pipelines.envelopes(spark, source, 1)
+    for k, (name, least) in enumerate((("a", 0), ("b", 10**9))):
+        stream = pipelines.envelopes(spark, f"{source}/{k}", 1)
         started = pipelines.sink(stream, path, f"{path}-rejects", f"{path}-{name}", least_rows=least, seconds=3600).trigger(availableNow=True).start()
         started.awaitTermination()
         if least:
