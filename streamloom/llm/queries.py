@@ -83,7 +83,7 @@ QUERIES = {
     "op12_divergence": op12_divergence,
     "op13_merkle": op13_merkle,
 }
-#: Exact containment of five-word shingles, and exact divergences. The others' methods are beyond SQL (fitted models, seeded draws, hashes and
+#: Exact containment of five-word shingles, exact divergences, and whole Merkle trees level by level. The others' methods are beyond SQL (fitted models, seeded draws, hashes and
 #: encoders that DuckDB lacks); tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op2_decontamination": r"""
@@ -114,4 +114,30 @@ every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
 terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::bigint AS value FROM p WHERE n > 0 AND p > q)
 SELECT *, cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS integer) AS rank FROM every
 UNION ALL SELECT *, cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS integer) AS rank FROM terms QUALIFY rank <= 10""",
+    "op13_merkle": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, *, coalesce(strlen(cast(doc_id AS varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars AS varchar)) || ':' || n_chars, '-') AS head,
+    xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id AS varchar), ''), lambda c: ascii(c)::bigint)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))) AS crc FROM documents),
+l AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+  CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed FROM d),
+n AS (SELECT *, coalesce('s' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM l),
+t AS (SELECT tree, 0 AS level, i, h FROM n
+  UNION ALL SELECT tree, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM t) WHERE c > 1 GROUP BY tree, level, i // 16),
+sub AS (SELECT tree, arg_max(h, level) AS h, max(level) AS top, row_number() OVER (ORDER BY tree) - 1 AS i FROM t GROUP BY tree),
+u AS (SELECT 0 AS level, i, h FROM sub
+  UNION ALL SELECT level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY level, i // 16),
+root AS (SELECT arg_max(h, level) AS root, max(level) AS top FROM u),
+tp AS (SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') || '|' || coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS p
+  FROM t a JOIN t b ON a.tree = b.tree AND a.level = b.level AND a.i // 16 = b.i // 16 GROUP BY 1, 2, 3),
+up AS (SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') || '|' || coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS p
+  FROM u a JOIN u b ON a.level = b.level AND a.i // 16 = b.i // 16 GROUP BY 1, 2),
+steps AS (SELECT n.r, tp.level AS k, tp.p FROM n JOIN sub USING (tree) JOIN tp ON tp.tree = n.tree AND tp.level < sub.top AND tp.i = n.i // (16 ** tp.level)::bigint
+  UNION ALL SELECT n.r, 100 + up.level, up.p FROM n JOIN sub USING (tree), root, up WHERE up.level < root.top AND up.i = sub.i // (16 ** up.level)::bigint),
+path AS (SELECT r, list(p ORDER BY k) AS p FROM steps GROUP BY 1),
+out AS (SELECT n.doc_id, n.h AS leaf, sub.h AS subroot, root, sha256(replace(array_to_string(coalesce(path.p, []), ''), '|', '')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(n.changed, n.h), coalesce(path.p, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM n JOIN sub USING (tree) LEFT JOIN path USING (r), root)
+SELECT *, folded_root = root AS verified FROM out""",
 }
