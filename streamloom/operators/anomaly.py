@@ -7,34 +7,35 @@ from pyspark.sql import functions as F
 
 from streamloom.functions.scalars import anomaly_topic, event_time, minute_key, number, window_start
 from streamloom.operators.folds import keep_spaced
-from streamloom.operators.rules import event_keys, filter_key, json_path
+from streamloom.operators.rules import event_keys, filter_key, json_path, shapes_of
 
 CONFIG = ("config_id", "config_name", "detection_type", "path", "min", "max", "max_per_minute", "window_seconds", "max_count", "cooldown_seconds")
 
 
-def with_configs(events: DataFrame, configs: DataFrame, detection: str) -> DataFrame:
-    """Events with each enabled configuration of that detection whose filter (null: any) they pass.
-
-    Each event has eight keys, one for each choice of wildcards, so this is an equality join for any number of
-    configurations; Spark broadcasts their table while it is small.
-    """
-    own = configs.where(F.col("enabled") & (F.col("detection_type") == detection))
-    renamed = own.select(filter_key(wildcards=True).alias("_key"), F.col("id").alias("config_id"), F.col("name").alias("config_name"), *[c for c in CONFIG if c not in ("config_id", "config_name")])
-    return events.withColumn("_key", F.explode(event_keys())).join(renamed, "_key").drop("_key")
-
-
 class Configured:
-    """Configurations of a kind with their distinct paths, read once: for the batches of a stream."""
+    """The enabled configurations of a kind with the shapes of their filters and their distinct paths, read once: for the batches of a stream."""
 
     def __init__(self, configs: DataFrame, detection: str):
         self.table = configs.where(F.col("enabled") & (F.col("detection_type") == detection))
-        self.paths = [r[0] for r in self.table.select("path").distinct().collect() if r[0]]
+        self.shapes = shapes_of(self.table)
+        self.paths = [r[0] for r in self.table.select("path").distinct().collect() if r[0]] if detection == "threshold" else []
+
+
+def with_configs(events: DataFrame, configs: DataFrame | Configured, detection: str) -> DataFrame:
+    """Events with each enabled configuration of that detection whose filter (null: any) they pass.
+
+    Each event has a key for each choice of wildcards that occurs among the filters, eight at most, so this is an equality
+    join for any number of configurations; Spark broadcasts their table while it is small.
+    """
+    own = configs if isinstance(configs, Configured) else Configured(configs, detection)
+    renamed = own.table.select(filter_key(wildcards=True).alias("_key"), F.col("id").alias("config_id"), F.col("name").alias("config_name"), *[c for c in CONFIG if c not in ("config_id", "config_name")])
+    return events.withColumn("_key", F.explode(event_keys(own.shapes))).join(renamed, "_key").drop("_key")
 
 
 def threshold(events: DataFrame, configs: DataFrame | Configured, document: str = "payload_json") -> DataFrame:
     """Alert candidates: below the least, else above the most; a missing or non-numeric value gives none."""
     own = configs if isinstance(configs, Configured) else Configured(configs, "threshold")
-    joined = with_configs(events.withColumn("_doc", F.try_parse_json(document)), own.table, "threshold")
+    joined = with_configs(events.withColumn("_doc", F.try_parse_json(document)), own, "threshold")
     # paths differ by configuration, so they are looked up one by one: a handful of distinct literals
     value = F.coalesce(
         F.lit(None).cast("double"),

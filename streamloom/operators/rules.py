@@ -133,6 +133,7 @@ class Compiled:
         self.spark, self.document = rules.sparkSession, document
         self.many = rules.where("enabled").count() > (MOST_COMPILED if most is None else most)
         self.table = rules.where("enabled")
+        self.shapes = shapes_of(self.table) if self.many else []
         patterns = self.table.select(F.explode("conditions").alias("c")).where("c.operator = 'regex'").select(F.col("c.value").alias("v")).distinct()
         self.refused = sorted(p for p in (literal_text(json.loads(r["v"])) or "" for r in patterns.where("v is not null").collect()) if not usable_pattern(self.spark, p))
         self.own = [] if self.many else sorted((r.asDict(recursive=True) for r in self.table.collect()), key=lambda r: (-(r["priority"] or 0), r["name"] or "", r["id"]))
@@ -175,7 +176,7 @@ class Compiled:
             *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("webhooks", "publish_subjects")], F.coalesce("_needs", F.array().cast("array<int>")).alias("_needs"),
         )
         true = F.array_compact(F.array(*truths)) if truths else F.array().cast("array<int>")
-        numbered = parsed.select(F.monotonically_increasing_id().alias("_row"), F.struct(*events.columns).alias("_e"), true.alias("_true"), event_keys().alias("_keys"))
+        numbered = parsed.select(F.monotonically_increasing_id().alias("_row"), F.struct(*events.columns).alias("_e"), true.alias("_true"), event_keys(self.shapes).alias("_keys"))
         found = numbered.select("_row", "_e", "_true", F.explode("_keys").alias("_key")).join(keyed, "_key")
         found = found.where(F.size(F.array_except("_needs", "_true")) == 0)
         hit = F.struct((-F.col("priority")).alias("_p"), F.coalesce("rule_name", F.lit("")).alias("_n"), "rule_id", "rule_name", "priority", "webhooks", "publish_subjects")
@@ -198,19 +199,25 @@ def filter_key(wildcards: bool = False, given: tuple[bool, ...] = (True, True, T
     return F.concat_ws("\u0001", *[F.coalesce(p, F.lit("*")) if wildcards else F.coalesce(p, F.lit("")) for p in parts])
 
 
-def event_keys() -> Column:
-    """The eight keys of an event that a filter may have."""
-    return F.array(*[filter_key(given=tuple(bool(bits >> k & 1) for k in range(3))) for bits in range(8)])
+def shapes_of(filters: DataFrame) -> list[tuple[bool, ...]]:
+    """Which of the three columns the filters of a table give: eight shapes at most."""
+    return sorted(tuple(r) for r in filters.select(*[F.col(c).isNotNull().alias(c) for c in FILTERED]).distinct().collect())
+
+
+def event_keys(shapes: list[tuple[bool, ...]]) -> Column:
+    """The keys of an event that filters of these shapes may have."""
+    return F.array(*[filter_key(given=x) for x in shapes]).cast("array<string>")
 
 
 def wildcard_join(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(event id, rule id) by the filters alone, for rules that are too many to compile.
 
-    Each event has eight keys, one for each choice of wildcards, so this is an equality join that may shuffle, not a
-    nested loop.
+    Each event has a key for each choice of wildcards that occurs, eight at most, so this is an equality join that may
+    shuffle, not a nested loop.
     """
-    keyed = rules.where("enabled").select(F.col("id").alias("rule_id"), filter_key(wildcards=True).alias("_key"))
-    return events.select("id", F.explode(event_keys()).alias("_key")).join(keyed, "_key").select("id", "rule_id")
+    live = rules.where("enabled")
+    keyed = live.select(F.col("id").alias("rule_id"), filter_key(wildcards=True).alias("_key"))
+    return events.select("id", F.explode(event_keys(shapes_of(live))).alias("_key")).join(keyed, "_key").select("id", "rule_id")
 
 
 def payload(found: DataFrame, triggered_at: Column) -> DataFrame:

@@ -150,3 +150,15 @@ def test_a_hot_key_is_sorted_in_many_tasks_and_thinned(spark):
         own = hot[hot // (500 * folds.STRETCH) == s]
         left += int(folds.Chains(int(own[0]), 500).take(own).sum())
     assert left < len(hot) / 3
+
+
+def test_configurations_of_any_shape(spark):
+    """Filters with and without each column, by one row an event and pair, and none at all."""
+    given = [{"id": f"c{k}", "name": "n", "detection_type": "threshold", "path": "k", "min": 5.0, **{c: v for bit, (c, v) in enumerate((("app_id", "a"), ("event_category", "c"), ("event_type", "t"))) if k >> bit & 1}} for k in range(8)]
+    events = rows(spark, *[{"payload_json": '{"k":1}', **e} for e in ({}, {"app_id": "b"}, {"event_category": None}, {"event_type": "u"})])
+    got = sorted((r["id"], r["config_id"]) for r in anomaly.threshold(events, adapter.configs(spark, *given)).collect())
+    allowed = {"000": range(8), "001": (0, 2, 4, 6), "002": (0, 1, 4, 5), "003": range(4)}
+    assert got == sorted((e, f"c{k}") for e, ks in allowed.items() for k in ks)
+    one = adapter.configs(spark, given[3])
+    assert [r["id"] for r in anomaly.threshold(events, one).collect()] == ["000", "003"]
+    assert anomaly.threshold(events, one.where("false")).count() == 0
