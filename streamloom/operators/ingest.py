@@ -12,6 +12,7 @@ from streamloom.sources.schemas import CLIENT_TYPES, ENVELOPE, NETWORKS, PAYLOAD
 
 CORRUPT = "_corrupt_record"
 MAX_BATCH = 1000
+#: Messages that results carry.
 NO_APP, NO_PAYLOAD, NO_TIME = "app_id is required", "event payload is required", "timestamp_ms is required"
 
 

@@ -22,8 +22,9 @@ from streamloom.sources.schemas import RULE
 OPERATORS = ("exists", "not_exists", "eq", "ne", "gt", "gte", "lt", "lte", "contains", "regex", "in")
 #: Rules that are compiled to columns of every event; more are joined to the events that pass their filters.
 MOST_COMPILED = 64
-#: Dialects differ on these, so they are refused: look-around and back-references.
-_REFUSED = ("(?=", "(?!", "(?<", "\\1", "\\2", "\\3", "\\4", "\\5", "\\6", "\\7", "\\8", "\\9", "\\k<")
+#: Dialects differ on these, so they are refused: look-around and back-references, where the backslash is not escaped itself.
+_REFUSED = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?<?[=!]|\\[1-9k])")
+_NAMED_GROUP = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_]\w*>")
 
 
 def json_path(path: str) -> str:
@@ -32,12 +33,17 @@ def json_path(path: str) -> str:
     return "$" + "".join('["' + k.replace("\\", "\\\\").replace('"', '\\"') + '"]' for k in keys)
 
 
+def unnamed(pattern: str) -> str:
+    """The pattern with its named groups as plain ones: nothing reads their names, and dialects differ on them."""
+    return _NAMED_GROUP.sub(r"\1(", pattern)
+
+
 def usable_pattern(spark: SparkSession, pattern: str) -> bool:
     """Whether the executors' regular expressions take the pattern; a bad one matches nothing instead of failing the job."""
-    if any(x in pattern for x in _REFUSED):
+    if _REFUSED.search(pattern):
         return False
     try:
-        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        spark.range(1).select(F.lit("").rlike(unnamed(pattern))).collect()
     except Exception as e:  # the parser's error, in whatever class this Spark has it
         if "PATTERN" in str(e).upper() or "REGEX" in str(e).upper():
             return False
@@ -102,7 +108,7 @@ def condition(document: Column, path: str, operator: str, value: object, spark:
         out = F.contains(v.text, F.lit(literal_text(value) or ""))
     elif operator == "regex":
         pattern = literal_text(value) or ""
-        out = v.text.rlike(pattern) if usable_pattern(spark, pattern) else false
+        out = v.text.rlike(unnamed(pattern)) if usable_pattern(spark, pattern) else false
     elif operator == "in":
         out = any_of([equals(v, x) for x in value]) if isinstance(value, list) else false
     else:

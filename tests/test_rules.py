@@ -54,3 +54,11 @@ def test_actions(spark, small):
     assert len(out) == 3 and out[0]["topic"].startswith("x.app")
     assert set(body) == {"rule_id", "rule_name", "event_id", "app_id", "device_id", "timestamp_ms", "correlation_id", "event", "triggered_at"}
     assert body["triggered_at"] == "2024-02-01T00:00:00Z"
+
+
+def test_patterns_of_other_dialects(spark):
+    usable = {r"(?P<year>\d{4})-(?<m_m>\d\d)": True, r"a\\1": True, r"\(?P<x": True, r"(a)\1": False, r"a(?=b)": False, r"(?<!a)b": False, r"\k<a>": False, r"[": False, r"(?i)abc$": True}
+    assert {p: rules.usable_pattern(spark, p) for p in usable} == usable
+    events = spark.createDataFrame([("1", "a", "c", "t", '{"d":"2024-05"}'), ("2", "a", "c", "t", '{"d":"x"}')], "id string, app_id string, event_category string, event_type string, payload_json string")
+    table = adapter.rules(spark, {"id": "r", "conditions": [("d", "regex", json.dumps(r"^(?P<year>\d{4})-(?<m_m>\d\d)$"))]})
+    assert [r["id"] for r in rules.hits(events, table).collect()] == ["1"]
