@@ -28,6 +28,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME, TIE = "timestamp_ms", "id"
 _LONG = T.StructType([T.StructField("v", T.LongType())])
+#: A number and the time until which it holds.
+_UNTIL = T.StructType([T.StructField("v", T.LongType()), T.StructField("until", T.LongType())])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -104,7 +106,7 @@ class Spaced(InOrder):
         self.gap, self.ttl_ms = schema.names.index(gap), ttl_ms
 
     def open(self) -> None:
-        self.last = self.handle.getValueState("last", _LONG)
+        self.last = self.handle.getValueState("last", _UNTIL)
 
     def wanted(self, rows: Iterator[tuple]) -> Iterator[tuple]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -112,40 +114,38 @@ class Spaced(InOrder):
         return rows if last is None else (r for r in rows if r[self.time] - last >= r[self.gap])
 
     def due(self, key: tuple, rows: list[tuple], watermark: int) -> Iterator[Row]:
-        last = before = self.last.get()[0] if self.last.exists() else None
-        longest = 0
+        held = self.last.get() if self.last.exists() else None
+        last, until = held or (None, None)
         for r in rows:
             if last is None or r[self.time] - last >= r[self.gap]:
-                last, longest = r[self.time], max(longest, r[self.gap])
+                last, until = r[self.time], r[self.time] + max(self.ttl_ms, r[self.gap])
                 yield Row(**dict(zip(self.schema.names, r)))
-        if last != before:
-            self.last.update((last,))
-            self.wake(last + max(self.ttl_ms, longest))
-        elif last is not None and not rows and last + self.ttl_ms <= watermark:
+        # timers of items kept earlier run out too: only the last one's time counts
+        if last is not None and until <= watermark:
             self.last.clear()
+        elif rows and (held is None or last != held[0]):
+            self.last.update((last, until))
+            self.wake(until)
 
 
 class Counted(InOrder):
     """Numbers the rows of a window and keeps those after the first most; the window is forgotten when it is over."""
 
     def open(self) -> None:
-        self.count = self.handle.getValueState("count", _LONG)
+        self.count = self.handle.getValueState("count", _UNTIL)
         self.most, self.end = self.schema.names.index("most"), self.schema.names.index("window_end_ms")
 
     def due(self, key: tuple, rows: list[tuple], watermark: int) -> Iterator[Row]:
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, end = self.count.get() if self.count.exists() else (0, None)
         for r in rows:
-            n += 1
+            n, end = n + 1, r[self.end]
             if n > r[self.most]:
                 yield Row(**dict(zip(self.schema.names, r)), running=n)
-        if rows:
-            self.count.update((n,))
-            self.wake(rows[-1][self.end])
-            over = rows[-1][self.end] <= watermark
-        else:
-            over = not self.next.exists()
-        if over:
+        if end is not None and end <= watermark:
             self.count.clear()
+        elif rows:
+            self.count.update((n, end))
+            self.wake(end)
 
 
 _SESSION = T.StructType([T.StructField(c, T.LongType()) for c in ("no", "start", "last", "events", "away", "open")])

@@ -91,3 +91,10 @@ def test_sessions_equal_their_batch_twin(spark, files, tmp_path):
     own = got.where("device_id <> 'end'").collect()
     assert {(r["device_id"], r["session_no"], r["timestamp_ms"], r["events"], r["duration_ms"]) for r in own if r["event_type"] == "session_end"} == ends
     assert {(r["device_id"], r["session_no"], r["timestamp_ms"]) for r in own if r["event_type"] == "session_start"} == {(r["device_id"], r["session_no"], r["start_ms"]) for r in batch.collect()}
+
+
+def test_a_timer_of_an_earlier_item_does_not_forget_a_later_one(spark, files, tmp_path):
+    """When the timer of the first kept item and that of a waiting one run out together, the item kept then still counts."""
+    stream = files([row(1, "a", 0)], [row(2, "b", 10)], [row(3, "a", 61), row(4, "b", 70)], [row(5, "a", 90), row(6, "b", 200)], [row(7, "b", 300)], [row(8, "b", 400)])
+    got = run(states.spaced(stream, ("k",), "gap", "1 second"), tmp_path)
+    assert sorted(r["id"] for r in got.where("k = 'a'").collect()) == ["001", "003"]
