@@ -74,7 +74,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)]
     if _SIGN.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            # a part of thousands of zeros is a small number too, but more digits than int() takes
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = re.sub("[ -]", "", m.group())
@@ -247,10 +248,10 @@ def extract(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return out.withColumn("spans", every).drop("row")
 
 
-def digest(found: DataFrame) -> DataFrame:
-    """Counts and the joined form of all spans, and how many of them the method added: what op8 returns."""
+def digest(found: DataFrame, counted: str = "spans") -> DataFrame:
+    """The joined form of all spans, how many of them the method added, and counts by kind: of all spans, or of the base ones (counted "base")."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    counts = [F.expr(f"size(filter(spans, s -> s.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.expr(f"size(filter({counted}, s -> s.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
     return found.select("doc_id", *counts, "base_sha256", text.alias("spans"), added)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from streamloom.llm import personal as p
+from streamloom.llm import queries
 
 SCHEMA = "doc_id long, text string"
 PLAIN = (
@@ -166,3 +167,18 @@ def test_odd_rows(spark):
     assert by[1]["spans"] == "" and by[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert by[3]["n_email"] == 20_000 and by[4]["spans"] == "ip:2:10" and by[None]["n_phone"] == 1
     assert p.digest(p.extract(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_the_query_counts_base_spans(spark, tmp_path):
+    """What the method adds stands in spans and n_added only; counts are the base expressions', like base_sha256."""
+    rows = [(i, f"alpha beta contact me at user{i}@mail{i % 7}.example.com today gamma") for i in range(40)]
+    rows += [(100 + i, f"alpha gamma contact me at hidden{i}(at)host{i} today beta") for i in range(4)]
+    rows += [(200, f"x {'0' * 5000}1.2.3.{'0' * 5000} and 256.1.1.1 y"), (201, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_personal_data(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        base = plain(text or "") if i != 200 else [(2, 1, 10_008)]
+        assert [got[i][f"n_{k}"] for k in p.KINDS] == [sum(s[1] == k for s in base) for k in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(p.joined(base).encode()).hexdigest()
+    assert all(got[100 + i]["spans"].startswith("email:") and got[100 + i]["n_added"] == 1 for i in range(4))
