@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions.scalars import anomaly_topic, event_time, minute_key, number, window_start
 from streamloom.operators.folds import keep_spaced
-from streamloom.operators.rules import event_keys, filter_key, json_path, shapes_of
+from streamloom.operators.rules import event_keys, few, filter_key, json_path, key_join, shapes_of
 
 CONFIG = ("config_id", "config_name", "detection_type", "path", "min", "max", "max_per_minute", "window_seconds", "max_count", "cooldown_seconds")
 
@@ -17,7 +17,7 @@ class Configured:
 
     def __init__(self, configs: DataFrame, detection: str):
         self.table = configs.where(F.col("enabled") & (F.col("detection_type") == detection))
-        self.shapes = shapes_of(self.table)
+        self.shapes, self.few = shapes_of(self.table), few(self.table)
         self.paths = [r[0] for r in self.table.select("path").distinct().collect() if r[0]] if detection == "threshold" else []
 
 
@@ -25,11 +25,11 @@ def with_configs(events: DataFrame, configs: DataFrame | Configured, detection:
     """Events with each enabled configuration of that detection whose filter (null: any) they pass.
 
     Each event has a key for each choice of wildcards that occurs among the filters, eight at most, so this is an equality
-    join for any number of configurations; Spark broadcasts their table while it is small.
+    join for any number of configurations (see key_join).
     """
     own = configs if isinstance(configs, Configured) else Configured(configs, detection)
     renamed = own.table.select(filter_key(wildcards=True).alias("_key"), F.col("id").alias("config_id"), F.col("name").alias("config_name"), *[c for c in CONFIG if c not in ("config_id", "config_name")])
-    return events.withColumn("_key", F.explode(event_keys(own.shapes))).join(renamed, "_key").drop("_key")
+    return key_join(events.withColumn("_key", F.explode(event_keys(own.shapes))), renamed, own.few)
 
 
 def threshold(events: DataFrame, configs: DataFrame | Configured, document: str = "payload_json") -> DataFrame:

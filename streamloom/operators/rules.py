@@ -22,6 +22,8 @@ from streamloom.sources.schemas import RULE
 OPERATORS = ("exists", "not_exists", "eq", "ne", "gt", "gte", "lt", "lte", "contains", "regex", "in")
 #: Rules that are compiled to columns of every event; more are joined to the events that pass their filters.
 MOST_COMPILED = 64
+#: Filters that are broadcast, and the parts in which each of more stands.
+MOST_BROADCAST, SPREAD = 10_000, 64
 #: Dialects differ on these, so they are refused: look-around and back-references, where the backslash is not escaped itself.
 _REFUSED = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?<?[=!]|\\[1-9k])")
 _NAMED_GROUP = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_]\w*>")
@@ -140,6 +142,7 @@ class Compiled:
         self.many = rules.where("enabled").count() > (MOST_COMPILED if most is None else most)
         self.table = rules.where("enabled")
         self.shapes = shapes_of(self.table) if self.many else []
+        self.few = few(self.table)
         patterns = self.table.select(F.explode("conditions").alias("c")).where("c.operator = 'regex'").select(F.col("c.value").alias("v")).distinct()
         self.refused = sorted(p for p in (literal_text(json.loads(r["v"])) or "" for r in patterns.where("v is not null").collect()) if not usable_pattern(self.spark, p))
         self.own = [] if self.many else sorted((r.asDict(recursive=True) for r in self.table.collect()), key=lambda r: (-(r["priority"] or 0), r["name"] or "", r["id"]))
@@ -183,7 +186,7 @@ class Compiled:
         )
         true = F.array_compact(F.array(*truths)) if truths else F.array().cast("array<int>")
         numbered = parsed.select(F.monotonically_increasing_id().alias("_row"), F.struct(*events.columns).alias("_e"), true.alias("_true"), event_keys(self.shapes).alias("_keys"))
-        found = numbered.select("_row", "_e", "_true", F.explode("_keys").alias("_key")).join(keyed, "_key")
+        found = key_join(numbered.select("_row", "_e", "_true", F.explode("_keys").alias("_key")), keyed, self.few)
         found = found.where(F.size(F.array_except("_needs", "_true")) == 0)
         hit = F.struct((-F.col("priority")).alias("_p"), F.coalesce("rule_name", F.lit("")).alias("_n"), "rule_id", "rule_name", "priority", "webhooks", "publish_subjects")
         listed = found.groupBy("_row").agg(F.first("_e").alias("_e"), F.array_sort(F.collect_list(hit)).alias("_hits"))
@@ -215,15 +218,34 @@ def event_keys(shapes: list[tuple[bool, ...]]) -> Column:
     return F.array(*[filter_key(given=x) for x in shapes]).cast("array<string>")
 
 
+def few(filters: DataFrame) -> bool:
+    """Whether a table of filters is small enough to be broadcast."""
+    return filters.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def key_join(keyed: DataFrame, filters: DataFrame, broadcast: bool) -> DataFrame:
+    """Events that are dealt by _key joined to the filters of that key.
+
+    Spark does not know the size of a table made of rows of the driver and would shuffle the events by their key, and a
+    filter that is all wildcards has one key: all events in one task. So few filters are
+    broadcast; of more, each stands in SPREAD parts and each event in one of them.
+    """
+    if broadcast:
+        return keyed.join(F.broadcast(filters), "_key").drop("_key")
+    spread = filters.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    part = F.pmod(F.xxhash64(*[c for c in ("id", "timestamp_ms", "_row") if c in keyed.columns]), F.lit(SPREAD)).cast("int")
+    return keyed.withColumn("_part", part).join(spread, ["_key", "_part"]).drop("_key", "_part")
+
+
 def wildcard_join(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(event id, rule id) by the filters alone, for rules that are too many to compile.
 
-    Each event has a key for each choice of wildcards that occurs, eight at most, so this is an equality join that may
-    shuffle, not a nested loop.
+    Each event has a key for each choice of wildcards that occurs, eight at most, so this is an equality join, not a
+    nested loop.
     """
     live = rules.where("enabled")
     keyed = live.select(F.col("id").alias("rule_id"), filter_key(wildcards=True).alias("_key"))
-    return events.select("id", F.explode(event_keys(shapes_of(live))).alias("_key")).join(keyed, "_key").select("id", "rule_id")
+    return key_join(events.select("id", F.explode(event_keys(shapes_of(live))).alias("_key")), keyed, few(live)).select("id", "rule_id")
 
 
 def payload(found: DataFrame, triggered_at: Column) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.operators import rules
+from streamloom.operators import anomaly, rules
 from streamloom.sources import adapter
 
 DOC = '{"a":{"n":5,"s":"5","t":"abc","z":null,"b":true,"arr":[1],"x-y z":{"1":"k"}}}'
@@ -62,3 +62,20 @@ def test_patterns_of_other_dialects(spark):
     events = spark.createDataFrame([("1", "a", "c", "t", '{"d":"2024-05"}'), ("2", "a", "c", "t", '{"d":"x"}')], "id string, app_id string, event_category string, event_type string, payload_json string")
     table = adapter.rules(spark, {"id": "r", "conditions": [("d", "regex", json.dumps(r"^(?P<year>\d{4})-(?<m_m>\d\d)$"))]})
     assert [r["id"] for r in rules.hits(events, table).collect()] == ["1"]
+
+
+def test_filters_without_a_known_size_do_not_gather_the_events(spark, small, monkeypatch):
+    """A filter that is all wildcards has all events for its key: few filters are broadcast, more stand in parts."""
+    events = adapter.events(spark, small)
+    configs = adapter.configs(spark, {"id": "t", "name": "t", "detection_type": "threshold", "path": "k", "min": 5.0, "max": 90.0}, {"id": "r", "name": "r", "detection_type": "rate", "max_per_minute": 1})
+    table = adapter.rules(spark, {"id": "any"}, {"id": "app1", "app_id": "app1"})
+    made = lambda: (anomaly.threshold(events, configs).select("id", "config_id"), anomaly.rate(events, configs).select("id", "config_id"), rules.wildcard_join(events, table))
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    few = made()
+    for frame in few:
+        assert "BuildRight" in plan(frame) and "hashpartitioning(_key" not in plan(frame)
+    expected = [sorted(map(tuple, frame.collect())) for frame in few]
+    monkeypatch.setattr(rules, "MOST_BROADCAST", 0)
+    many = made()
+    assert all("_part" in plan(frame) for frame in many)
+    assert [sorted(map(tuple, frame.collect())) for frame in many] == expected
