@@ -569,15 +569,30 @@ DAY_MS = 86_400_000
 FILE_DAYS, LATE_DAYS = 6, 12
 
 
+#: Files of a batch, each written by a task of its own.
+PARTS = 8
+
+
+def _deal(rows: DataFrame, path: str) -> None:
+    """Write rows as the files of one batch of _dealt, in no order."""
+    own = rows.withColumn("_n", F.xxhash64(*[c for c in ("id", "event_id") if c in rows.columns])).withColumn("part", F.pmod("_n", F.lit(PARTS)))
+    own.repartition(PARTS, "part").sortWithinPartitions("part", "_n").drop("_n").write.mode("append").partitionBy("part").parquet(path)
+
+
+def _dealt(spark: SparkSession, schema, path: str) -> DataFrame:
+    """The stream of what has been dealt; files are taken by age."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", PARTS).parquet(path)
+
+
 def _late_stream(spark: SparkSession, d: str, build) -> DataFrame:
     """Run a query in append mode over the events, a few days a file in no order, some of them a file late; return what it wrote."""
     path = _folder(spark, "late-stream")
     raw = spark.read.parquet(f"{d}/events.parquet")
     day = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - 1_704_067_200_000) / DAY_MS)
-    dealt = raw.withColumn("_file", F.floor(day / FILE_DAYS) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)).withColumn("_n", F.xxhash64("event_id"))
-    for k in range(30 // FILE_DAYS + 1):  # files are taken by age
-        dealt.where(F.col("_file") == k).drop("_file").coalesce(1).sortWithinPartitions("_n").drop("_n").write.mode("append").parquet(f"{path}-in")
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    dealt = raw.withColumn("_file", F.floor(day / FILE_DAYS) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    for k in range(30 // FILE_DAYS + 1):
+        _deal(dealt.where(F.col("_file") == k).drop("_file"), f"{path}-in")
+    stream = _dealt(spark, raw.schema, f"{path}-in")
     writer = build(adapter.adapted(stream)).writeStream.outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     writer.start(path, format="parquet").awaitTermination()
     return spark.read.parquet(path)
@@ -594,7 +609,7 @@ LATE = f"{LATE_DAYS} days"
 @query(f"SELECT id, idempotency_key, timestamp_ms FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY timestamp_ms, id) = 1) WHERE {_until('ev')}")
 def stream_first_of_key(spark: SparkSession, d: str) -> DataFrame:
     """The earliest event of each key, whichever came first."""
-    return _late_stream(spark, d, lambda e: states.first_within(e, 60 * DAY_MS, LATE).select("id", "idempotency_key", "timestamp_ms"))
+    return _late_stream(spark, d, lambda e: states.first_within(e.select("id", "idempotency_key", "timestamp_ms"), 60 * DAY_MS, LATE))
 
 
 @query(f"WITH {CANDIDATES}, {KEPT} SELECT c.id, c.app_id, c.timestamp_ms FROM kept JOIN cand c ON c.app_id = kept.app_id AND c.rn = kept.rn WHERE c.{_until('cand')}")
@@ -789,10 +804,10 @@ def live_rules(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "live")
     e = events(spark, d).drop("value")
     for k in range(2):
-        e.where(F.col("id").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
+        _deal(e.where(F.col("id").cast("long") % 2 == k), f"{path}-in")
     first = {"id": "r1", "event_category": "screen"}
     tables = iter((adapter.rules(spark, first), adapter.rules(spark, first, {"id": "r2", "app_id": "app1"})))
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+    stream = _dealt(spark, e.schema, f"{path}-in")
     writer = pipelines.live_hits(stream, lambda: next(tables), 0, lambda found, k: found.select("id", "rule_id").write.mode("overwrite").parquet(f"{path}/batch={k}"))
     writer.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path).select("id", "rule_id")
@@ -805,8 +820,8 @@ def live_alerts(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).drop("value")
     for k in range(3):
         third = F.least(F.floor((F.col("timestamp_ms") - 1_704_067_200_000) / (10 * DAY_MS)), F.lit(2))
-        e.where(third == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+        _deal(e.where(third == k), f"{path}-in")
+    stream = _dealt(spark, e.schema, f"{path}-in")
     load = lambda: adapter.configs(spark, THRESHOLD | {"cooldown_seconds": 3600})
     pipelines.live_alerts(stream, load, 30, path, "one").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return anomaly_log.read(spark, path).select("event_id", "app_id")
@@ -836,7 +851,7 @@ def independent_consumers(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "consumers")
     e = events(spark, d).drop("value")
     for k in range(2):
-        e.where(F.col("id").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
+        _deal(e.where(F.col("id").cast("long") % 2 == k), f"{path}-in")
     failed: list[int] = []
 
     def start(name: str, column: str):
@@ -846,7 +861,7 @@ def independent_consumers(spark: SparkSession, d: str) -> DataFrame:
                 raise RuntimeError("b stops")
             batch.select(F.lit(name).alias("consumer"), F.col(column).alias("category")).write.mode("overwrite").parquet(f"{path}/of={name}/batch={number}")
 
-        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+        stream = _dealt(spark, e.schema, f"{path}-in")
         return lambda: stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-{name}").trigger(availableNow=True).start()
 
     metrics.Consumers({"a": start("a", "event_category"), "b": start("b", "event_type")}).run()
@@ -859,8 +874,8 @@ def stream_counters(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "metrics")
     e = events(spark, d).select("id", "timestamp_ms", "app_id")
     for k in range(2):
-        e.where(F.col("id").cast("long") % 2 == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-in")
+        _deal(e.where(F.col("id").cast("long") % 2 == k), f"{path}-in")
+    stream = _dealt(spark, e.schema, f"{path}-in")
     with metrics.Progress(spark, path):
         started = stream.writeStream.format("noop").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
         started.awaitTermination()

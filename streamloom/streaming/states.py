@@ -8,12 +8,18 @@ later than the watermark are dropped by Spark.
 State lies in RocksDB, of which each task holds the keys of its partition on disk. A task reads the waiting rows of one
 key at a time: as many as come in a watermark's delay.
 
+Each call of a key's state is a round trip between Python and the JVM, and a key takes some fifteen of them, which is
+too much where keys are as many as events. So keys are dealt to BUCKETS buckets by a hash of theirs; a bucket waits, wakes
+and is stored as a whole, in a few calls, and its keys are followed in memory by the same rules. A batch reads and writes
+all that its buckets hold, so that its time grows with the state; a task holds one bucket at a time.
+
 Defined cases: equal times are taken by id, null ids first; a null key is a key; repeated rows are rows of their own;
 rows without a time are dropped.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import islice
 
@@ -27,6 +33,9 @@ from streamloom.functions.scalars import event_time
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME, TIE = "timestamp_ms", "id"
+#: Buckets of keys, and the rows or keys of one stored value.
+BUCKETS, CHUNK = 512, 5000
+_BYTES = T.StructType([T.StructField("v", T.BinaryType())])
 _LONG = T.StructType([T.StructField("v", T.LongType())])
 #: A number and the time until which it holds.
 _UNTIL = T.StructType([T.StructField("v", T.LongType()), T.StructField("until", T.LongType())])
@@ -40,6 +49,9 @@ def use_rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands a key's rows on in order once the watermark has passed them. Subclasses say what becomes of them."""
 
+    #: Name of the subclass's own state, in the store and as an attribute.
+    own: str
+
     def __init__(self, schema: T.StructType):
         self.schema = schema
         self.time, self.tie = schema.names.index(TIME), schema.names.index(TIE)
@@ -65,7 +77,7 @@ class InOrder(StatefulProcessor):
         self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first, known = None, self.next.get() if self.next.exists() else None
+        first, known = None, self.next.get()  # none where nothing waits: each call is a round trip, so exists() is left out
         own = self.wanted(map(tuple, rows))
         while some := list(islice(own, 1000)):
             self.waiting.appendList(some)
@@ -81,26 +93,130 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         ready: list[tuple] = []
-        known = self.next.get() if self.next.exists() else None
+        known = self.next.get()
         if known is not None and known[0] <= watermark:
             later: list[tuple] = []
             for r in map(tuple, self.waiting.get()):
                 (ready if r[self.time] <= watermark else later).append(r)
-            self.waiting.clear()
-            for at in range(0, len(later), 1000):
-                self.waiting.appendList(later[at : at + 1000])
-            self.next.clear()
             if later:
+                self.waiting.put(later[:1000])
+                for at in range(1000, len(later), 1000):
+                    self.waiting.appendList(later[at : at + 1000])
                 first = min(r[self.time] for r in later)
                 self.next.update((first,))
                 self.wake(first)
-            ready.sort(key=lambda r: (r[self.time], r[self.tie] is not None, r[self.tie]))
+            else:
+                self.waiting.clear()
+                self.next.clear()
+            self.order(ready)
         yield from self.due(key, ready, watermark)
 
+    def order(self, rows: list[tuple]) -> None:
+        rows.sort(key=lambda r: (r[self.time], r[self.tie] is not None, r[self.tie]))
+
+
+class Held:
+    """The state of the key that is looked at, in memory: what a bucket's keys have in the place of a state of the store."""
+
+    def __init__(self):
+        self.of: dict[tuple, tuple] = {}
+        self.key: tuple = ()
+
+    def get(self) -> tuple | None:
+        return self.of.get(self.key)
+
+    def exists(self) -> bool:
+        return self.key in self.of
+
+    def update(self, value: tuple) -> None:
+        self.of[self.key] = value
+
+    def clear(self) -> None:
+        self.of.pop(self.key, None)
+
+
+def _chunks(items: list) -> list[tuple[bytes]]:
+    return [(pickle.dumps(items[at : at + CHUNK], 5),) for at in range(0, len(items), CHUNK)]
+
+
+def _unpacked(state) -> Iterator:
+    return (x for v in state.get() for x in pickle.loads(v[0]))
+
+
+class Bucket(StatefulProcessor):
+    """An InOrder processor over all keys of a bucket, with one timer: the earliest time at which a row is due or a key wants to be woken."""
+
+    def __init__(self, one: InOrder, keys: tuple[str, ...]):
+        self.one, self.keys = one, [one.schema.names.index(k) for k in keys]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _BYTES)
+        self.next = handle.getValueState("next", _LONG)
+        self.stored = handle.getListState(self.one.own, _BYTES)
+
+    def _set(self, state, items: list) -> None:
+        if items:
+            state.put(_chunks(items))
+        else:
+            state.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, at, known = None, self.one.time, self.next.get()
+        own = map(tuple, rows)
+        while some := list(islice(own, CHUNK)):
+            self.waiting.appendList(_chunks(some))
+            least = min(r[at] for r in some)
+            first = least if first is None else min(first, least)
+        if first is not None and (known is None or first < known[0]):
+            if known is not None:
+                self.handle.deleteTimer(known[0])
+            self.next.update((first,))
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark, one = timerValues.getCurrentWatermarkInMs(), self.one
+        ready: dict[tuple, list[tuple]] = {}
+        later: list[tuple] = []
+        for r in _unpacked(self.waiting):
+            if r[one.time] > watermark:
+                later.append(r)
+            else:
+                ready.setdefault(tuple(r[k] for k in self.keys), []).append(r)
+        held, wakes, more = Held(), {}, Held()
+        for k, value, wake in _unpacked(self.stored):
+            held.of[k] = value
+            if wake is not None:
+                wakes[k] = wake
+        more.of = {tuple(r[k] for k in self.keys): () for r in later}
+        setattr(one, one.own, held)
+        one.next, one.wake = more, lambda at: wakes.__setitem__(held.key, at)
+        for k in [*ready, *(k for k, at in wakes.items() if at <= watermark and k not in ready)]:
+            held.key = more.key = k
+            rows = ready.pop(k, [])
+            one.order(rows)
+            if wakes.get(k, watermark + 1) <= watermark:
+                del wakes[k]
+            yield from one.due(k, rows, watermark)
+            while wakes.get(k, watermark + 1) <= watermark:
+                del wakes[k]
+                yield from one.due(k, [], watermark)
+        self._set(self.waiting, later)
+        self._set(self.stored, [(k, value, wakes.get(k)) for k, value in held.of.items()])
+        first = min([*(r[one.time] for r in later), *(at for k, at in wakes.items() if k in held.of)], default=None)
+        if first is None:
+            self.next.clear()
+        else:
+            self.next.update((first,))
+            self.handle.registerTimer(first)
+
 
 class Spaced(InOrder):
     """Keeps a row if it is its key's first or lies at least its gap after the last kept one; a key is forgotten a time to live after that."""
 
+    own = "last"
+
     def __init__(self, schema: T.StructType, gap: str, ttl_ms: int):
         super().__init__(schema)
         self.gap, self.ttl_ms = schema.names.index(gap), ttl_ms
@@ -109,12 +225,12 @@ class Spaced(InOrder):
         self.last = self.handle.getValueState("last", _UNTIL)
 
     def wanted(self, rows: Iterator[tuple]) -> Iterator[tuple]:
-        last = self.last.get()[0] if self.last.exists() else None
+        last = (self.last.get() or (None,))[0]
         # what is taken from now on comes after the last kept row
         return rows if last is None else (r for r in rows if r[self.time] - last >= r[self.gap])
 
     def due(self, key: tuple, rows: list[tuple], watermark: int) -> Iterator[Row]:
-        held = self.last.get() if self.last.exists() else None
+        held = self.last.get()
         last, until = held or (None, None)
         for r in rows:
             if last is None or r[self.time] - last >= r[self.gap]:
@@ -131,12 +247,17 @@ class Spaced(InOrder):
 class Counted(InOrder):
     """Numbers the rows of a window and keeps those after the first most; the window is forgotten when it is over."""
 
+    own = "count"
+
+    def __init__(self, schema: T.StructType):
+        super().__init__(schema)
+        self.most, self.end = schema.names.index("most"), schema.names.index("window_end_ms")
+
     def open(self) -> None:
         self.count = self.handle.getValueState("count", _UNTIL)
-        self.most, self.end = self.schema.names.index("most"), self.schema.names.index("window_end_ms")
 
     def due(self, key: tuple, rows: list[tuple], watermark: int) -> Iterator[Row]:
-        n, end = self.count.get() if self.count.exists() else (0, None)
+        n, end = self.count.get() or (0, None)
         for r in rows:
             n, end = n + 1, r[self.end]
             if n > r[self.most]:
@@ -155,6 +276,8 @@ BOUNDARY = "device_id string, session_no long, event_type string, timestamp_ms l
 class Sessions(InOrder):
     """session_start and session_end of a device. A session ends after a gap over the timeout, or when the app comes back from a longer time in the background."""
 
+    own = "session"
+
     def __init__(self, schema: T.StructType, timeout_ms: int, ttl_ms: int | None):
         super().__init__(schema)
         self.timeout_ms, self.ttl_ms, self.kind = timeout_ms, ttl_ms, schema.names.index("event_type")
@@ -163,7 +286,7 @@ class Sessions(InOrder):
         self.session = self.handle.getValueState("session", _SESSION)
 
     def due(self, key: tuple, rows: list[tuple], watermark: int) -> Iterator[Row]:
-        held = self.session.get() if self.session.exists() else None
+        held = self.session.get()
         no, start, last, n, away, is_open = held or (0, 0, 0, 0, None, 0)
         device = key[0]
 
@@ -191,32 +314,35 @@ class Sessions(InOrder):
             self.session.clear()
 
 
-def _run(rows: DataFrame, late: str, keys: tuple[str, ...], processor, out: T.StructType | str) -> DataFrame:
-    """rows through a processor, by keys, with a watermark on their event time."""
+def _run(rows: DataFrame, late: str, keys: tuple[str, ...], processor: InOrder, out: T.StructType | str, buckets: int | None = BUCKETS) -> DataFrame:
+    """rows through a processor, by buckets of keys or each key by itself, with a watermark on their event time."""
     use_rocksdb(rows.sparkSession)
     timed = rows.where(F.col(TIME).isNotNull()).withColumn("_at", event_time(F.col(TIME))).withWatermark("_at", late)
-    return timed.groupBy(*keys).transformWithState(processor, out, "append", "eventTime")
+    if buckets is None:
+        return timed.groupBy(*keys).transformWithState(processor, out, "append", "eventTime")
+    dealt = timed.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return dealt.groupBy("_bucket").transformWithState(Bucket(processor, keys), out, "append", "eventTime")
 
 
 def _with_time(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("_at", T.TimestampType())])
 
 
-def spaced(rows: DataFrame, keys: tuple[str, ...], gap: str, late: str = "10 minutes", ttl_ms: int = 0) -> DataFrame:
-    """rows (id, timestamp_ms, gap, ...) that lie at least the milliseconds in gap after the last kept one of their keys. A key is forgotten when neither its gap nor a time to live covers it any more."""
+def spaced(rows: DataFrame, keys: tuple[str, ...], gap: str, late: str = "10 minutes", ttl_ms: int = 0, buckets: int | None = None) -> DataFrame:
+    """rows (id, timestamp_ms, gap, ...) that lie at least the milliseconds in gap after the last kept one of their keys. A key is forgotten when neither its gap nor a time to live covers it any more. buckets: None keeps the state of each key by itself, for few keys of which a batch touches a small part."""
     schema = _with_time(rows.schema)
-    return _run(rows, late, keys, Spaced(schema, gap, ttl_ms), schema).drop("_at")
+    return _run(rows, late, keys, Spaced(schema, gap, ttl_ms), schema, buckets).drop("_at")
 
 
 def cooled(candidates: DataFrame, late: str = "10 minutes", ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Alert candidates (config_id, app_id, id, timestamp_ms, cooldown_ms, ...) that pass the cooldown."""
-    return spaced(candidates, ("config_id", "app_id"), "cooldown_ms", late, ttl_ms)
+    return spaced(candidates, ("config_id", "app_id"), "cooldown_ms", late, ttl_ms, BUCKETS)
 
 
 def first_within(events: DataFrame, window_ms: int, late: str = "10 minutes") -> DataFrame:
     """The earliest event of each idempotency key, and those a window or more after the last kept one. Events without a key pass at once."""
     none = F.coalesce(F.col("idempotency_key"), F.lit("")) == ""
-    kept = spaced(events.where(~none).withColumn("_gap", F.lit(window_ms).cast("long")), ("idempotency_key",), "_gap", late).drop("_gap")
+    kept = spaced(events.where(~none).withColumn("_gap", F.lit(window_ms).cast("long")), ("idempotency_key",), "_gap", late, buckets=BUCKETS).drop("_gap")
     return kept.unionByName(events.where(none))
 
 

@@ -98,3 +98,26 @@ def test_a_timer_of_an_earlier_item_does_not_forget_a_later_one(spark, files, tm
     stream = files([row(1, "a", 0)], [row(2, "b", 10)], [row(3, "a", 61), row(4, "b", 70)], [row(5, "a", 90), row(6, "b", 200)], [row(7, "b", 300)], [row(8, "b", 400)])
     got = run(states.spaced(stream, ("k",), "gap", "1 second"), tmp_path)
     assert sorted(r["id"] for r in got.where("k = 'a'").collect()) == ["001", "003"]
+
+
+def test_buckets_store_many_keys_in_few_states(spark, files, tmp_path, monkeypatch):
+    """Keys of a bucket share one waiting list and one timer; results are those of each key by itself."""
+    monkeypatch.setattr(states, "BUCKETS", 4)
+    schema = "id string, idempotency_key string, timestamp_ms long"
+    rows = [(f"{i:04}", f"k{i % 300}", BEGIN + (997 * i) % 600 * 1000) for i in range(900)]
+    got = run(states.first_within(files(rows[::2], rows[1::2], [("end", "z", BEGIN + 9_000_000)], schema=schema), 120_000, "10 minutes"), tmp_path)
+    twin = dedup.first_within(spark.createDataFrame(rows, schema), 120_000)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in twin.collect())
+    assert spark.read.format("statestore").option("stateVarName", "next").load(f"file://{tmp_path}/state").count() <= 4
+
+
+def test_buckets_end_and_forget_sessions_like_single_keys(spark, files, tmp_path):
+    rows = [row(i, f"d{i % 5}", (i * 37) % 900, kind=["x", "app_background", "app_foreground"][i % 3]) for i in range(120)]
+    stream = files(rows[::2], [row(98, "end", 1600)], [row(97, "d1", 1500), row(99, "end", 4000)], [row(96, "end", 9000)]).withColumnRenamed("k", "device_id")
+    given = stream.select("device_id", "id", "timestamp_ms", "event_type")
+    kept = []
+    for k, buckets in enumerate((None, 2)):
+        one = states.Sessions(states._with_time(given.schema), 30_000, 60_000)
+        found = run(states._run(given, "10 minutes", ("device_id",), one, states.BOUNDARY, buckets), tmp_path / str(k)).collect()
+        kept.append(sorted(map(str, found)))
+    assert kept[0] == kept[1] and len(kept[0]) > 10
