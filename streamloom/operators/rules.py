@@ -172,7 +172,9 @@ class Compiled:
             none = "struct<rule_id:string,rule_name:string,priority:int,webhooks:array<string>,publish_subjects:array<string>>"
             made = [F.lit(None).cast(none)]
         found = parsed.withColumn("_hits", F.array_compact(F.array(*made))).drop("_doc")
-        return found.select(*events.columns, F.posexplode("_hits").alias("hit_order", "_hit")).select(*events.columns, "hit_order", "_hit.*")
+        # of a plain posexplode Spark infers a filter on the hits and pushes it to the source, where it makes the document anew for each condition
+        each = found.select(*events.columns, F.posexplode_outer("_hits").alias("hit_order", "_hit")).where("hit_order is not null")
+        return each.select(*events.columns, "hit_order", "_hit.*")
 
     def _joined(self, events: DataFrame, parsed: DataFrame) -> DataFrame:
         distinct = [r["c"] for r in self.table.select(F.explode("conditions").alias("c")).distinct().collect()]

@@ -79,3 +79,10 @@ def test_filters_without_a_known_size_do_not_gather_the_events(spark, small, mon
     many = made()
     assert all("_part" in plan(frame) for frame in many)
     assert [sorted(map(tuple, frame.collect())) for frame in many] == expected
+
+
+def test_a_document_is_parsed_once(spark, small):
+    """No filter that Spark infers from the hits makes and parses the document again at the source."""
+    found = rules.hits(adapter.events(spark, small), adapter.rules(spark, {"id": "a", "conditions": [("k", "gt", "40"), ("k", "lt", "60"), ("x", "not_exists", None)]}))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+    assert [r["hit_order"] for r in found.limit(3).collect()] == [0, 0, 0]
