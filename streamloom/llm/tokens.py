@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import lighter_batches, materialise, shared_folder, small_batches
 from .huffman import Decoder, canonical_codes, code_lengths, encode
-from .textarrays import CHARS_AT_ONCE, Chars
+from .textarrays import CHARS_AT_ONCE, STEPS, Chars, mixed
 
 END = 0
 BLOCK_IDS = 1 << 18
 RANGE_IDS = 1 << 24
-CACHED_PARTS = 200_000
+#: Parts of texts whose ids a task knows, and those of them that are not yet sorted in.
+CACHED_PARTS, NEWEST_PARTS = 2_000_000, 100_000
 #: Texts of these characters alone are split here; others, and those that may hold a special token, are encoded whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ɏ‐-‧‰-›€]*")
 _SPACE, _LETTER, _NUMBER, _OTHER, _BREAK = range(5)
@@ -85,6 +86,12 @@ def part_starts(codes: np.ndarray) -> np.ndarray:
     return start
 
 
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n[i] indexes from first[i] on, for each i."""
+    to = np.cumsum(n)
+    return np.repeat(first - (to - n), n) + np.arange(to[-1] if len(to) else 0)
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte -> the letter that stands for it in a byte-level vocabulary: printable bytes for themselves, the others in order from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -92,14 +99,14 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
-class _Encoder(dict):
-    """Bytes of the ids (little-endian uint16) of the parts that the tokenizer splits a text into; the parts used of late are kept."""
+class _Encoder:
+    """Bytes of the ids (little-endian uint16) of the parts that the tokenizer splits a text into. Known parts are kept by their
+    64-bit hash, the newest in a dict, the others in sorted arrays: some 30 bytes a part; all are forgotten when they are too many."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.older: dict[str, bytes] = {}
-
+        self._forget()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
@@ -108,15 +115,45 @@ class _Encoder(dict):
         if any(self.part(p) != self.whole(p) for p in (" word", "é²", "!\"#", "\n\t")):
             raise ValueError("not a byte-level vocabulary")
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHED_PARTS:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(part)
-        if out is None:
-            out = self.part(part)
-        self[part] = out
-        return out
+    def _forget(self) -> None:
+        self.newest: dict[int, bytes] = {}
+        self.keys, self.ends, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u2")
+
+    def _settle(self) -> None:
+        """The newest parts join the sorted arrays."""
+        if len(self.keys) + len(self.newest) > CACHED_PARTS:
+            self._forget()
+            return
+        newest = sorted(self.newest)
+        keys = np.concatenate([self.keys, np.array(newest, dtype=np.uint64)])
+        own = [self.newest[k] for k in newest]
+        n = np.concatenate([np.diff(self.ends), np.array([len(x) // 2 for x in own], dtype=np.int64)])
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(own), dtype="<u2")])
+        order = np.argsort(keys, kind="stable")  # two sorted runs
+        first = (np.cumsum(n) - n)[order]
+        self.newest, self.keys, n = {}, keys[order], n[order]
+        self.ends = np.concatenate([[0], np.cumsum(n)])
+        self.flat = flat[_runs(first, n)]
+
+    def coded(self, text: str, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts of text with these ascending keys, one after the other, and their numbers of ids."""
+        if len(self.newest) >= NEWEST_PARTS:
+            self._settle()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        first, n = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        first[known] = self.ends[at[known]]
+        n[known] = self.ends[at[known] + 1] - first[known]
+        rest = np.flatnonzero(~known)
+        own, newest = [], self.newest
+        for key, b, e in zip(keys[rest].tolist(), begin[rest].tolist(), end[rest].tolist()):
+            ids = newest.get(key)
+            if ids is None:
+                ids = newest[key] = self.part(text[b:e])
+            own.append(ids)
+        n[rest] = [len(x) // 2 for x in own]
+        first[rest] = len(self.flat) + np.cumsum(n[rest]) - n[rest]
+        return np.concatenate([self.flat, np.frombuffer(b"".join(own), dtype="<u2")])[_runs(first, n)], n
 
     def part(self, part: str) -> bytes:
         """Ids of one part, straight from the model: a third of the time that the tokenizer takes with all its steps."""
@@ -164,13 +201,12 @@ class _Encoder(dict):
         end = np.append(begin[1:], len(text))
         part = chars.codes[begin] != 0
         begin, end = begin[part], end[part]
-        _, first, which = np.unique(chars.hashes(begin, end), return_index=True, return_inverse=True)
-        coded = [self[text[b:e]] for b, e in zip(begin[first].tolist(), end[first].tolist())]
-        length = np.array([len(c) // 2 for c in coded], dtype=np.int64)
-        flat = np.frombuffer(b"".join(coded), dtype="<u2")
+        hashes = mixed(chars.hashes(begin, end) + (end - begin).astype(np.uint64) * STEPS[0])
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        flat, length = self.coded(text, keys, begin[first], end[first])
         n = length[which]
         to = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(length) - length)[which] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+        ids = flat[_runs((np.cumsum(length) - length)[which], n)]
         ends = np.cumsum([len(h) + 1 for h in held])
         cuts = np.concatenate([[0], to])[np.searchsorted(begin, ends)]
         for i, low, high in zip(rows, [0, *cuts[:-1].tolist()], cuts.tolist()):

@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import numpy as np
@@ -104,3 +105,21 @@ def test_odd_rows(spark, tokenizer):
     assert [r[0] for r in got] == [i for i, _ in rows]
     assert sorted(r[2:] for r in got) == sorted(r[2:] for r in expect(rows, tokenizer))
     assert tokens.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_each_part_is_encoded_once_however_many_there_are(monkeypatch, tokenizer):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdeé0123'!", k=draw.randint(1, 9))) for _ in range(400)]
+    batches = [[" ".join(draw.choices(words, k=draw.randint(0, 60))) for _ in range(5)] for _ in range(30)]
+    for most, newest in ((2_000_000, 20), (150, 20)):
+        monkeypatch.setattr(tokens, "CACHED_PARTS", most)
+        monkeypatch.setattr(tokens, "NEWEST_PARTS", newest)
+        own, asked = tokens._Encoder(path), []
+        plain = own.part
+        monkeypatch.setattr(own, "part", lambda p: asked.append(p) or plain(p))
+        for texts in batches + batches:
+            expect = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            assert [np.frombuffer(x, dtype="<u2").tolist() for x in own.texts(texts)] == expect
+        assert most == 150 or len(asked) == len(set(asked)) > 200
+        assert len(own.keys) <= most
