@@ -221,9 +221,14 @@ def may_be_alike() -> Column:
     return F.expr(f"{WHOLE + PART} * (shared + {rest}) >= {PART} * (nu + nv)")
 
 
-def _grouped(lists: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
+def _stars(groups: DataFrame) -> DataFrame:
+    """Edges (u, v) of each node to its component: they stand for all edges so far, and need no round of their own."""
+    return groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _grouped(lists: DataFrame, groups: DataFrame, tag: str) -> DataFrame:
     """lists with each node's component so far."""
-    groups = components(edges).withColumnRenamed("component", "c")
+    groups = groups.withColumnRenamed("component", "c")
     return materialise(lists.join(groups.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node")), tag)
 
 
@@ -245,17 +250,17 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     near = near.where(may_be_alike()).select("u", "v")
     indexed = near_bits(own).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     near = materialise(plausible(near.unionByName(indexed).distinct(), own), "neardup-pairs")
-    edges = verified(near, known, docs)
+    groups = components(verified(near, known, docs))
 
     # many alike texts may not be alike to one least text: several of every crowded list meet all others of it
     for again in range(PIVOT_ROUNDS):
-        grouped = _grouped(lists, edges, "neardup-grouped")
+        grouped = _grouped(lists, groups, "neardup-grouped")
         crowded = grouped.join(_open(grouped).where(f"groups > {CROWD}").select("h").hint("merge"), "h")
         drawn = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(again * PIVOTS + k)).alias("draw"), F.col("node").alias("v"), F.col("c").alias("cv"))) for k in range(PIVOTS)])
         pivots = crowded.groupBy("h").agg(drawn.alias("pivots")).select("h", F.explode(F.array_distinct("pivots")).alias("p")).select("h", "p.v", "p.cv")
         met = crowded.select("h", "node", "c").hint("merge").join(pivots, "h").where("c <> cv").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-        edges = materialise(edges.unionByName(verified(materialise(plausible(met, own), "neardup-pairs"), known, docs)), "neardup-edges")
-    grouped = _grouped(lists, edges, "neardup-grouped")
+        groups = components(_stars(groups).unionByName(verified(materialise(plausible(met, own), "neardup-pairs"), known, docs)))
+    grouped = _grouped(lists, groups, "neardup-grouped")
     open_ = grouped.join(_open(grouped).where("groups > 1").select("h", "top").hint("merge"), "h")
     # with the bits of each text, so that the join itself lets only plausible pairs out
     open_ = materialise(open_.join(own.select("node", "sign").hint("merge"), "node"), "neardup-open")
@@ -266,7 +271,7 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     least = f"ceil({PART} * (nu + nv) / {PART + WHOLE}d)"
     apart = x.hint("merge").join(y, "h").where("cu <> cv and (cu <> top or cv <> top) and (nu < nv or nu = nv and u < v)").where(f"iu + {least} <= nu and iv + {least} <= nv").where(near_bitmaps())
     apart = apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(near.hint("merge"), ["u", "v"], "left_anti")
-    return edges.unionByName(verified(materialise(apart, "neardup-pairs"), known, docs))
+    return _stars(groups).unionByName(verified(materialise(apart, "neardup-pairs"), known, docs))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

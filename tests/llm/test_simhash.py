@@ -99,3 +99,24 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.where(F.col("doc_id").isNotNull()).collect()) == [1, 3, 8]
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_components_of_random_graphs_by_either_join_and_few_tasks(spark, monkeypatch):
+    draw = random.Random(5)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 1000 + i) for i in range(0, 40, 7)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "u long, v long")
+    for most in (0, 100_000):
+        monkeypatch.setattr("streamloom.llm.components.BROADCAST_EDGES", most)
+        got = components(df).collect()
+        assert {r["node"]: r["component"] for r in got} == label and len(got) == len(label)
+    # edges that are stars already take no round
+    rounds = []
+    monkeypatch.setattr("streamloom.llm.components._with_least", lambda *a: rounds.append(a))
+    stars = [(r["node"], r["component"]) for r in got]
+    again = components(spark.createDataFrame(stars * 2, "u long, v long")).collect()
+    assert {r["node"]: r["component"] for r in again} == label and not rounds
